@@ -1,0 +1 @@
+"""Intentionally empty: all work covered here is whole-table batch work."""
