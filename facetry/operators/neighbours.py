@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.session import cut
+
 TILE_ROWS = 4096
 MAX_PIVOTS = 2048
 _SUB = 1 << 32
@@ -81,7 +83,7 @@ def knn(points: DataFrame, key: str, vector: str, k: int, tile_rows: int = TILE_
                 cell = d2.argmin(1)
                 yield pdf.assign(cell=cell, r=np.sqrt(((x - pivots[cell]) ** 2).sum(1)))
 
-    placed = src.mapInPandas(assign, "id long, v array<double>, cell long, r double")
+    placed = cut(src.mapInPandas(assign, "id long, v array<double>, cell long, r double"))
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"))
     info = cells.toPandas().sort_values("cell")  # one row per pivot
     cell_no = info["cell"].to_numpy()
@@ -96,7 +98,7 @@ def knn(points: DataFrame, key: str, vector: str, k: int, tile_rows: int = TILE_
         ids, x = pdf["id"].to_numpy(), _matrix(pdf["v"])
         return _blocks(ids, x, ids, x, k, np.full(len(ids), np.inf))
 
-    near = tiles.groupBy("tile").applyInPandas(within, _EDGE)
+    near = cut(tiles.groupBy("tile").applyInPandas(within, _EDGE))
     bound = near.groupBy("src").agg(
         F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("limit")
     )
@@ -118,9 +120,7 @@ def knn(points: DataFrame, key: str, vector: str, k: int, tile_rows: int = TILE_
                 other = target != own[qi]
                 yield pdf.iloc[qi[other]].assign(tile=target[other])
 
-    routed = queries.repartition(F.xxhash64("id")).mapInPandas(
-        route, "id long, v array<double>, tile long, limit double"
-    )
+    routed = cut(queries.mapInPandas(route, "id long, v array<double>, tile long, limit double"))
     load = routed.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).alias("_chunks"))
     asked = routed.join(load, "tile").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")))
     held = tiles.join(load, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))

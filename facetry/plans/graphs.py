@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from facetry.functions import vectors as V
 from facetry.operators import graph, neighbours, votes
 from facetry.plans.registry import query
+from facetry.session import cut
 
 R, col = F.round, F.col
 
@@ -33,7 +34,8 @@ def kernel3(t):
 
 
 def sym3(t):
-    return graph.symmetrise_max(kernel3(t))
+    """Several consumers read this graph, so it is written out once instead of searched again."""
+    return cut(graph.symmetrise_max(kernel3(t)))
 
 
 @query("knn_graph", f"WITH {KNN} SELECT src, slot::INT AS slot, dst, round(d, 6) AS d FROM kn")
