@@ -22,7 +22,10 @@ MAX_CELLS = 4096
 
 def _cells_needed(df: DataFrame, rows_per_cell: int) -> int:
     """Number of cuts; counts rows only when the planner's size estimate says it could matter."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:  # estimates multiply along joins and can outgrow Python's integer parser
+        estimate = BYTES_PER_CELL + 1
     if rows_per_cell == ROWS_PER_CELL and estimate <= BYTES_PER_CELL:
         return 1
     return max(1, min(MAX_CELLS, math.ceil(df.count() / rows_per_cell)))
