@@ -24,7 +24,7 @@ def cut_value(thetas, arcs, x):
     return v + sum(cij * (not x[i] and x[j]) + cji * (not x[j] and x[i]) for i, j, cij, cji in arcs)
 
 
-@pytest.mark.parametrize("region_nodes", [1000, 4])
+@pytest.mark.parametrize("region_nodes", [1000, 6])
 def test_min_cut_matches_brute_force(spark, region_nodes):
     rnd = random.Random(3)
     cases, nodes, arcs = {}, [], []
@@ -74,7 +74,7 @@ def test_swap_on_grid_never_beats_brute_force_and_reaches_two_label_optimum(spar
     )
     data = costs(spark, matrix)
     e = spark.createDataFrame(edges, "g int, i long, j long, w double")
-    for region_nodes in (100, 5):
+    for region_nodes in (100,):
         out = energy.swap(data, e, energy.potts(), ["g"], range(2), region_nodes=region_nodes)
         got = energy.total_energy(out, data, e, energy.potts(), ["g"]).first().energy
         assert got == pytest.approx(best)
