@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.session import cut
@@ -72,6 +72,40 @@ def knn(points: DataFrame, key: str, vector: str, k: int, tile_rows: int = TILE_
     if n_pivots == 1:
         # the whole input fits one tile; chunks of queries keep all tasks busy
         return _self_join_small(src, k)
+    return _expand_copies(src, k, lambda distinct: _knn_tiled(distinct, k, n_pivots, tile_rows))
+
+
+def _expand_copies(src: DataFrame, k: int, search) -> DataFrame:
+    """Search among distinct vectors only, then hand the result to every copy.
+
+    Any number of equal vectors is represented by its ``k + 1`` lowest ids: no row can have more of
+    them among its ``k`` nearest, so copies never meet each other pairwise.
+    """
+    keyed = src.withColumn("_h", F.xxhash64("v"))
+    rank = F.row_number().over(Window.partitionBy("_h", "v").orderBy("id"))
+    low = keyed.withColumn("_r", rank).filter(F.col("_r") <= k + 1)
+    groups = cut(low.groupBy("_h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    groups = groups.withColumn("rep", F.col("ids")[0])
+    near = search(groups.select(F.col("rep").alias("id"), "v"))
+    members = groups.select(F.col("rep").alias("dst"), "ids")
+    found = near.join(members, "dst").select("src", "d", F.explode("ids").alias("dst"))
+    found = _best(found, k + 1).groupBy("src").agg(F.collect_list(F.struct("d", "dst")).alias("_far"))
+    own = groups.select(
+        F.col("rep").alias("src"),
+        F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("dst"))).alias("_own"),
+    )
+    both = own.join(found, "src", "left")
+    merged = F.when(F.col("_far").isNull(), F.col("_own")).otherwise(F.concat("_own", "_far"))
+    lists = both.select(F.col("src").alias("rep"), F.slice(F.array_sort(merged), 1, k + 1).alias("_top"))
+    rows = keyed.join(groups.select("_h", "v", "rep"), ["_h", "v"]).select("id", "rep").join(lists, "rep")
+    others = rows.select(
+        F.col("id").alias("src"), F.slice(F.filter("_top", lambda e: e["dst"] != F.col("id")), 1, k).alias("_t")
+    )
+    flat = others.select("src", F.posexplode("_t").alias("_i", "_e"))
+    return flat.select("src", (F.col("_i") + 1).alias("slot"), F.col("_e.dst").alias("dst"), F.col("_e.d").alias("d"))
+
+
+def _knn_tiled(src: DataFrame, k: int, n_pivots: int, tile_rows: int) -> DataFrame:
     # at most MAX_PIVOTS short vectors reach the driver, whatever the input size
     pivots = _matrix(src.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()["v"])
 
@@ -124,7 +158,10 @@ def knn(points: DataFrame, key: str, vector: str, k: int, tile_rows: int = TILE_
     load = routed.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).alias("_chunks"))
     asked = routed.join(load, "tile").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")))
     held = tiles.join(load, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    held = held.withColumn("chunk", F.col("chunk").cast("long"))
+    # fresh column identities for the second side of the cogroup
+    held = held.select("id", "v", F.col("tile").alias("tile"), F.col("chunk").cast("long").alias("chunk"))
+    held = held.select(*[F.col(c).alias(c) for c in held.columns])
+    asked = asked.select("id", "v", "limit", "tile", "chunk")
 
     def across(q, c):
         if not len(q) or not len(c):

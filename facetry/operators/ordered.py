@@ -46,6 +46,12 @@ def _bucket(df: DataFrame, column: str, splits: list[float], out: str) -> DataFr
     return tool.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
+def _number(column: str) -> Column:
+    """The ordering value as a double, with -0.0 and 0.0 made one value."""
+    v = F.col(column).cast("double")
+    return F.when(v == 0, F.lit(0.0)).otherwise(v)
+
+
 def cumulate(
     df: DataFrame,
     group: list[str],
@@ -58,7 +64,7 @@ def cumulate(
     Equal values share one running total (the tie rule of sorted scans).  Output columns: group,
     value, ``m``, ``cum_m`` (inclusive) and ``total_m`` for each measure ``m``.
     """
-    src = df.withColumn("_v", F.col(value).cast("double")).filter("_v is not null")
+    src = df.withColumn("_v", _number(value)).filter("_v is not null")
     cells = _cells_needed(src, rows_per_cell)
     cuts = _cuts(src, "_v", cells) if cells > 1 else []
     sums = [F.sum(expr).alias(name) for name, expr in measures.items()]
@@ -116,7 +122,7 @@ def running(
     src = df
     for i, expr in enumerate(measures.values()):
         src = src.withColumn(f"_m{i}", expr)
-    src = src.withColumn("_v", F.col(value).cast("double")).withColumn("_t", F.col(tie).cast("double"))
+    src = src.withColumn("_v", _number(value)).withColumn("_t", _number(tie))
     cells = _cells_needed(src, rows_per_cell)
     order = [F.col("_v"), F.col(tie)]
     names = list(measures)
