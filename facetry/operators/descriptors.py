@@ -298,3 +298,20 @@ def distance_moments(points: DataFrame, group: list[str], key: str, vector: str,
     return sums.select(
         *group, "id", *[(F.col(c) / F.col("sw")).alias(n) for c, n in (("s1", "mean"), ("s2", "mean2"), ("sh", "meansqrt"))]
     )
+
+
+def class_context(paths: DataFrame, probabilities: DataFrame, areas: DataFrame, reach: float, bins: int = 5) -> DataFrame:
+    """Class probability mass around every face by distance: ``(mesh_id, face, xb, label, mass)``.
+
+    ``probabilities(mesh_id, face, label, p)``.  A face adds its area share times the probability over
+    ``distance / reach + 0.1``.
+    """
+    total = areas.groupBy(M).agg(F.sum("area").alias("_total"))
+    share = areas.join(total, M).select(M, F.col("face").alias("node"), (F.col("area") / F.col("_total")).alias("share"))
+    p = probabilities.select(M, F.col("face").alias("node"), "label", "p")
+    xs = hist.closed_bins(F.col("d"), hist.log_edges(bins, hist.REACH * reach))
+    rows = paths.join(share, [M, "node"]).select(
+        M, F.col("src").alias("face"), "node", (F.col("share") / (F.col("d") / reach + 0.1)).alias("_w"), F.explode(xs).alias("xb")
+    )
+    rows = rows.join(p, [M, "node"])
+    return rows.groupBy(M, "face", "xb", "label").agg(F.sum(F.col("_w") * F.col("p")).alias("mass"))

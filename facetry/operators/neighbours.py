@@ -106,6 +106,40 @@ def _expand_copies(src: DataFrame, k: int, search) -> DataFrame:
 
 
 def _knn_tiled(src: DataFrame, k: int, n_pivots: int, tile_rows: int) -> DataFrame:
+    tiles, layout = _place(src, n_pivots, tile_rows)
+
+    def within(pdf):
+        ids, x = pdf["id"].to_numpy(), _matrix(pdf["v"])
+        return _blocks(ids, x, ids, x, k, np.full(len(ids), np.inf))
+
+    near = cut(tiles.groupBy("tile").applyInPandas(within, _EDGE))
+    bound = near.groupBy("src").agg(
+        F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("limit")
+    )
+    queries = tiles.join(bound, tiles["id"] == bound["src"], "left").select(
+        "id", "v", "tile", F.coalesce("limit", F.lit(float("inf"))).alias("limit")
+    )
+    far = _routed(queries, tiles, layout, k, tile_rows)
+    return _best(near.unionByName(far), k)
+
+
+class _Layout:
+    """Pivot cells: number, pivot, radius, rows and tiles of each (at most MAX_PIVOTS of them)."""
+
+    def __init__(self, info: pd.DataFrame, pivots: np.ndarray, tile_rows: int):
+        info = info.sort_values("cell")
+        self.cell = info["cell"].to_numpy()
+        self.rows = info["n"].to_numpy()
+        self.radius = info["radius"].to_numpy()
+        self.subs = np.ceil(self.rows / tile_rows).astype(int)
+        self.pivots = pivots[self.cell]
+
+    def gaps(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(((x[:, None, :] - self.pivots[None, :, :]) ** 2).sum(2))
+
+
+def _place(src: DataFrame, n_pivots: int, tile_rows: int) -> tuple[DataFrame, _Layout]:
+    """Assign rows to tiles of bounded size around pivots."""
     # at most MAX_PIVOTS short vectors reach the driver, whatever the input size
     pivots = _matrix(src.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()["v"])
 
@@ -119,38 +153,27 @@ def _knn_tiled(src: DataFrame, k: int, n_pivots: int, tile_rows: int) -> DataFra
 
     placed = cut(src.mapInPandas(assign, "id long, v array<double>, cell long, r double"))
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"))
-    info = cells.toPandas().sort_values("cell")  # one row per pivot
-    cell_no = info["cell"].to_numpy()
-    subs = np.ceil(info["n"].to_numpy() / tile_rows).astype(int)
-    radius, used = info["radius"].to_numpy(), pivots[cell_no]
+    layout = _Layout(cells.toPandas(), pivots, tile_rows)  # one row per pivot
     n_sub = cells.select("cell", F.ceil(F.col("n") / tile_rows).alias("_s"))
     tiles = placed.join(n_sub, "cell").select(
         "id", "v", (F.col("cell") * _SUB + F.pmod(F.xxhash64("id"), F.col("_s"))).alias("tile")
     )
+    return tiles, layout
 
-    def within(pdf):
-        ids, x = pdf["id"].to_numpy(), _matrix(pdf["v"])
-        return _blocks(ids, x, ids, x, k, np.full(len(ids), np.inf))
 
-    near = cut(tiles.groupBy("tile").applyInPandas(within, _EDGE))
-    bound = near.groupBy("src").agg(
-        F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("limit")
-    )
-    queries = tiles.join(bound, tiles["id"] == bound["src"], "left").select(
-        "id", "v", "tile", F.coalesce("limit", F.lit(float("inf"))).alias("limit")
-    )
+def _routed(queries: DataFrame, tiles: DataFrame, layout: _Layout, k: int, tile_rows: int) -> DataFrame:
+    """Send every query ``(id, v, tile, limit)`` to the other tiles that may hold one of its k nearest."""
 
     def route(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = _matrix(pdf["v"])
-            gap = np.sqrt(((x[:, None, :] - used[None, :, :]) ** 2).sum(2)) - radius[None, :]
+            gap = layout.gaps(_matrix(pdf["v"])) - layout.radius[None, :]
             hit = gap <= pdf["limit"].to_numpy()[:, None] + 1e-9
             own = pdf["tile"].to_numpy()
-            for s in range(int(subs.max())):
-                qi, ci = np.nonzero(hit & (subs[None, :] > s))
-                target = cell_no[ci] * _SUB + s
+            for s in range(int(layout.subs.max())):
+                qi, ci = np.nonzero(hit & (layout.subs[None, :] > s))
+                target = layout.cell[ci] * _SUB + s
                 other = target != own[qi]
                 yield pdf.iloc[qi[other]].assign(tile=target[other])
 
@@ -169,12 +192,45 @@ def _knn_tiled(src: DataFrame, k: int, n_pivots: int, tile_rows: int) -> DataFra
         limit = q["limit"].to_numpy()
         return _blocks(q["id"].to_numpy(), _matrix(q["v"]), c["id"].to_numpy(), _matrix(c["v"]), k, limit)
 
-    far = (
+    return (
         asked.groupBy("tile", "chunk")
         .cogroup(held.groupBy("tile", "chunk"))
         .applyInPandas(across, _EDGE)
     )
-    return _best(near.unionByName(far), k)
+
+
+def nearest(
+    queries: DataFrame,
+    points: DataFrame,
+    key: str,
+    vector: str,
+    k: int = 1,
+    max_distance: float | None = None,
+    tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """``(src, slot, dst, d)``: for every query the ``k`` nearest rows of another table, exactly.
+
+    A query's reach starts at the smallest ``distance to a pivot + radius`` over cells that hold at
+    least ``k`` rows, and at ``max_distance`` if given; only tiles within reach are visited.
+    """
+    cap = float("inf") if max_distance is None else float(max_distance)
+    src = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n_pivots = int(max(1, min(MAX_PIVOTS, -(-src.count() // tile_rows))))
+    tiles, layout = _place(src, n_pivots, tile_rows)
+    full = layout.rows >= k + 1
+
+    def reach(batches):
+        for pdf in batches:
+            if len(pdf):
+                far = layout.gaps(_matrix(pdf["v"])) + layout.radius[None, :]
+                limit = far[:, full].min(1) if full.any() else np.full(len(pdf), np.inf)
+                yield pdf.assign(tile=-1, limit=np.minimum(limit, cap))
+
+    # negative ids keep a query apart from a point of the same number
+    asked = queries.select((-F.col(key).cast("long") - 1).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = asked.mapInPandas(reach, "id long, v array<double>, tile long, limit double")
+    found = _best(_routed(asked, tiles, layout, k, tile_rows).filter(F.col("d") <= cap), k)
+    return found.withColumn("src", -F.col("src") - 1)
 
 
 def _self_join_small(src: DataFrame, k: int) -> DataFrame:

@@ -147,3 +147,23 @@ def symmetric3_eigenvalues(xx, xy, xz, yy, yz, zz) -> tuple[Column, Column, Colu
     top = q + 2 * p * F.cos(phi)
     low = q + 2 * p * F.cos(phi + third)
     return low, 3 * q - top - low, top
+
+
+def symmetric3_eigenvector(xx, xy, xz, yy, yz, zz, value: Column) -> tuple[Column, Column, Column]:
+    """Unit eigenvector of a symmetric 3x3 matrix for a simple eigenvalue.
+
+    It is orthogonal to all rows of ``A - value I``; of the three row products the longest is used.
+    """
+    from facetry.functions.vectors import cross3, dot3
+
+    rows = [(xx - value, xy, xz), (xy, yy - value, yz), (xz, yz, zz - value)]
+    options = [cross3(rows[0], rows[1]), cross3(rows[0], rows[2]), cross3(rows[1], rows[2])]
+    sizes = [dot3(o, o) for o in options]
+    best = F.greatest(*sizes)
+    length = F.sqrt(best)
+
+    def part(i):
+        raw = F.when(sizes[0] == best, options[0][i]).when(sizes[1] == best, options[1][i]).otherwise(options[2][i])
+        return F.when(length > 0, raw / length).otherwise(0.0)
+
+    return part(0), part(1), part(2)
