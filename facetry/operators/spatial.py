@@ -101,21 +101,21 @@ def ray_distances(rays: DataFrame, triangles: DataFrame, tile_rows: int = TILE_R
         a, b, c = (t[[f"{p}x", f"{p}y", f"{p}z"]].to_numpy() for p in "abc")
         e1, e2, faces = b - a, c - a, t["face"].to_numpy()
         o, line, skip = r[["ox", "oy", "oz"]].to_numpy(), r[["lx", "ly", "lz"]].to_numpy(), r["skip"].to_numpy()
+        # o + d*line = a + u*e1 + v*e2; every triple product splits into (ray part) . (triangle part)
+        normal = np.cross(e1, e2)
+        plane, turn_u, turn_v = (a * normal).sum(1), np.cross(e2, a), np.cross(a, e1)
         best = np.full(len(r), np.inf)
-        for k in range(len(r)):
-            # solve o + d*line = a + u*e1 + v*e2 for all triangles of the tile at once
-            p = np.cross(line[k], e2)
-            det = (p * e1).sum(1)
-            ok = (np.abs(det) >= EPSILON) & (faces != skip[k])
+        for k in range(0, len(r), 256):
+            z = slice(k, k + 256)
+            moment = np.cross(o[z], line[z])
+            det = -line[z] @ normal.T
+            ok = (np.abs(det) >= EPSILON) & (faces[None, :] != skip[z, None])
             inv = 1.0 / np.where(ok, det, 1.0)
-            s = o[k] - a
-            u = inv * (s * p).sum(1)
-            q = np.cross(s, e1)
-            v = inv * (q @ line[k])
-            d = inv * (q * e2).sum(1)
+            u = inv * (moment @ e2.T - line[z] @ turn_u.T)
+            v = inv * (-moment @ e1.T - line[z] @ turn_v.T)
+            d = inv * (o[z] @ normal.T - plane)
             ok &= (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (d > 0)
-            if ok.any():
-                best[k] = d[ok].min()
+            best[z] = np.where(ok, d, np.inf).min(1)
         hit = np.isfinite(best)
         return pd.DataFrame({M: r[M].to_numpy()[hit], "ray": r["ray"].to_numpy()[hit], "d": best[hit]})
 
