@@ -10,11 +10,14 @@ from facetry.functions.vectors import dist
 from facetry.session import cut
 
 
-def feature_distances(edges: DataFrame, features: DataFrame, key: str, vector: str) -> DataFrame:
-    """Attach the descriptor-space distance ``d`` to every ``(src, slot, dst)`` edge."""
-    a = features.select(F.col(key).alias("src"), F.col(vector).alias("_a"))
-    b = features.select(F.col(key).alias("dst"), F.col(vector).alias("_b"))
-    both = edges.join(a, "src").join(b, "dst")
+def feature_distances(
+    edges: DataFrame, features: DataFrame, key: str, vector: str, group: list[str] | None = None
+) -> DataFrame:
+    """Attach the descriptor-space distance ``d`` to every ``(group, src, slot, dst)`` edge."""
+    group = group or []
+    a = features.select(*group, F.col(key).alias("src"), F.col(vector).alias("_a"))
+    b = features.select(*group, F.col(key).alias("dst"), F.col(vector).alias("_b"))
+    both = edges.join(a, [*group, "src"]).join(b, [*group, "dst"])
     return both.withColumn("d", dist(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 

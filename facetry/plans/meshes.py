@@ -604,3 +604,15 @@ def curvature_descriptor(t):
     n = cut(mesh.smooth_face_normals(faces(t), mesh.vertex_normals(g)))
     across = cut(mesh.across_edges(faces(t)))
     return descriptors.curvature_descriptor(cut(face_edges(t)), across, n, g, scales=[2.0])
+
+
+@query("graph_preparation")
+def graph_preparation(t):
+    """Training rows of all meshes: kernel graph, two coarsenings, tree order, padding."""
+    from facetry.plans.pipeline import prepare_graphs
+
+    g = cut(geometry(t))
+    near = mesh.across_edges(faces(t)).select(M, col("face").alias("src"), "slot", col("nbr").alias("dst"))
+    features = g.select(M, "face", F.array("gz", "area").alias("f"))
+    labels = g.select(M, "face", (1 + col("face") % 3).alias("label"))
+    return prepare_graphs(features, near, labels, g.select(M, "face", "area"), levels=2, k=4)["rows"].drop("f")
