@@ -17,9 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.operators.ordered import running
 from facetry.session import cut
 
 REGION_NODES = 20_000
+LOAD_PER_NODE = 8
+UNCUTTABLE = 1e15
 FAR = 1 << 40
 EPS = 1e-9
 
@@ -208,26 +211,73 @@ def min_cut(terminals: DataFrame, arcs: DataFrame, group: list[str], region_node
     source side).  ``arcs(group, i, j, cij, cji)``, one row per pair: ``cij`` is paid when ``i`` is on
     the source side and ``j`` on the sink side.
     """
-    size = terminals.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / region_nodes).alias("_k"), F.min("node").alias("_lo"))
-    # runs of consecutive ids share a region: neighbours tend to have close ids, so few arcs cross
-    region = F.pmod(F.floor((F.col("node") - F.col("_lo")) / region_nodes), F.col("_k"))
-    nodes = terminals.join(size, group).select(
+    asked = terminals.select(*group, F.col("node").cast("long").alias("node"), "theta")
+    arcs = arcs.select(*group, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "cij", "cji")
+    asked, arcs = _split_hubs(cut(asked), cut(arcs), group, region_nodes)
+    where = cut(_regions(asked, arcs, group, LOAD_PER_NODE * region_nodes))
+    nodes = asked.join(where, [*group, "node"]).select(
         *group,
-        F.col("node").cast("long").alias("node"),
-        region.cast("long").alias("region"),
+        "node",
+        "region",
         F.greatest(F.col("theta"), F.lit(0.0)).alias("excess"),
         F.greatest(-F.col("theta"), F.lit(0.0)).alias("sink"),
     )
     nodes = cut(nodes)
-    where = nodes.select(*group, "node", "region")
     arcs = arcs.join(where.withColumnsRenamed({"node": "i", "region": "regi"}), [*group, "i"])
     arcs = arcs.join(where.withColumnsRenamed({"node": "j", "region": "regj"}), [*group, "j"])
-    arcs = cut(
-        arcs.select(
-            *group, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "regi", "regj",
-            F.col("cij").alias("rij"), F.col("cji").alias("rji"),
-        )
+    arcs = cut(arcs.select(*group, "i", "j", "regi", "regj", F.col("cij").alias("rij"), F.col("cji").alias("rji")))
+    sides = _discharge_all(nodes, arcs, group)
+    return sides.join(terminals.select(*group, F.col("node").cast("long").alias("node")), [*group, "node"], "left_semi")
+
+
+def _degrees(arcs: DataFrame, group: list[str]) -> DataFrame:
+    ends = arcs.select(*group, F.explode(F.array("i", "j")).alias("node"))
+    return ends.groupBy(*group, "node").agg(F.count(F.lit(1)).alias("deg"))
+
+
+def _split_hubs(nodes: DataFrame, arcs: DataFrame, group: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Replace a node of very many arcs by a chain of copies that no cut can separate.
+
+    The copies share the arcs, so the arcs of one node spread over several regions.
+    """
+    hubs = _degrees(arcs, group).filter(F.col("deg") > most).withColumn("_n", F.ceil(F.col("deg") / most))
+    hubs = cut(hubs.select(*group, "node", "_n"))
+    if hubs.isEmpty():
+        return nodes, arcs
+    copies = hubs.select(*group, "node", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") - 1)).alias("copy"))
+    copies = running(copies, group, "node", "copy", pos="_p")
+    if group:
+        copies = copies.join(nodes.groupBy(*group).agg(F.min("node").alias("_lo")), group)
+    else:
+        copies = copies.withColumn("_lo", nodes.agg(F.min("node")).scalar())
+    copies = cut(copies.select(*group, "node", "copy", (F.col("_lo") - 1 - F.col("_p")).alias("new")))
+    for end, other in (("i", "j"), ("j", "i")):
+        arcs = arcs.join(hubs.withColumnRenamed("node", end), [*group, end], "left")
+        arcs = arcs.withColumn("copy", F.pmod(F.xxhash64(other), F.col("_n"))).drop("_n")
+        arcs = arcs.join(copies.withColumnRenamed("node", end), [*group, end, "copy"], "left")
+        arcs = cut(arcs.withColumn(end, F.coalesce("new", end)).drop("new", "copy"))
+    before = copies.select(*group, "node", (F.col("copy") + 1).alias("copy"), F.col("new").alias("_prev"))
+    chain = copies.join(before, [*group, "node", "copy"], "left").select(
+        *group, F.coalesce("_prev", "node").alias("i"), F.col("new").alias("j"),
+        F.lit(UNCUTTABLE).alias("cij"), F.lit(UNCUTTABLE).alias("cji"),
     )
+    more = copies.select(*group, F.col("new").alias("node"), F.lit(0.0).alias("theta"))
+    return cut(nodes.unionByName(more)), cut(arcs.unionByName(chain))
+
+
+def _regions(nodes: DataFrame, arcs: DataFrame, group: list[str], load: int) -> DataFrame:
+    """``(group, node, region)``: runs of consecutive ids with at most about ``load`` nodes and arc ends.
+
+    Neighbours tend to have close ids, so few arcs cross a border.
+    """
+    weight = nodes.select(*group, "node").join(_degrees(arcs, group), [*group, "node"], "left")
+    weight = weight.withColumn("_w", 1 + F.coalesce("deg", F.lit(0).cast("long")))
+    ranked = running(weight, group, "node", "node", {"_cum": F.col("_w")}, pos="_p")
+    return ranked.select(*group, "node", F.floor((F.col("_cum") - F.col("_w")) / load).alias("region"))
+
+
+def _discharge_all(nodes: DataFrame, arcs: DataFrame, group: list[str]) -> DataFrame:
+    """Sweeps until no excess can reach the sink; ``(group, node, sink_side)``."""
     crossing = not arcs.filter(F.col("regi") != F.col("regj")).isEmpty()
     if not crossing:
         # no border anywhere: one discharge per region is a complete maximum flow
