@@ -82,35 +82,34 @@ def vertex_areas(geometry: DataFrame) -> DataFrame:
     return spread.groupBy(M, "v").agg(F.sum("area").alias("area"))
 
 
-def voronoi_areas(geometry: DataFrame) -> DataFrame:
-    """Share of each triangle nearest to each corner, with the obtuse cases, summed per vertex."""
+def corner_areas(geometry: DataFrame) -> list[Column]:
+    """Area of each triangle nearest to each of its corners, with the obtuse cases."""
     a, b, c = vec3("a"), vec3("b"), vec3("c")
     e = [sub3(c, b), sub3(a, c), sub3(b, a)]
     l2 = [dot3(d, d) for d in e]
-    reach = [l2[i] * (l2[(i + 1) % 3] + l2[(i + 2) % 3] - l2[i]) for i in range(3)]
-    g = geometry.withColumns({f"_l{i}": l2[i] for i in range(3)})
-    g = g.withColumns({f"_w{i}": reach[i] for i in range(3)})
-    g = g.withColumns({f"_d{i}{j}": dot3(e[i], e[j]) for i, j in ((0, 1), (0, 2), (1, 2))})
-    area, w = F.col("area"), [F.col(f"_w{i}") for i in range(3)]
-
-    def cross_dot(i, j):
-        return F.col(f"_d{min(i, j)}{max(i, j)}")
+    w = [l2[i] * (l2[(i + 1) % 3] + l2[(i + 2) % 3] - l2[i]) for i in range(3)]
+    area = F.col("area")
 
     def obtuse_at(k):
         """Corner shares when the angle at corner ``k`` is not acute."""
         n, p = (k + 1) % 3, (k + 2) % 3
-        share_n = -0.25 * F.col(f"_l{p}") * area / cross_dot(k, p)
-        share_p = -0.25 * F.col(f"_l{n}") * area / cross_dot(k, n)
+        share_n = -0.25 * l2[p] * area / dot3(e[k], e[p])
+        share_p = -0.25 * l2[n] * area / dot3(e[k], e[n])
         return {k: area - share_n - share_p, n: share_n, p: share_p}
 
     scale = 0.5 * area / (w[0] + w[1] + w[2])
-    acute = {j: scale * (w[(j + 1) % 3] + w[(j + 2) % 3]) for j in range(3)}
     cases = [obtuse_at(k) for k in range(3)]
     shares = []
     for j in range(3):
         expr = F.when(w[0] <= 0, cases[0][j]).when(w[1] <= 0, cases[1][j]).when(w[2] <= 0, cases[2][j])
-        shares.append(F.struct(F.col(f"v{j}").alias("v"), expr.otherwise(acute[j]).alias("a")))
-    return g.select(M, F.inline(F.array(*shares))).groupBy(M, "v").agg(F.sum("a").alias("area"))
+        shares.append(expr.otherwise(scale * (w[(j + 1) % 3] + w[(j + 2) % 3])))
+    return shares
+
+
+def voronoi_areas(geometry: DataFrame) -> DataFrame:
+    """Sum of the corner areas at every vertex."""
+    rows = F.array(*[F.struct(F.col(f"v{j}").alias("v"), a.alias("a")) for j, a in enumerate(corner_areas(geometry))])
+    return geometry.select(M, F.inline(rows)).groupBy(M, "v").agg(F.sum("a").alias("area"))
 
 
 # ------------------------------------------------------------------ connectivity
@@ -384,3 +383,143 @@ def reorder_vertices(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Old-to-new vertex ids in the order of first reference by the faces."""
     seen = corners(faces).groupBy(M, "v").agg(F.min(F.col("face") * 3 + F.col("slot")).alias("_first"))
     return running(seen, [M], "_first", "_first", pos="new_v").select(M, "v", "new_v")
+
+
+def orient(faces: DataFrame) -> DataFrame:
+    """Flip faces so that all faces of a connected piece wind like its lowest face.
+
+    Each face stands for two nodes, as it is and flipped; a shared edge links the states that agree.
+    The connected component that holds the lowest face unflipped names every face's state, in a
+    logarithmic number of rounds.  Pieces that cannot be oriented are left alone.
+    """
+    from facetry.operators.hops import components
+
+    e = directed_edges(faces).select(
+        M, "face", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") < F.col("q")).alias("up")
+    )
+    # every face is linked to the lowest face of an edge, so crowded edges make stars, not pairs
+    lead = e.groupBy(M, "lo", "hi").agg(F.min("face").alias("lead"), F.min_by("up", "face").alias("lead_up"))
+    link = e.join(lead, [M, "lo", "hi"]).filter(F.col("face") != F.col("lead"))
+    clash = (F.col("up") == F.col("lead_up")).cast("long")
+    two = F.array(
+        *[F.struct((F.col("face") * 2 + s).alias("i"), (F.col("lead") * 2 + (clash if s == 0 else 1 - clash)).alias("j")) for s in (0, 1)]
+    )
+    states = faces.select(M, F.explode(F.array(F.col("face") * 2, F.col("face") * 2 + 1)).alias("node"))
+    root = components(link.select(M, F.inline(two)), states, [M])
+    kept = root.filter(F.col("node") % 2 == 0).select(M, (F.col("node") / 2).cast("long").alias("face"), F.col("root").alias("_a"))
+    other = root.filter(F.col("node") % 2 == 1).select(M, F.floor(F.col("node") / 2).alias("face"), F.col("root").alias("_b"))
+    flip = (F.col("_a") != F.col("_b")) & (F.col("_a") % 2 == 1)
+    rows = faces.join(kept, [M, "face"]).join(other, [M, "face"])
+    return rows.select(
+        M, "face", F.when(flip, F.col("v2")).otherwise(F.col("v0")).alias("v0"), "v1",
+        F.when(flip, F.col("v0")).otherwise(F.col("v2")).alias("v2"),
+    )
+
+
+def principal_curvatures(geometry: DataFrame, normals: DataFrame) -> DataFrame:
+    """``(mesh_id, v, k1, k2, d1x.., d2x..)``: vertex curvatures with ``|k1| >= |k2|`` and their directions.
+
+    A curvature tensor is fitted per face to the change of the vertex normals along its edges, carried to
+    the tangent plane of each corner and averaged by Voronoi area (published per-face tensor method).
+    """
+    cols = ["nx", "ny", "nz"]
+    g = geometry
+    for i, c in enumerate("abc"):
+        g = g.join(normals.select(M, F.col("v").alias(f"v{i}"), *[F.col(n).alias(f"{c}{n}") for n in cols]), [M, f"v{i}"])
+    pts = [vec3(c) for c in "abc"]
+    nrm = [tuple(F.col(f"{c}{n}") for n in cols) for c in "abc"]
+    e = [sub3(pts[(i + 2) % 3], pts[(i + 1) % 3]) for i in range(3)]
+    raw = cross3(e[0], e[1])
+
+    def unit(v):
+        size = len3(v)
+        return tuple(F.when(size > 0, c / size).otherwise(0.0) for c in v)
+
+    def put(df, **vectors):
+        return df.withColumns({f"{n}{k}": c for n, v in vectors.items() for k, c in zip("xyz", v)})
+
+    g = put(g, t_=unit(e[0]), f_=unit(raw))
+    g = put(g, b_=cross3(vec3("f_"), vec3("t_")))
+    t, b = vec3("t_"), vec3("b_")
+    u = [dot3(x, t) for x in e]
+    v = [dot3(x, b) for x in e]
+    dn = [sub3(nrm[(i + 2) % 3], nrm[(i + 1) % 3]) for i in range(3)]
+    total = lambda terms: sum(terms, F.lit(0.0))
+    g = g.withColumns(
+        {
+            "_uu": total(x * x for x in u),
+            "_uv": total(x * y for x, y in zip(u, v)),
+            "_vv": total(y * y for y in v),
+            "_m0": total(dot3(d, t) * x for d, x in zip(dn, u)),
+            "_m1": total(dot3(d, t) * y + dot3(d, b) * x for d, x, y in zip(dn, u, v)),
+            "_m2": total(dot3(d, b) * y for d, y in zip(dn, v)),
+        }
+    )
+    uu, uv, vv = F.col("_uu"), F.col("_uv"), F.col("_vv")
+    zero = F.lit(0.0)
+    columns = [(uu, uv, zero), (uv, uu + vv, uv), (zero, uv, vv)]
+    rhs = (F.col("_m0"), F.col("_m1"), F.col("_m2"))
+    det = lambda c: dot3(c[0], cross3(c[1], c[2]))
+    g = g.withColumn("_det", det(columns))
+    for j in range(3):
+        swapped = [rhs if i == j else columns[i] for i in range(3)]
+        g = g.withColumn(f"_k{j}", F.when(F.abs("_det") > 1e-30, det(swapped) / F.col("_det")).otherwise(0.0))
+    share = corner_areas(g)
+    rows = F.array(
+        *[
+            F.struct(
+                F.col(f"v{i}").alias("v"), share[i].alias("w"), *[n.alias(f"n{k}") for n, k in zip(nrm[i], "xyz")],
+                *[c.alias(f"e{k}") for c, k in zip(sub3(pts[(i + 1) % 3], pts[i]), "xyz")],
+            )
+            for i in range(3)
+        ]
+    )
+    keep = [f"{p}{k}" for p in ("t_", "b_", "f_") for k in "xyz"]
+    c = g.select(M, "face", *keep, "_k0", "_k1", "_k2", F.inline(rows))
+    # a vertex's reference direction comes from its highest face
+    frame = c.groupBy(M, "v").agg(F.max_by(F.struct("ex", "ey", "ez", "nx", "ny", "nz"), "face").alias("_r"))
+    frame = frame.select(M, "v", *[F.col(f"_r.{p}{k}").alias(f"{p}{k}") for p in "en" for k in "xyz"])
+    frame = put(frame, p_=unit(cross3(vec3("e"), vec3("n"))))
+    frame = put(frame, q_=cross3(vec3("n"), vec3("p_")))
+    frame = frame.select(M, "v", *[f"{p}{k}" for p in ("n", "p_", "q_") for k in "xyz"])
+    c = c.drop("nx", "ny", "nz", "ex", "ey", "ez").join(frame, [M, "v"])
+    # turn the vertex frame into the plane of the face, then read the tensor in it
+    n, face_n = vec3("n"), vec3("f_")
+    cos = dot3(n, face_n)
+    shift = tuple((a - cos * x) for a, x in zip(face_n, n))
+    bend = tuple((a + x) / (1 + cos) for a, x in zip(n, face_n))
+
+    def turned(p):
+        along = dot3(p, shift)
+        opposite = cos <= -1 + 1e-12
+        return tuple(F.when(opposite, -x).otherwise(x - y * along) for x, y in zip(p, bend))
+
+    rp, rq = turned(vec3("p_")), turned(vec3("q_"))
+    c = c.withColumns(
+        {"_u1": dot3(rp, vec3("t_")), "_v1": dot3(rp, vec3("b_")), "_u2": dot3(rq, vec3("t_")), "_v2": dot3(rq, vec3("b_"))}
+    )
+    u1, v1, u2, v2 = (F.col(x) for x in ("_u1", "_v1", "_u2", "_v2"))
+    k0, k1, k2 = F.col("_k0"), F.col("_k1"), F.col("_k2")
+    w = F.col("w")
+    s = c.groupBy(M, "v").agg(
+        weighted_mean(k0 * u1 * u1 + 2 * k1 * u1 * v1 + k2 * v1 * v1, w).alias("_a"),
+        weighted_mean(k0 * u1 * u2 + k1 * (u1 * v2 + u2 * v1) + k2 * v1 * v2, w).alias("_b"),
+        weighted_mean(k0 * u2 * u2 + 2 * k1 * u2 * v2 + k2 * v2 * v2, w).alias("_c"),
+    )
+    a, b2, c2 = F.col("_a"), F.col("_b"), F.col("_c")
+    root = F.sqrt((a - c2) * (a - c2) / 4 + b2 * b2)
+    s = s.withColumns({"_hi": (a + c2) / 2 + root, "_lo": (a + c2) / 2 - root})
+    s = s.withColumns(
+        {
+            "k1": F.when(F.abs("_hi") >= F.abs("_lo"), F.col("_hi")).otherwise(F.col("_lo")),
+            "k2": F.when(F.abs("_hi") >= F.abs("_lo"), F.col("_lo")).otherwise(F.col("_hi")),
+        }
+    )
+    # direction of k1 in the tangent frame: (b, k1 - a), or an axis when the tensor is diagonal
+    x = F.when(F.abs(b2) > 1e-12, b2).when(F.abs(a - F.col("k1")) <= F.abs(c2 - F.col("k1")), 1.0).otherwise(0.0)
+    y = F.when(F.abs(b2) > 1e-12, F.col("k1") - a).otherwise(1.0 - x)
+    s = s.join(frame, [M, "v"])
+    p, q = vec3("p_"), vec3("q_")
+    s = put(s, d1=unit(tuple(x * i + y * j for i, j in zip(p, q))))
+    s = put(s, d2=cross3(vec3("n"), vec3("d1")))
+    return s.select(M, "v", "k1", "k2", *[f"d{i}{k}" for i in (1, 2) for k in "xyz"])

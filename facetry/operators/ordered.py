@@ -64,7 +64,7 @@ def cumulate(
     Equal values share one running total (the tie rule of sorted scans).  Output columns: group,
     value, ``m``, ``cum_m`` (inclusive) and ``total_m`` for each measure ``m``.
     """
-    src = df.withColumn("_v", _number(value)).filter("_v is not null")
+    src = df.filter(F.col(value).isNotNull()).withColumn("_v", _number(value))
     cells = _cells_needed(src, rows_per_cell)
     cuts = _cuts(src, "_v", cells) if cells > 1 else []
     sums = [F.sum(expr).alias(name) for name, expr in measures.items()]
