@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.functions.scalar import EPSILON, log_rescale
-from facetry.functions.vectors import dot3, sub3, vec3
+from facetry.functions.scalar import EPSILON, log_rescale, sgn
+from facetry.functions.vectors import cross3, dot3, sub3, vec3
 from facetry.operators import mesh
 from facetry.operators.neighbours import knn
 from facetry.operators.ordered import at_position, cumulate
@@ -173,16 +173,34 @@ def _finish(stats: DataFrame, keys: list[str], out: str) -> DataFrame:
     return scaled.select(*keys, "stat", out, *[log_rescale(F.col(out), b).alias(f"{out}_log{b}") for b in LOG_BASES])
 
 
-def _frames(geometry: DataFrame, normals: DataFrame) -> DataFrame:
-    """Origin at the face centre, axis against the normal, and a side direction along the first edge."""
+def _frames(geometry: DataFrame, normals: DataFrame, directions: DataFrame | None = None) -> DataFrame:
+    """Origin at the face centre, axis against the normal, and a side direction orthogonal to it.
+
+    With ``directions`` (vertex curvatures) the side follows the corners' main curvature directions,
+    each turned to agree with those before it; otherwise it follows the face's first edge.
+    """
     g = geometry.join(normals, [M, "face"])
-    e = sub3(vec3("b"), vec3("a"))
-    along = dot3(e, vec3("n"))
-    flat = tuple(c - along * n for c, n in zip(e, vec3("n")))
-    size = F.sqrt(dot3(flat, flat))
+    axis = tuple(-c for c in vec3("n"))
+    if directions is None:
+        e = sub3(vec3("b"), vec3("a"))
+        along = dot3(e, vec3("n"))
+        side = tuple(c - along * n for c, n in zip(e, vec3("n")))
+    else:
+        names = [f"d1{k}" for k in "xyz"]
+        for i in range(3):
+            at = directions.select(M, F.col("v").alias(f"v{i}"), *[F.col(n).alias(f"_p{i}{k}") for n, k in zip(names, "xyz")])
+            g = g.join(at, [M, f"v{i}"])
+        main = vec3("_p0")
+        for i, against in ((1, vec3("_p0")), (2, None)):
+            p = vec3(f"_p{i}")
+            turn = sgn(dot3(main if against is None else against, p))
+            main = tuple(m + turn * c for m, c in zip(main, p))
+        side = cross3(main, axis)
+    g = g.withColumns({f"u{k}": c for k, c in zip("xyz", side)})
+    size = F.sqrt(dot3(vec3("u"), vec3("u")))
     return g.select(
-        M, "face", *[F.col(f"g{k}").alias(f"o{k}") for k in "xyz"], *[(-F.col(f"n{k}")).alias(f"v{k}") for k in "xyz"],
-        *[F.when(size > 0, c / size).otherwise(0.0).alias(f"u{k}") for c, k in zip(flat, "xyz")],
+        M, "face", *[F.col(f"g{k}").alias(f"o{k}") for k in "xyz"], *[c.alias(f"v{k}") for c, k in zip(axis, "xyz")],
+        *[F.when(size > 0, F.col(f"u{k}") / size).otherwise(0.0).alias(f"u{k}") for k in "xyz"],
     )
 
 
@@ -196,13 +214,13 @@ def _cast(rays: DataFrame, geometry: DataFrame, vertices: DataFrame, skip: Colum
     return out.select(M, "face", "cone", F.least(F.coalesce("d", "_diag"), F.col("_diag")).alias("d"))
 
 
-def shape_diameter(geometry, normals, vertices, tile_rows: int = TILE_ROWS) -> DataFrame:
+def shape_diameter(geometry, normals, vertices, directions: DataFrame | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Inside distances over nested cones: ``(mesh_id, face, cone, stat, sdf, sdf_log..)``.
 
     Cone ``c`` uses all rays up to its angle.  The nearest hit is exact (all triangles are tried).
     """
     step_count = int(CONES[-1] / CONE_STEP) + 1
-    rays = cut(cone_rays(_frames(geometry, normals), [i * CONE_STEP for i in range(step_count)], TURN_STEP))
+    rays = cut(cone_rays(_frames(geometry, normals, directions), [i * CONE_STEP for i in range(step_count)], TURN_STEP))
     hits = cut(_cast(rays, geometry, vertices, F.col("face"), tile_rows))
     reach = [int(c / CONE_STEP) for c in CONES]
     nested = F.filter(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(r).alias("r")) for i, r in enumerate(reach)]), lambda s: s["r"] >= F.col("cone"))
@@ -210,9 +228,9 @@ def shape_diameter(geometry, normals, vertices, tile_rows: int = TILE_ROWS) -> D
     return _finish(cut(_ray_statistics(long, [M, "face", "cone"])), [M, "face", "cone"], "sdf")
 
 
-def visible_shape(geometry, normals, vertices, tile_rows: int = TILE_ROWS) -> DataFrame:
+def visible_shape(geometry, normals, vertices, directions: DataFrame | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Distances seen from the middle of the local thickness: ``(mesh_id, face, stat, vsi, vsi_log..)``."""
-    frames = cut(_frames(geometry, normals))
+    frames = cut(_frames(geometry, normals, directions))
     step_count = int(CONES[-1] / CONE_STEP) + 1
     inside = cut(cone_rays(frames, [i * CONE_STEP for i in range(step_count)], TURN_STEP))
     half = _cast(inside, geometry, vertices, F.col("face"), tile_rows).groupBy(M, "face").agg((F.min("d") / 2).alias("_half"))

@@ -616,3 +616,22 @@ def graph_preparation(t):
     features = g.select(M, "face", F.array("gz", "area").alias("f"))
     labels = g.select(M, "face", (1 + col("face") % 3).alias("label"))
     return prepare_graphs(features, near, labels, g.select(M, "face", "area"), levels=2, k=4)["rows"].drop("f")
+
+
+@query("principal_curvatures")
+def principal_curvatures(t):
+    g = cut(geometry(t))
+    k = mesh.principal_curvatures(g, cut(mesh.vertex_normals(g)))
+    return rounded(k, [M, "v"], k1="k1", k2="k2")
+
+
+@query("orient_faces", f"WITH {MESH} SELECT mesh_id, face, v0, v1, v2 FROM fc")
+def orient_faces(t):
+    """Every face but the lowest of each mesh is flipped or not by a hash; orienting undoes it."""
+    f = faces(t)
+    odd = (F.pmod(F.xxhash64(M, "face"), F.lit(2)) == 1) & (col("face") > 0)
+    mixed = f.select(
+        M, "face", F.when(odd, col("v2")).otherwise(col("v0")).alias("v0"), "v1",
+        F.when(odd, col("v0")).otherwise(col("v2")).alias("v2"),
+    )
+    return mesh.orient(cut(mixed))

@@ -42,10 +42,12 @@ def extract_descriptors(vertices: DataFrame, faces: DataFrame, radius: float | N
             out["sc"] = descriptors.shape_context(paths, g, n)
         if "geo" in families:
             out["geo"] = descriptors.geodesic_statistics(paths, g.select(M, "face", "area"))
-    if "sdf" in families:
-        out["sdf"] = spatial.shape_diameter(g, n, v)
-    if "vsi" in families:
-        out["vsi"] = spatial.visible_shape(g, n, v)
+    if {"sdf", "vsi"} & set(families):
+        main = cut(mesh.principal_curvatures(g, vn))
+        if "sdf" in families:
+            out["sdf"] = spatial.shape_diameter(g, n, v, main)
+        if "vsi" in families:
+            out["vsi"] = spatial.visible_shape(g, n, v, main)
     if "si" in families:
         out["si"] = descriptors.spin_images(g, n, v, vn, mesh.vertex_areas(g))
     return out

@@ -88,15 +88,17 @@ def ray_distances(t):
 @query("shape_diameter")
 def shape_diameter(t):
     g = cut(geometry(t))
-    n = cut(mesh.smooth_face_normals(faces(t), mesh.vertex_normals(g)))
-    return spatial.shape_diameter(g, n, vertices(t))
+    vn = cut(mesh.vertex_normals(g))
+    n = cut(mesh.smooth_face_normals(faces(t), vn))
+    return spatial.shape_diameter(g, n, vertices(t), cut(mesh.principal_curvatures(g, vn)))
 
 
 @query("visible_shape")
 def visible_shape(t):
     g = cut(geometry(t))
-    n = cut(mesh.smooth_face_normals(faces(t), mesh.vertex_normals(g)))
-    return spatial.visible_shape(g, n, vertices(t))
+    vn = cut(mesh.vertex_normals(g))
+    n = cut(mesh.smooth_face_normals(faces(t), vn))
+    return spatial.visible_shape(g, n, vertices(t), cut(mesh.principal_curvatures(g, vn)))
 
 
 @query("part_axes")
