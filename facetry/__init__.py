@@ -6,5 +6,5 @@ Every public operator takes DataFrames and returns DataFrames, so operators chai
 ``sources``    readers and writers for mesh, adjacency, label and descriptor text
 ``functions``  column expressions (vectors, angles, scalar shaping)
 ``operators``  relational operators (statistics, votes, graphs, energies, boosting, meshes)
-``plans``      end-to-end pipelines and the catalogue of named queries
+``plans``      end-to-end jobs and the catalogue of named queries
 """

@@ -134,8 +134,12 @@ class _Layout:
         self.subs = np.ceil(self.rows / tile_rows).astype(int)
         self.pivots = pivots[self.cell]
 
-    def gaps(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(((x[:, None, :] - self.pivots[None, :, :]) ** 2).sum(2))
+    def gaps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Safe lower and upper bounds of the distance from every row to every pivot."""
+        scale = (x**2).sum(1)[:, None] + (self.pivots**2).sum(1)[None, :]
+        d2 = scale - 2.0 * (x @ self.pivots.T)
+        slack = 1e-9 * (scale + 1.0)
+        return np.sqrt(np.maximum(d2 - slack, 0.0)), np.sqrt(np.maximum(d2, 0.0) + slack)
 
 
 def _place(src: DataFrame, n_pivots: int, tile_rows: int) -> tuple[DataFrame, _Layout]:
@@ -168,7 +172,7 @@ def _routed(queries: DataFrame, tiles: DataFrame, layout: _Layout, k: int, tile_
         for pdf in batches:
             if not len(pdf):
                 continue
-            gap = layout.gaps(_matrix(pdf["v"])) - layout.radius[None, :]
+            gap = layout.gaps(_matrix(pdf["v"]))[0] - layout.radius[None, :]
             hit = gap <= pdf["limit"].to_numpy()[:, None] + 1e-9
             own = pdf["tile"].to_numpy()
             for s in range(int(layout.subs.max())):
@@ -222,7 +226,7 @@ def nearest(
     def reach(batches):
         for pdf in batches:
             if len(pdf):
-                far = layout.gaps(_matrix(pdf["v"])) + layout.radius[None, :]
+                far = layout.gaps(_matrix(pdf["v"]))[1] + layout.radius[None, :]
                 limit = far[:, full].min(1) if full.any() else np.full(len(pdf), np.inf)
                 yield pdf.assign(tile=-1, limit=np.minimum(limit, cap))
 

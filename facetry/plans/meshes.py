@@ -609,7 +609,7 @@ def curvature_descriptor(t):
 @query("graph_preparation")
 def graph_preparation(t):
     """Training rows of all meshes: kernel graph, two coarsenings, tree order, padding."""
-    from facetry.plans.pipeline import prepare_graphs
+    from facetry.plans.jobs import prepare_graphs
 
     g = cut(geometry(t))
     near = mesh.across_edges(faces(t)).select(M, col("face").alias("src"), "slot", col("nbr").alias("dst"))

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from facetry.plans import pipeline
+from facetry.plans import jobs
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,7 @@ def sphere(spark):
 
 def test_descriptors_ignore_the_size_of_a_mesh(spark, sphere):
     v, f, n = sphere
-    out = pipeline.extract_descriptors(v, f, radius=0.8, families=["geo", "si", "sdf"])
+    out = jobs.extract_descriptors(v, f, radius=0.8, families=["geo", "si", "sdf"])
     geo = out["geo"].collect()
     assert len(geo) == 2 * n
     a = {r.face: r.g0 for r in geo if r.mesh_id == 0}
@@ -54,7 +54,7 @@ def test_graph_preparation_and_recovery(spark, sphere):
     near = mesh.across_edges(f).select("mesh_id", F.col("face").alias("src"), "slot", F.col("nbr").alias("dst"))
     features = g.select("mesh_id", "face", F.array("gx", "gy", "gz").alias("f"))
     labels = g.select("mesh_id", "face", (1 + F.col("face") % 3).alias("label"))
-    out = pipeline.prepare_graphs(features, near, labels, g.select("mesh_id", "face", "area"), levels=1, k=3)
+    out = jobs.prepare_graphs(features, near, labels, g.select("mesh_id", "face", "area"), levels=1, k=3)
     rows = out["rows"].collect()
     for m in (0, 1):
         mine = [r for r in rows if r.mesh_id == m]
@@ -67,7 +67,7 @@ def test_graph_preparation_and_recovery(spark, sphere):
     one_hot = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.when(F.col("truth") == c, 1.0).otherwise(0.0).alias("score")) for c in range(4)]))
     scores = out["rows"].select("mesh_id", "pos", F.col("label").alias("truth")).select("mesh_id", "pos", one_hot.alias("s")).select("mesh_id", "pos", "s.*")
     count = f.groupBy("mesh_id").agg(F.count("*").alias("n"))
-    back = pipeline.recover_predictions(scores, out["orders"][0], count).join(labels, ["mesh_id", "face"])
+    back = jobs.recover_predictions(scores, out["orders"][0], count).join(labels, ["mesh_id", "face"])
     assert back.count() == 2 * n and back.filter("pred <> label").count() == 0
 
 
@@ -80,8 +80,8 @@ def test_vote_and_score(spark):
     preds = spark.createDataFrame(rows, "fold int, mesh_id string, face int, model int, label int")
     truth = spark.createDataFrame([("m", k, 1) for k in range(4)], "mesh_id string, face int, label int")
     areas = spark.createDataFrame([("m", k, 0.25) for k in range(4)], "mesh_id string, face int, area double")
-    got = {(r["mask"], r.fold): r.accuracy for r in pipeline.vote_and_score(preds, truth, areas, ["1111111", "0001000"]).collect()}
+    got = {(r["mask"], r.fold): r.accuracy for r in jobs.vote_and_score(preds, truth, areas, ["1111111", "0001000"]).collect()}
     assert got == {("1111111", 1): 1.0, ("1111111", None): 1.0, ("0001000", 1): 0.75, ("0001000", None): 0.75}
     chain = spark.createDataFrame([("m", k, k + 1, 1.0) for k in range(3)], "mesh_id string, i int, j int, w double")
-    smooth = pipeline.vote_and_score(preds, truth, areas, ["0001000"], chain, [1, 2])
+    smooth = jobs.vote_and_score(preds, truth, areas, ["0001000"], chain, [1, 2])
     assert {r.accuracy for r in smooth.collect()} <= {0.75, 1.0}
