@@ -315,3 +315,40 @@ def class_context(paths: DataFrame, probabilities: DataFrame, areas: DataFrame,
     )
     rows = rows.join(p, [M, "node"])
     return rows.groupBy(M, "face", "xb", "label").agg(F.sum(F.col("_w") * F.col("p")).alias("mass"))
+
+
+def axis_context(
+    geometry: DataFrame, probabilities: DataFrame, axes: DataFrame, classes: int, bins: int = 5, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """Class probability mass by distance along the axes of a mesh: ``(mesh_id, face, axis, xb, label, mass)``.
+
+    ``probabilities(mesh_id, face, p)`` with one array of ``classes`` values, ``axes(mesh_id, axis, ax, ay,
+    az, extent)``, three per mesh.  Bins are closed at both ends and reach 1.2 times the extent.
+    """
+    total = geometry.groupBy(M).agg(F.sum("area").alias("_total"))
+    frame = axes.groupBy(M).agg(F.array_sort(F.collect_list(F.struct("axis", "ax", "ay", "az", "extent"))).alias("_x"))
+    flat = F.flatten(F.transform("_x", lambda a: F.array(a["ax"], a["ay"], a["az"], a["extent"])))
+    faces = geometry.join(probabilities, [M, "face"]).join(total, M).join(frame, M)
+    faces = faces.select(M, "face", "gx", "gy", "gz", (F.col("area") / F.col("_total")).alias("share"), "p", flat.alias("frame"))
+    unit = np.array(hist.log_edges(bins, hist.REACH))
+    schema = f"{M} long, face long, axis int, xb int, label int, mass double"
+    names = [M, "face", "axis", "xb", "label", "mass"]
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        x, y = a[["gx", "gy", "gz"]].to_numpy(), b[["gx", "gy", "gz"]].to_numpy()
+        mass = np.stack(b["p"].to_numpy()) * b["share"].to_numpy()[:, None]
+        out = np.zeros((len(a), 3, bins, classes))
+        for k, row in enumerate(np.reshape(a["frame"].iloc[0], (-1, 4))):
+            reach = row[3]
+            gap = np.abs((y @ row[:3])[None, :] - (x @ row[:3])[:, None])
+            fade = 1.0 / (gap / reach + 0.1)
+            for i in range(bins):
+                inside = (gap >= unit[i] * reach) & (gap <= unit[i + 1] * reach)
+                out[:, k, i] = np.where(inside, fade, 0.0) @ mass
+        f, k, i, c = np.nonzero(out)
+        return pd.DataFrame(dict(zip(names, (a[M].to_numpy()[f], a["face"].to_numpy()[f], k, i, c, out[f, k, i, c]))))
+
+    parts = tile_product(faces, faces, [M], "face", "face", kernel, schema, tile_rows)
+    return parts.groupBy(M, "face", "axis", "xb", "label").agg(F.sum("mass").alias("mass"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.scalar import powers
+from facetry.functions.vectors import cross3, dot3, len3, vec3
+from facetry.operators.hist import log_edges
 from facetry.operators.ordered import cumulate
 from facetry.session import cut
 
@@ -71,3 +73,67 @@ def differences(edges: DataFrame, values: DataFrame, names: list[str]) -> DataFr
     b = values.select(M, F.col("face").alias("nbr"), *[F.col(n).alias(f"_b_{n}") for n in names])
     rows = edges.join(a, [M, "face"]).join(b, [M, "nbr"])
     return rows.select(M, "edge", *[F.abs(F.col(f"_a_{n}") - F.col(f"_b_{n}")).alias(f"d_{n}") for n in names])
+
+
+# Bins, reach and probability floor of the edge context.
+CONTEXT_BINS = 4
+CONTEXT_LOG_EXPONENT = 1.0
+CONTEXT_REACH = 0.08
+CONTEXT_FLOOR = 0.5
+
+
+def _edge_facts(edges: DataFrame, geometry: DataFrame, normals: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Midpoint (``cx..``) and area-weighted unit normal (``ex..``) of every edge."""
+    v = vertices.select(M, "v", "x", "y", "z")
+    f = geometry.select(M, "face", "area").join(normals, [M, "face"])
+    f = f.select(M, "face", *[(F.col(f"n{k}") * F.col("area")).alias(f"f{k}") for k in "xyz"])
+    rows = (
+        edges.join(v.selectExpr(M, "v as p", "x as px", "y as py", "z as pz"), [M, "p"])
+        .join(v.selectExpr(M, "v as q", "x as qx", "y as qy", "z as qz"), [M, "q"])
+        .join(f, [M, "face"])
+        .join(f.selectExpr(M, "face as nbr", "fx as hx", "fy as hy", "fz as hz"), [M, "nbr"])
+    )
+    n = tuple(F.col(f"f{k}") + F.col(f"h{k}") for k in "xyz")
+    size = len3(n)
+    return rows.select(
+        M, "edge", *[((F.col(f"p{k}") + F.col(f"q{k}")) / 2).alias(f"c{k}") for k in "xyz"],
+        *[F.when(size > 0, c / size).otherwise(0.0).alias(f"e{k}") for c, k in zip(n, "xyz")],
+    )
+
+
+def edge_context(
+    edges: DataFrame,
+    probabilities: DataFrame,
+    weights: DataFrame,
+    geometry: DataFrame,
+    normals: DataFrame,
+    vertices: DataFrame,
+    paths: DataFrame,
+    reach: float = CONTEXT_REACH,
+) -> DataFrame:
+    """Boundary probability around every edge: ``(mesh_id, edge, xb, mass, coplanar)``.
+
+    ``probabilities(mesh_id, edge, p)``; edges with ``p`` below one half do not count.  Bin ``xb`` holds
+    everything up to its outer distance.  ``mass`` divides by distance, ``coplanar`` weights by how far
+    the other edge lies in the plane of this one.  An edge counts once per end it is reached from.
+    """
+    facts = cut(_edge_facts(edges, geometry, normals, vertices))
+    likely = probabilities.filter((F.col("p") >= CONTEXT_FLOOR) & (F.col("p") <= 1)).join(weights, [M, "edge"])
+    likely = likely.join(facts, [M, "edge"]).join(vertex_edges(edges).withColumnRenamed("v", "node"), [M, "edge"])
+    other = likely.select(
+        M, "node", (F.col("p") * F.col("weight")).alias("_pw"), *[F.col(f"{p}{k}").alias(f"o{p}{k}") for p in "ce" for k in "xyz"]
+    )
+    own = vertex_edges(edges).withColumnRenamed("v", "src").join(facts, [M, "edge"])
+    rows = own.join(paths.filter(F.col("d") <= reach), [M, "src"]).join(other, [M, "node"])
+    gap = tuple(F.col(f"oc{k}") - F.col(f"c{k}") for k in "xyz")
+    turn = cross3(gap, vec3("e"))
+    size = len3(turn)
+    rows = rows.withColumn("_side", F.when(size > 0, F.abs(dot3(turn, vec3("oe"))) / size).otherwise(0.0))
+    flat = 1.0 - F.col("_side")
+    outer = log_edges(CONTEXT_BINS, reach, CONTEXT_LOG_EXPONENT)[1:]
+    bins = F.array(*[F.struct(F.lit(i).alias("xb"), F.lit(e).alias("end")) for i, e in enumerate(outer)])
+    rows = rows.select(
+        M, "edge", (F.col("_pw") / (F.col("d") + OFFSET)).alias("_near"), (F.col("_pw") * flat * flat).alias("_flat"),
+        F.explode(F.filter(bins, lambda b: F.col("d") <= b["end"])).alias("_b"),
+    )
+    return rows.groupBy(M, "edge", F.col("_b.xb").alias("xb")).agg(F.sum("_near").alias("mass"), F.sum("_flat").alias("coplanar"))

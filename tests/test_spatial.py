@@ -90,3 +90,76 @@ def test_subdivision_keeps_area_and_closes(spark):
     assert f2.count() == 48 and v2.count() == 8 + 18
     assert mesh.face_geometry(f2, v2).agg(F.sum("area")).first()[0] == pytest.approx(24.0)
     assert mesh.across_edges(f2).filter("nbr is null").count() == 0
+
+
+def test_edge_context_matches_a_plain_loop(spark):
+    from facetry.operators import hops
+
+    v, f = cube(spark)
+    g = mesh.face_geometry(f, v)
+    n = mesh.smooth_face_normals(f, mesh.vertex_normals(g))
+    e = edges.edge_ids(mesh.across_edges(f))
+    w = edges.edge_weights(e, g.select("mesh_id", "face", "area"))
+    p = e.select("mesh_id", "edge", ((F.col("edge") % 5) / 4.0).alias("p"))
+    nb = mesh.vertex_neighbours(f)
+    pos = {r.v: np.array([r.x, r.y, r.z]) for r in v.collect()}
+    length = spark.createDataFrame(
+        [(0, r.i, r.j, float(np.linalg.norm(pos[r.i] - pos[r.j]))) for r in nb.collect()], "mesh_id int, i long, j long, w double"
+    )
+    src = v.select("mesh_id", F.col("v").alias("src"))
+    paths = hops.bounded_distances(length, src, 2.1, ["mesh_id"])
+    got = {(r.edge, r.xb): (r.mass, r.coplanar) for r in edges.edge_context(e, p, w, g, n, v, paths, reach=2.5).collect()}
+    E = {r.edge: r for r in e.collect()}
+    weight, prob = ({r.edge: r[c] for r in df.collect()} for df, c in ((w, "weight"), (p, "p")))
+    area = {r.face: r.area for r in g.collect()}
+    normal = {r.face: np.array([r.nx, r.ny, r.nz]) for r in n.collect()}
+    mid = {k: (pos[r.p] + pos[r.q]) / 2 for k, r in E.items()}
+    up = {k: normal[r.face] * area[r.face] + normal[r.nbr] * area[r.nbr] for k, r in E.items()}
+    up = {k: x / np.linalg.norm(x) for k, x in up.items()}
+    ends = [2.5 * (-np.log((5 - x - 1) / 5)) / np.log(5) for x in range(4)]
+    want = {}
+    dist = [(r.src, r.node, r.d) for r in paths.collect()]
+    for k, r in E.items():
+        for end in (r.p, r.q):
+            for s, node, d in dist:
+                if s != end:
+                    continue
+                for o, ro in E.items():
+                    if node not in (ro.p, ro.q) or prob[o] < 0.5:
+                        continue
+                    t = np.cross(mid[o] - mid[k], up[k])
+                    side = abs(t @ up[o]) / np.linalg.norm(t) if np.linalg.norm(t) > 1e-12 else 0.0
+                    for x, far in enumerate(ends):
+                        if d <= far:
+                            m = want.setdefault((k, x), [0.0, 0.0])
+                            m[0] += weight[o] * prob[o] / (d + 0.01)
+                            m[1] += weight[o] * prob[o] * (1 - side) ** 2
+    assert set(got) == set(want)
+    for key, (m, c) in want.items():
+        assert got[key] == (pytest.approx(m), pytest.approx(c))
+
+
+@pytest.mark.parametrize("tile", [2048, 5])
+def test_axis_context_matches_a_plain_loop(spark, tile):
+    from facetry.operators import descriptors, hist
+
+    v, f = cube(spark)
+    g = mesh.face_geometry(f, v)
+    p = g.select("mesh_id", "face", F.array((F.col("face") % 3) / 2.0, F.lit(0.25)).alias("p"))
+    ax = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0, 2.0), (0, 1, 0.0, 1.0, 0.0, 1.0), (0, 2, 0.0, 0.6, 0.8, 3.0)], "mesh_id int, axis int, ax double, ay double, az double, extent double")
+    got = {(r.face, r.axis, r.xb, r.label): r.mass for r in descriptors.axis_context(g, p, ax, 2, tile_rows=tile).collect()}
+    rows = g.collect()
+    total = sum(r.area for r in rows)
+    want = {}
+    for a in rows:
+        for b in rows:
+            for axis, (d, reach) in enumerate([((1, 0, 0), 2.0), ((0, 1, 0), 1.0), ((0, 0.6, 0.8), 3.0)]):
+                gap = abs((b.gx - a.gx) * d[0] + (b.gy - a.gy) * d[1] + (b.gz - a.gz) * d[2])
+                ends = hist.log_edges(5, 1.2 * reach)
+                for i in range(5):
+                    if ends[i] <= gap <= ends[i + 1]:
+                        for c, prob in enumerate(((b.face % 3) / 2.0, 0.25)):
+                            if prob:
+                                key = (a.face, axis, i, c)
+                                want[key] = want.get(key, 0.0) + b.area / total * prob / (gap / reach + 0.1)
+    assert got == pytest.approx(want)
