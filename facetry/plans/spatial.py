@@ -189,3 +189,47 @@ def edge_differences(t):
     g = geometry(t)
     e = edges.edge_ids(mesh.across_edges(faces(t)))
     return rounded(edges.differences(e, g.select(M, "face", "area"), ["area"]), [M, "edge"], d_area="d_area")
+
+
+@query(
+    "axis_context",
+    f"""WITH {GEO}, bb AS (SELECT mesh_id, max(x)-min(x) AS sx, max(y)-min(y) AS sy, max(z)-min(z) AS sz FROM vx GROUP BY ALL),
+        ta AS (SELECT mesh_id, sum(area) AS total FROM ge GROUP BY ALL),
+        pr AS (SELECT g.mesh_id, g.face, h.area / total AS share, h.gz AS hp,
+                      unnest([abs(h.gx-g.gx), abs(h.gy-g.gy), abs(h.gz-g.gz)]) AS gap, unnest([sx, sy, sz]) AS reach,
+                      unnest([0, 1, 2]) AS axis FROM ge g JOIN ge h ON h.mesh_id = g.mesh_id
+               JOIN bb ON bb.mesh_id = g.mesh_id JOIN ta ON ta.mesh_id = g.mesh_id),
+        xb AS (SELECT i AS xb, pow(-ln((6.0-i)/6.0), 0.9) * 1.2 / pow(ln(6.0), 0.9) AS x1,
+                      pow(-ln((5.0-i)/6.0), 0.9) * 1.2 / pow(ln(6.0), 0.9) AS x2 FROM range(0, 5) r(i)),
+        su AS (SELECT mesh_id, face, axis, xb, sum(share * hp / (gap/reach + 0.1)) AS m0, sum(share * (1-hp) / (gap/reach + 0.1)) AS m1
+               FROM pr JOIN xb ON gap BETWEEN x1*reach AND x2*reach GROUP BY ALL)
+        SELECT mesh_id, face, axis::INT AS axis, xb::INT AS xb, 0 AS label, round(m0, 6) AS mass FROM su WHERE m0 <> 0
+        UNION ALL SELECT mesh_id, face, axis::INT, xb::INT, 1, round(m1, 6) FROM su WHERE m1 <> 0""",
+)
+def axis_context(t):
+    """Axes of the bounding box; two class probabilities per face, its height and the rest."""
+    g = cut(geometry(t))
+    box = mesh.bounding_box(vertices(t))
+    rows = [
+        F.struct(
+            F.lit(i).alias("axis"), *[F.lit(1.0 if k == i else 0.0).alias(f"a{c}") for k, c in enumerate("xyz")],
+            (col(f"max_{'xyz'[i]}") - col(f"min_{'xyz'[i]}")).alias("extent"),
+        )
+        for i in range(3)
+    ]
+    axes = box.select(M, F.inline(F.array(*rows)))
+    p = g.select(M, "face", F.array("gz", 1 - col("gz")).alias("p"))
+    return descriptors.axis_context(g, p, axes, 2).withColumn("mass", R("mass", 6))
+
+
+@query("edge_context")
+def edge_context(t):
+    """Boundary probability by edge number; the reach covers the first ring of vertices."""
+    g = cut(geometry(t))
+    e = cut(edges.edge_ids(mesh.across_edges(faces(t))))
+    n = mesh.smooth_face_normals(faces(t), mesh.vertex_normals(g))
+    w = edges.edge_weights(e, g.select(M, "face", "area"))
+    p = e.select(M, "edge", ((col("edge") % 5) / 4.0).alias("p"))
+    paths = hops.bounded_distances(cut(vertex_edges(t)), vertices(t).select(M, col("v").alias("src")), 0.5, [M])
+    out = edges.edge_context(e, p, w, g, n, vertices(t), paths, reach=1.2)
+    return out.select(M, "edge", "xb", R("mass", 6).alias("mass"), R("coplanar", 6).alias("coplanar"))
