@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.llm import secrets
+from facetry.llm import knn_quality, mixing, packing, pii, rule_forest, secrets, token_files
 from facetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,33 @@ def query(fn=None, *, sql: str | None = None):
 @query
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
+
+
+@query(sql=mixing.ORACLE_SQL)
+def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_files(table(spark, folder, "documents"))
+
+
+@query
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_pii(table(spark, folder, "documents"))
+
+
+@query
+def op4_knn_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return knn_quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op7_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return rule_forest.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
