@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.llm import knn_quality, mixing, packing, pii, rule_forest, secrets, token_files
+from facetry.llm import knn_quality, minhash, mixing, packing, pii, projections, rule_forest, secrets, suffix_dedup, token_files
 from facetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,18 @@ def op7_rule_forest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_groups(table(spark, folder, "documents"), size=3, percent=85)
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op10_sorted_projections(spark: SparkSession, folder: str) -> DataFrame:
+    return projections.near_vectors(table(spark, folder, "embeddings"))
