@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.session import cut
+from facetry.session import cut, forget
 
 
 def _relax(known: DataFrame, edges: DataFrame, group: list[str], live: Column, carry: list[str]) -> DataFrame:
@@ -176,12 +176,12 @@ def components(edges: DataFrame, nodes: DataFrame, group: list[str] | None = Non
     """Connected components ``(group, node, root)`` with the smallest node id as root.
 
     Minimum labels jump along their own pointers each round, so even a long chain needs only a
-    logarithmic number of rounds.
+    logarithmic number of rounds.  A round's table is deleted when the next one is written.
     """
     group = group or []
     sym = edges.select(*group, "i", "j").unionByName(edges.select(*group, F.col("j").alias("i"), F.col("i").alias("j")))
     sym = cut(sym.filter(F.col("i") != F.col("j")).distinct())
-    label = nodes.select(*group, "node", F.col("node").alias("root"))
+    label, written = nodes.select(*group, "node", F.col("node").alias("root")), None
     while True:
         near = sym.join(label.select(*group, F.col("node").alias("j"), "root"), [*group, "j"])
         low = near.groupBy(*group, F.col("i").alias("node")).agg(F.min("root").alias("low"))
@@ -196,9 +196,12 @@ def components(edges: DataFrame, nodes: DataFrame, group: list[str] | None = Non
                 *group, "node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("was")
             )
         )
+        if written is not None:
+            forget(written)
         if new.filter(F.col("root") < F.col("was")).isEmpty():
+            forget(sym)
             return new.select(*group, "node", "root")
-        label = new.drop("was")
+        label, written = new.drop("was"), new
 
 
 def is_connected(edges: DataFrame, nodes: DataFrame) -> bool:

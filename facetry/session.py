@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     chosen = sc._jsc.sc().getCheckpointDir()
     if chosen.isDefined():
         return chosen.get()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="facetry-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
@@ -37,4 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/facetry/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` returned, once nothing that is still to run reads them.
+
+    Anything else (a derived frame, a frame cut nowhere) is left alone.
+    """
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            df._cut_path = None
