@@ -149,3 +149,17 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return scored.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the vote accepts, with all columns; the model is fit on ``labelled`` (or ``docs``)."""
+    model = fit_model(docs if labelled is None else labelled, labels, key, text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(body: pd.Series) -> pd.Series:
+        parts = [shared.value.score(counts(list(part["text"]))) for part in blocks([pd.DataFrame({"text": body})], limit=1 << 20)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    return docs.filter(score(body) >= 0.5)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from facetry.llm.common import blocks, nullable_ids, small_batches, texts
 from facetry.llm.textscan import U64, Scan, mix, windows
 from facetry.operators.hops import components
-from facetry.session import cut
+from facetry.session import cut, forget
 
 #: Minhashes per collection.
 SIZE = 2
@@ -159,7 +159,9 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
                     good.append(len(a) > 0 and 100 * common >= percent * (len(a) + len(b) - common))
                 yield part.loc[good, ["i", "j"]]
 
-    return with_both.select("i", "j", "text_i", "text_j").mapInPandas(run, "i long, j long").distinct()
+    links = cut(with_both.select("i", "j", "text_i", "text_j").mapInPandas(run, "i long, j long").distinct())
+    forget(body)
+    return links
 
 
 def _by_size(pdf: pd.DataFrame, limit: int = 8 << 20):
@@ -259,7 +261,7 @@ def near_groups(
     star = ranked.join(centre, "key").filter(F.col("rep") != -F.col("_c.c"))
     star = star.filter(100 * F.least("n", "_c.cn") >= percent * F.greatest("n", "_c.cn"))
     star = cut(star.select(F.col("rep").alias("i"), (-F.col("_c.c")).alias("j")).distinct())
-    links = cut(_verify(star, reps, docs, key, text, size, percent))
+    links = _verify(star, reps, docs, key, text, size, percent)
     nodes = cut(popular.select(F.col("rep").alias("node")))
     found = components(links, nodes)
 
@@ -275,7 +277,8 @@ def near_groups(
     )
     rows = rows.join(reps.drop("tid"), "rep")
     more = cut(_open_pairs(rows, m, percent).distinct())
-    new_links = cut(_verify(more, reps, docs, key, text, size, percent))
+    forget(keyed, members)
+    new_links = _verify(more, reps, docs, key, text, size, percent)
     if not new_links.isEmpty():
         found = components(links.unionByName(new_links), nodes)
 
@@ -288,3 +291,12 @@ def near_groups(
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
+
+
+def one_of_each_group(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, miss: float = MISS
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the lowest of its group, with all columns; rows without an id stay."""
+    groups = near_groups(docs, key, text, size, percent, miss)
+    gone = cut(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")

@@ -168,6 +168,41 @@ def mix(
     )
 
 
+def mixed(docs: DataFrame, size: str = "n_chars", **options) -> DataFrame:
+    """The rows of ``docs`` as :func:`mix` takes them, with all columns: one row per epoch, the last one maybe cut.
+
+    Rows that share id, source, language and number of tokens are taken alike, by the best place among them.
+    """
+    key, text = options.get("key", "doc_id"), options.get("text", "text")
+    taken = mix(docs, **options).filter((F.col("epochs") > 0) | F.col("in_prefix"))
+    same = ["doc_id", "lang", "source", "n_tokens"]
+    taken = taken.groupBy(*same).agg(
+        F.max("epochs").alias("_epochs"), F.max("prefix_tokens").alias("_prefix"), F.max("in_prefix").alias("_in")
+    )
+    unknown = F.lit("unknown")
+    # the columns of ``docs`` travel under numbers, so that no name can clash with those used here
+    names = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    mine = docs.toDF(*at.values())
+    body = F.col(at[text])
+    mine = mine.select(
+        "*",
+        F.col(at[key]).cast("long").alias("k0"),
+        F.coalesce(F.col(at[options.get("lang", "lang")]).cast("string"), unknown).alias("k1"),
+        F.coalesce(F.col(at[options.get("source", "source")]).cast("string"), unknown).alias("k2"),
+        F.coalesce(F.regexp_count(body, F.lit(_WORD)), F.lit(0)).cast("long").alias("k3"),
+    )
+    taken = taken.select(*[F.col(c).alias(f"t{i}") for i, c in enumerate(same)], "_epochs", "_prefix", "_in")
+    rows = mine.join(taken, [F.col(f"k{i}").eqNullSafe(F.col(f"t{i}")) for i in range(4)])
+    copies = F.col("_epochs") + F.when(F.col("_in"), 1).otherwise(0)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    part = (F.col("copy") > F.col("_epochs")) & (F.col("_prefix") < F.col("k3"))
+    rows = rows.withColumn(at[text], F.when(part, first_tokens(body, F.col("_prefix"))).otherwise(body))
+    if size in at:
+        rows = rows.withColumn(at[size], F.length(at[text]).cast(docs.schema[size].dataType))
+    return rows.select(*at.values()).toDF(*names)
+
+
 def first_tokens(text: Column, n: Column) -> Column:
     """The text up to the end of its ``n``-th word."""
     steps = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")

@@ -230,12 +230,13 @@ def mask(text: str) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with identifiers in ``text`` masked; null texts stay null."""
+def redact(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """All columns of ``docs`` with identifiers in ``text`` masked and ``size``, if there, counted anew; nulls stay null."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def masked(body: pd.Series) -> pd.Series:
         return body.map(lambda t: t if t is None else mask(t))
 
-    return docs.withColumn(text, masked(F.col(text)))
+    out = docs.withColumn(text, masked(F.col(text)))
+    return out.withColumn(size, F.length(text).cast(docs.schema[size].dataType)) if size in docs.columns else out
