@@ -83,27 +83,35 @@ def vertex_areas(geometry: DataFrame) -> DataFrame:
 
 
 def corner_areas(geometry: DataFrame) -> list[Column]:
-    """Area of each triangle nearest to each of its corners, with the obtuse cases."""
-    a, b, c = vec3("a"), vec3("b"), vec3("c")
-    e = [sub3(c, b), sub3(a, c), sub3(b, a)]
-    l2 = [dot3(d, d) for d in e]
-    w = [l2[i] * (l2[(i + 1) % 3] + l2[(i + 2) % 3] - l2[i]) for i in range(3)]
-    area = F.col("area")
-
-    def obtuse_at(k):
-        """Corner shares when the angle at corner ``k`` is not acute."""
-        n, p = (k + 1) % 3, (k + 2) % 3
-        share_n = -0.25 * l2[p] * area / dot3(e[k], e[p])
-        share_p = -0.25 * l2[n] * area / dot3(e[k], e[n])
-        return {k: area - share_n - share_p, n: share_n, p: share_p}
-
-    scale = 0.5 * area / (w[0] + w[1] + w[2])
-    cases = [obtuse_at(k) for k in range(3)]
-    shares = []
-    for j in range(3):
-        expr = F.when(w[0] <= 0, cases[0][j]).when(w[1] <= 0, cases[1][j]).when(w[2] <= 0, cases[2][j])
-        shares.append(expr.otherwise(scale * (w[(j + 1) % 3] + w[(j + 2) % 3])))
-    return shares
+    """Area of each triangle nearest to each of its corners.
+
+    Perpendicular bisectors cut an acute triangle at its circumcentre: each side of length ``l`` gives both of
+    its corners a right triangle of area ``l^2 cot(opposite angle) / 8``.  In a triangle that is obtuse at
+    one corner, another corner keeps the right triangle between half of the side towards the obtuse
+    corner and its bisector, ``l^2 tan(own angle) / 8``; the obtuse corner has the rest.
+    """
+    point = [vec3(p) for p in "abc"]
+    following = lambda i, k: (i + k) % 3
+    side2 = {}
+    for i in range(3):
+        j = following(i, 1)
+        d = sub3(point[j], point[i])
+        side2[i, j] = side2[j, i] = dot3(d, d)
+    # cosine and sine of each angle, both times the product of its two sides
+    inner = [
+        dot3(sub3(point[following(i, 1)], point[i]), sub3(point[following(i, 2)], point[i])) for i in range(3)
+    ]
+    area, outer = F.col("area"), 2 * F.col("area")
+    out = []
+    for i in range(3):
+        others = (following(i, 1), following(i, 2))
+        acute = sum(side2[i, others[k]] * inner[others[1 - k]] for k in (0, 1)) / (8 * outer)
+        own = area - sum(side2[i, o] * outer / (8 * inner[o]) for o in others)
+        expr = F.when(area <= 0, 0.0).when(inner[i] <= 0, own)
+        for o in others:
+            expr = expr.when(inner[o] <= 0, side2[i, o] * outer / (8 * inner[i]))
+        out.append(expr.otherwise(acute))
+    return out
 
 
 def voronoi_areas(geometry: DataFrame) -> DataFrame:
@@ -129,12 +137,17 @@ def directed_edges(faces: DataFrame) -> DataFrame:
 def across_edges(faces: DataFrame) -> DataFrame:
     """Neighbour face across every edge: ``(mesh_id, face, slot, p, q, nbr)``, NULL on the boundary.
 
-    The neighbour has the same edge in the opposite direction.  Faces are first reduced to the lowest
-    one per directed edge, so an edge shared by very many faces yields one match per face, not pairs.
+    The neighbour has the same edge in the opposite direction.  Faces are first reduced to the lowest two
+    per directed edge, so an edge shared by very many faces yields one match per face, not pairs; the second
+    one serves a degenerate face that holds the edge in both directions and is not its own neighbour.
     """
     e = directed_edges(faces)
-    owner = e.groupBy(M, F.col("q").alias("p"), F.col("p").alias("q")).agg(F.min("face").alias("nbr"))
-    return e.join(owner, [M, "p", "q"], "left").select(M, "face", "slot", "p", "q", "nbr")
+    lowest = e.groupBy(M, F.col("q").alias("p"), F.col("p").alias("q")).agg(F.min("face").alias("_one"))
+    rest = e.select(M, "face", F.col("q").alias("p"), F.col("p").alias("q")).join(lowest, [M, "p", "q"])
+    second = rest.filter(F.col("face") != F.col("_one")).groupBy(M, "p", "q").agg(F.min("face").alias("_two"))
+    found = e.join(lowest, [M, "p", "q"], "left").join(second, [M, "p", "q"], "left")
+    nbr = F.when(F.col("_one") != F.col("face"), F.col("_one")).otherwise(F.col("_two"))
+    return found.select(M, "face", "slot", "p", "q", nbr.alias("nbr"))
 
 
 def face_graph(across: DataFrame, geometry: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -231,7 +244,7 @@ def mesh_scale(geometry: DataFrame, **kw) -> DataFrame:
 def normalise(vertices: DataFrame, scale: DataFrame) -> DataFrame:
     """Move the centre of mass to the origin and divide by the scale (one row per mesh)."""
     v = vertices.join(scale.select(M, "mx", "my", "mz", "scale"), M)
-    return v.select(M, "v", *[((F.col(k) - F.col(f"m{k}")) / F.col("scale")).alias(k) for k in "xyz"])
+    return v.select(M, "v", *[(F.when(F.col("scale") > 0, (F.col(k) - F.col(f"m{k}")) / F.col("scale")).otherwise(0.0)).alias(k) for k in "xyz"])
 
 
 def edge_lengths(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -416,110 +429,111 @@ def orient(faces: DataFrame) -> DataFrame:
     )
 
 
+def _solve_tensor(frame_edges, frame_changes) -> tuple[Column, Column, Column]:
+    """Symmetric 2x2 ``W`` with least squared error of ``W e = d`` over the edges of a triangle.
+
+    With ``A = sum(e e')`` and ``C = sum(d e' + e d')`` the normal equations are ``W A + A W = C``; for 2x2 matrices
+    their solution is ``(det(A) C + adj(A) C adj(A)) / (2 tr(A) det(A))``.
+    """
+    total = lambda terms: sum(terms, F.lit(0.0))
+    a, b, d = (total(e[i] * e[j] for e in frame_edges) for i, j in ((0, 0), (0, 1), (1, 1)))
+    both = list(zip(frame_edges, frame_changes))
+    c = 2 * total(x[0] * e[0] for e, x in both)
+    f = total(x[0] * e[1] + x[1] * e[0] for e, x in both)
+    g = 2 * total(x[1] * e[1] for e, x in both)
+    det = a * d - b * b
+    scale = 2 * (a + d) * det
+    entries = (
+        det * c + d * d * c - 2 * b * d * f + b * b * g,
+        det * f - b * d * c + (a * d + b * b) * f - a * b * g,
+        det * g + b * b * c - 2 * a * b * f + a * a * g,
+    )
+    return tuple(F.when(F.abs(scale) > 1e-30, x / scale).otherwise(0.0) for x in entries)
+
+
+def _tangents(n: Vec3) -> tuple[Vec3, Vec3]:
+    """Two unit vectors at right angles to ``n`` and to each other, from the axis ``n`` is farthest from."""
+    size = [F.abs(c) for c in n]
+    along_x, along_y = (size[0] <= size[1]) & (size[0] <= size[2]), size[1] <= size[2]
+    axis = tuple(
+        F.when(along_x, F.lit(float(k == 0))).when(along_y, F.lit(float(k == 1))).otherwise(F.lit(float(k == 2)))
+        for k in range(3)
+    )
+    p = cross3(n, axis)
+    length = len3(p)
+    p = tuple(F.when(length > 0, c / length).otherwise(0.0) for c in p)
+    return p, cross3(n, p)
+
+
 def principal_curvatures(geometry: DataFrame, normals: DataFrame) -> DataFrame:
-    """``(mesh_id, v, k1, k2, d1x.., d2x..)``: vertex curvatures with ``|k1| >= |k2|`` and their directions.
+    """``(mesh_id, v, k1, k2, d1x.., d2x..)``: signed vertex curvatures with ``k1 >= k2`` and their directions.
 
-    A curvature tensor is fitted per face to the change of the vertex normals along its edges, carried to
-    the tangent plane of each corner and averaged by Voronoi area (published per-face tensor method).
+    Every face gets the tensor that explains best how the vertex normals change along its edges, as one
+    symmetric 3x3 matrix in world axes.  At a corner, the vertex's tangent plane is turned into the plane of the
+    face by Rodrigues' rotation about the cross product of the two normals, and the tensor is read off along
+    the turned tangents.  A vertex averages its corners by their nearest area.
     """
-    cols = ["nx", "ny", "nz"]
+    axes = "xyz"
     g = geometry
     for i, c in enumerate("abc"):
-        g = g.join(normals.select(M, F.col("v").alias(f"v{i}"), *[F.col(n).alias(f"{c}{n}") for n in cols]), [M, f"v{i}"])
-    pts = [vec3(c) for c in "abc"]
-    nrm = [tuple(F.col(f"{c}{n}") for n in cols) for c in "abc"]
-    e = [sub3(pts[(i + 2) % 3], pts[(i + 1) % 3]) for i in range(3)]
-    raw = cross3(e[0], e[1])
-
-    def unit(v):
-        size = len3(v)
-        return tuple(F.when(size > 0, c / size).otherwise(0.0) for c in v)
+        mine = normals.select(M, F.col("v").alias(f"v{i}"), *[F.col(f"n{k}").alias(f"{c}n{k}") for k in axes])
+        g = g.join(mine, [M, f"v{i}"])
 
     def put(df, **vectors):
-        return df.withColumns({f"{n}{k}": c for n, v in vectors.items() for k, c in zip("xyz", v)})
-
-    g = put(g, t_=unit(e[0]), f_=unit(raw))
-    g = put(g, b_=cross3(vec3("f_"), vec3("t_")))
-    t, b = vec3("t_"), vec3("b_")
-    u = [dot3(x, t) for x in e]
-    v = [dot3(x, b) for x in e]
-    dn = [sub3(nrm[(i + 2) % 3], nrm[(i + 1) % 3]) for i in range(3)]
-    total = lambda terms: sum(terms, F.lit(0.0))
-    g = g.withColumns(
-        {
-            "_uu": total(x * x for x in u),
-            "_uv": total(x * y for x, y in zip(u, v)),
-            "_vv": total(y * y for y in v),
-            "_m0": total(dot3(d, t) * x for d, x in zip(dn, u)),
-            "_m1": total(dot3(d, t) * y + dot3(d, b) * x for d, x, y in zip(dn, u, v)),
-            "_m2": total(dot3(d, b) * y for d, y in zip(dn, v)),
-        }
+        return df.withColumns({f"{n}{k}": c for n, v in vectors.items() for k, c in zip(axes, v)})
+
+    point = [vec3(c) for c in "abc"]
+    normal = [tuple(F.col(f"{c}n{k}") for k in axes) for c in "abc"]
+    face_normal = tuple(_unit(vec3("r"), ["x", "y", "z"]).values())
+    g = put(g, f_=face_normal)
+    t, b = _tangents(vec3("f_"))
+    g = put(g, t_=t, b_=b)
+    flat = lambda v: (dot3(v, vec3("t_")), dot3(v, vec3("b_")))
+    sides = [(0, 1), (1, 2), (2, 0)]
+    w = _solve_tensor(
+        [flat(sub3(point[j], point[i])) for i, j in sides], [flat(sub3(normal[j], normal[i])) for i, j in sides]
     )
-    uu, uv, vv = F.col("_uu"), F.col("_uv"), F.col("_vv")
-    zero = F.lit(0.0)
-    columns = [(uu, uv, zero), (uv, uu + vv, uv), (zero, uv, vv)]
-    rhs = (F.col("_m0"), F.col("_m1"), F.col("_m2"))
-    det = lambda c: dot3(c[0], cross3(c[1], c[2]))
-    g = g.withColumn("_det", det(columns))
-    for j in range(3):
-        swapped = [rhs if i == j else columns[i] for i in range(3)]
-        g = g.withColumn(f"_k{j}", F.when(F.abs("_det") > 1e-30, det(swapped) / F.col("_det")).otherwise(0.0))
+    g = g.withColumns({"_w0": w[0], "_w1": w[1], "_w2": w[2]})
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    tv, bv = vec3("t_"), vec3("b_")
+    world = {
+        f"_s{i}{j}": F.col("_w0") * tv[i] * tv[j]
+        + F.col("_w1") * (tv[i] * bv[j] + bv[i] * tv[j])
+        + F.col("_w2") * bv[i] * bv[j]
+        for i, j in pairs
+    }
+    g = g.withColumns(world)
     share = corner_areas(g)
-    rows = F.array(
-        *[
-            F.struct(
-                F.col(f"v{i}").alias("v"), share[i].alias("w"), *[n.alias(f"n{k}") for n, k in zip(nrm[i], "xyz")],
-                *[c.alias(f"e{k}") for c, k in zip(sub3(pts[(i + 1) % 3], pts[i]), "xyz")],
-            )
-            for i in range(3)
-        ]
-    )
-    keep = [f"{p}{k}" for p in ("t_", "b_", "f_") for k in "xyz"]
-    c = g.select(M, "face", *keep, "_k0", "_k1", "_k2", F.inline(rows))
-    # a vertex's reference direction comes from its highest face
-    frame = c.groupBy(M, "v").agg(F.max_by(F.struct("ex", "ey", "ez", "nx", "ny", "nz"), "face").alias("_r"))
-    frame = frame.select(M, "v", *[F.col(f"_r.{p}{k}").alias(f"{p}{k}") for p in "en" for k in "xyz"])
-    frame = put(frame, p_=unit(cross3(vec3("e"), vec3("n"))))
-    frame = put(frame, q_=cross3(vec3("n"), vec3("p_")))
-    frame = frame.select(M, "v", *[f"{p}{k}" for p in ("n", "p_", "q_") for k in "xyz"])
-    c = c.drop("nx", "ny", "nz", "ex", "ey", "ez").join(frame, [M, "v"])
-    # turn the vertex frame into the plane of the face, then read the tensor in it
-    n, face_n = vec3("n"), vec3("f_")
-    cos = dot3(n, face_n)
-    shift = tuple((a - cos * x) for a, x in zip(face_n, n))
-    bend = tuple((a + x) / (1 + cos) for a, x in zip(n, face_n))
-
-    def turned(p):
-        along = dot3(p, shift)
-        opposite = cos <= -1 + 1e-12
-        return tuple(F.when(opposite, -x).otherwise(x - y * along) for x, y in zip(p, bend))
-
-    rp, rq = turned(vec3("p_")), turned(vec3("q_"))
-    c = c.withColumns(
-        {"_u1": dot3(rp, vec3("t_")), "_v1": dot3(rp, vec3("b_")), "_u2": dot3(rq, vec3("t_")), "_v2": dot3(rq, vec3("b_"))}
-    )
-    u1, v1, u2, v2 = (F.col(x) for x in ("_u1", "_v1", "_u2", "_v2"))
-    k0, k1, k2 = F.col("_k0"), F.col("_k1"), F.col("_k2")
-    w = F.col("w")
+    corner = F.array(*[F.struct(F.col(f"v{i}").alias("v"), share[i].alias("w")) for i in range(3)])
+    c = g.select(M, *[f"f_{k}" for k in axes], *world, F.inline(corner))
+    frame = normals.select(M, "v", "nx", "ny", "nz")
+    p, q = _tangents(vec3("n"))
+    frame = put(frame, p_=p, q_=q)
+    c = c.join(frame, [M, "v"])
+    turn, cosine = cross3(vec3("n"), vec3("f_")), dot3(vec3("n"), vec3("f_"))
+
+    def turned(x: Vec3) -> Vec3:
+        swept, along = cross3(turn, x), dot3(turn, x)
+        # opposite normals leave the axis open: half a turn about the other tangent reverses the vector
+        return tuple(
+            F.when(cosine <= -1 + 1e-12, -x[k]).otherwise(x[k] * cosine + swept[k] + turn[k] * along / (1 + cosine))
+            for k in range(3)
+        )
+
+    c = put(c, u_=turned(vec3("p_")), v_=turned(vec3("q_")))
+    tensor = [[F.col(f"_s{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
+    times = lambda x: tuple(dot3(tuple(row), x) for row in tensor)
+    u, v = vec3("u_"), vec3("v_")
     s = c.groupBy(M, "v").agg(
-        weighted_mean(k0 * u1 * u1 + 2 * k1 * u1 * v1 + k2 * v1 * v1, w).alias("_a"),
-        weighted_mean(k0 * u1 * u2 + k1 * (u1 * v2 + u2 * v1) + k2 * v1 * v2, w).alias("_b"),
-        weighted_mean(k0 * u2 * u2 + 2 * k1 * u2 * v2 + k2 * v2 * v2, w).alias("_c"),
-    )
-    a, b2, c2 = F.col("_a"), F.col("_b"), F.col("_c")
-    root = F.sqrt((a - c2) * (a - c2) / 4 + b2 * b2)
-    s = s.withColumns({"_hi": (a + c2) / 2 + root, "_lo": (a + c2) / 2 - root})
-    s = s.withColumns(
-        {
-            "k1": F.when(F.abs("_hi") >= F.abs("_lo"), F.col("_hi")).otherwise(F.col("_lo")),
-            "k2": F.when(F.abs("_hi") >= F.abs("_lo"), F.col("_lo")).otherwise(F.col("_hi")),
-        }
+        weighted_mean(dot3(u, times(u)), F.col("w")).alias("_a"),
+        weighted_mean(dot3(u, times(v)), F.col("w")).alias("_b"),
+        weighted_mean(dot3(v, times(v)), F.col("w")).alias("_c"),
     )
-    # direction of k1 in the tangent frame: (b, k1 - a), or an axis when the tensor is diagonal
-    x = F.when(F.abs(b2) > 1e-12, b2).when(F.abs(a - F.col("k1")) <= F.abs(c2 - F.col("k1")), 1.0).otherwise(0.0)
-    y = F.when(F.abs(b2) > 1e-12, F.col("k1") - a).otherwise(1.0 - x)
-    s = s.join(frame, [M, "v"])
-    p, q = vec3("p_"), vec3("q_")
-    s = put(s, d1=unit(tuple(x * i + y * j for i, j in zip(p, q))))
+    # eigenvalues and half-angle of the averaged 2x2 tensor
+    a, off, d = F.col("_a"), F.col("_b"), F.col("_c")
+    mean, spread = (a + d) / 2, F.sqrt((a - d) * (a - d) / 4 + off * off)
+    angle = F.atan2(2 * off, a - d) / 2
+    s = s.withColumns({"k1": mean + spread, "k2": mean - spread, "_angle": angle}).join(frame, [M, "v"])
+    s = put(s, d1=tuple(F.cos("_angle") * x + F.sin("_angle") * y for x, y in zip(vec3("p_"), vec3("q_"))))
     s = put(s, d2=cross3(vec3("n"), vec3("d1")))
-    return s.select(M, "v", "k1", "k2", *[f"d{i}{k}" for i in (1, 2) for k in "xyz"])
+    return s.select(M, "v", "k1", "k2", *[f"d{i}{k}" for i in (1, 2) for k in axes])

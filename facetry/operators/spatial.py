@@ -63,24 +63,37 @@ def overlap(points: DataFrame, other: DataFrame) -> DataFrame:
     return rows.join(taken, names, "left_semi").drop("_b", *names)
 
 
+# Fixed value: below so many neighbours a point has no normal of its own.
+MIN_NORMAL_POINTS = 3
+
+
 def point_normals(points: DataFrame, key: str, vector: str, k: int = 12) -> DataFrame:
-    """Normals of a point cloud: direction of least spread of each point's ``k`` nearest neighbours."""
+    """Normals of a point cloud: direction of least spread of the ``k`` nearest neighbours around the point itself.
+
+    Normals look towards +z; a point with fewer than three neighbours gets +z itself.
+    """
     near = knn(points, key, vector, k)
     v = F.col(vector).cast("array<double>")
-    p = points.select(F.col(key).cast("long").alias("dst"), *[v[i].alias(c) for i, c in enumerate("xyz")])
-    rows = near.join(p, "dst")
-    g = [F.col(c) for c in "xyz"]
+    place = points.select(F.col(key).cast("long").alias("id"), *[v[i].alias(c) for i, c in enumerate("xyz")])
+    rows = near.join(place.withColumnRenamed("id", "dst"), "dst").join(
+        place.select(F.col("id").alias("src"), *[F.col(c).alias(f"o{c}") for c in "xyz"]), "src"
+    )
+    d = sub3(vec3(""), vec3("o"))
     m = rows.groupBy("src").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(g)],
-        *[F.sum(g[i] * g[j]).alias(f"q{i}{j}") for i, j in PAIRS],
+        F.count(F.lit(1)).alias("n"), *[F.sum(d[i] * d[j]).alias(f"c{i}{j}") for i, j in PAIRS]
     )
-    cov = [F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") for i, j in PAIRS]
-    m = m.select("src", *[c.alias(f"c{i}{j}") for c, (i, j) in zip(cov, PAIRS)])
     entries = [F.col(f"c{i}{j}") for i, j in PAIRS]
     m = m.withColumn("_low", symmetric3_eigenvalues(*entries)[0])
-    n = symmetric3_eigenvector(*entries, F.col("_low"))
-    return m.select(F.col("src").alias(key), *[c.alias(f"n{k}") for c, k in zip(n, "xyz")])
+    normal = symmetric3_eigenvector(*entries, F.col("_low"))
+    m = m.withColumns({f"_n{c}": e for c, e in zip("xyz", normal)})
+    enough = F.coalesce(F.col("n") >= MIN_NORMAL_POINTS, F.lit(False))
+    up = {"x": 0.0, "y": 0.0, "z": 1.0}
+    sign = F.when(F.col("_nz") < 0, -1.0).otherwise(1.0)
+    out = place.select("id").join(m, place["id"] == m["src"], "left")
+    return out.select(
+        F.col("id").alias(key),
+        *[F.when(enough, F.col(f"_n{c}") * sign).otherwise(up[c]).alias(f"n{c}") for c in "xyz"],
+    )
 
 
 # ------------------------------------------------------------------ rays
@@ -249,13 +262,17 @@ def visible_shape(geometry, normals, vertices, directions: DataFrame | None = No
 # ------------------------------------------------------------------ parts and diffusion
 
 
-def part_axes(points: DataFrame, group: list[str], weight: str = "w", **kw) -> DataFrame:
+def part_axes(points: DataFrame, group: list[str], weight: str = "w", whole: list[str] | None = None, **kw) -> DataFrame:
     """Principal axes of every part: ``(group, axis, ax, ay, az, spread, extent)``.
 
     ``points(group, x, y, z, w)``.  Axes are ranked by the weighted median of the absolute projection,
-    narrowest first (axis 0); ``extent`` is the length of the part along the axis.  Parts with fewer
-    than ten points have none.
+    narrowest first (axis 0); ``extent`` is the length, along the axis, of the whole the part belongs to: all
+    points with the same ``whole`` columns (a subset of ``group``; by default all but the last).  Parts with
+    fewer than ten points have none.
     """
+    whole = group[:-1] if whole is None else whole
+    if not whole:
+        raise ValueError("parts need a whole to belong to: name the columns that parts of one mesh share")
     w = F.col(weight)
     g = [F.col(c) for c in "xyz"]
     m = points.groupBy(*group).agg(
@@ -277,7 +294,8 @@ def part_axes(points: DataFrame, group: list[str], weight: str = "w", **kw) -> D
     axes = cut(axes)
     p = dot3(sub3(tuple(g), vec3("m")), vec3("a"))
     rows = points.join(axes, group).withColumn("_p", p).withColumn("_mag", F.abs("_p"))
-    extent = rows.groupBy(*group, "_k").agg((F.max("_p") - F.min("_p")).alias("extent"))
+    everything = points.select(*whole, *"xyz")
+    extent = everything.join(axes, whole).groupBy(*group, "_k").agg((F.max(p) - F.min(p)).alias("extent"))
     cum = cumulate(rows, [*group, "_k"], "_mag", {"w": w}, **kw)
     spread = cum.filter(F.col("cum_w") / F.col("total_w") >= 0.5).groupBy(*group, "_k").agg(F.min("_mag").alias("spread"))
     ranked = axes.join(spread, [*group, "_k"]).join(extent, [*group, "_k"])

@@ -58,7 +58,7 @@ def grid_overlap(t):
 def point_normals(t):
     p = t.embeddings.select("vec_id", F.slice("embedding", 1, 3).alias("v"))
     n = spatial.point_normals(p, "vec_id", "v")
-    return n.select("vec_id", *[R(F.abs(f"n{k}"), 6).alias(f"abs_n{k}") for k in "xyz"])
+    return n.select("vec_id", *[R(F.col(f"n{k}"), 6).alias(f"n{k}") for k in "xyz"])
 
 
 @query(
@@ -104,8 +104,11 @@ def visible_shape(t):
 @query("part_axes")
 def part_axes(t):
     v = [col("embedding")[i].cast("double") for i in range(3)]
-    p = t.embeddings.select("label", *[c.alias(k) for c, k in zip(v, "xyz")], (1.0 + col("vec_id") % 7).alias("w"))
-    return spatial.part_axes(p, ["label"]).select("label", "axis", R("spread", 6).alias("spread"), R("extent", 6).alias("extent"))
+    p = t.embeddings.select(
+        (col("label") % 2).alias("mesh_id"), "label", *[c.alias(k) for c, k in zip(v, "xyz")], (1.0 + col("vec_id") % 7).alias("w")
+    )
+    out = spatial.part_axes(p, ["mesh_id", "label"])
+    return out.select("mesh_id", "label", "axis", R("spread", 6).alias("spread"), R("extent", 6).alias("extent"))
 
 
 DIFFUSE = EDGES.replace(GEO, NORMALS) + VE + """, va AS (SELECT mesh_id, v, sum(area) AS area FROM co JOIN ge USING (mesh_id, face) GROUP BY mesh_id, v),

@@ -60,15 +60,31 @@ def test_point_normals_of_a_plane(spark):
     pts = [(i, [float(x), float(y), 0.5 * float(x)]) for i, (x, y) in enumerate(rnd.uniform(size=(60, 2)))]
     n = spatial.point_normals(spark.createDataFrame(pts, "id long, v array<double>"), "id", "v").collect()
     want = np.array([-0.5, 0.0, 1.0]) / np.sqrt(1.25)
-    assert all(abs(np.dot([r.nx, r.ny, r.nz], want)) == pytest.approx(1.0) for r in n)
+    assert all(np.dot([r.nx, r.ny, r.nz], want) == pytest.approx(1.0) for r in n)
+
+
+def test_point_normals_are_taken_around_the_point_itself(spark):
+    """A point above a flat sheet: its neighbours spread least across the line to their middle's side."""
+    sheet = [(i, [float(i % 4) - 1.5, float(i // 4) - 1.5, 0.0]) for i in range(16)] + [(99, [0.1, 0.2, 3.0])]
+    got = {r.id: r for r in spatial.point_normals(spark.createDataFrame(sheet, "id long, v array<double>"), "id", "v").collect()}
+    x = np.array([p for i, p in sheet if i != 99]) - np.array(sheet[-1][1])
+    near = x[np.lexsort((np.arange(16), np.linalg.norm(x, axis=1)))[:12]]
+    want = np.linalg.eigh(near.T @ near)[1][:, 0]
+    want = want * (-1 if want[2] < 0 else 1)
+    assert np.allclose([got[99].nx, got[99].ny, got[99].nz], want, atol=1e-6)
+    few = spark.createDataFrame([(1, [0.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0])], "id long, v array<double>")
+    assert [(r.nx, r.ny, r.nz) for r in spatial.point_normals(few, "id", "v").collect()] == [(0.0, 0.0, 1.0)] * 2
 
 
 def test_part_axes_follow_the_spread(spark):
     rnd = np.random.default_rng(3)
     x = rnd.normal(size=(300, 3)) * [5.0, 2.0, 0.5]
-    rows = [(1, *map(float, p), 1.0) for p in x] + [(2, 0.0, 0.0, 0.0, 1.0)]
-    got = spatial.part_axes(spark.createDataFrame(rows, "label int, x double, y double, z double, w double"), ["label"]).collect()
-    assert {r.label for r in got} == {1}
+    rows = [(7, 1, *map(float, p), 1.0) for p in x] + [(7, 2, 0.0, 0.0, 40.0, 1.0), (8, 2, 0.0, 0.0, 90.0, 1.0)]
+    df = spark.createDataFrame(rows, "mesh_id int, label int, x double, y double, z double, w double")
+    got = spatial.part_axes(df, ["mesh_id", "label"]).collect()
+    assert {(r.mesh_id, r.label) for r in got} == {(7, 1)}
+    # the extent is that of the whole mesh, the other part included
+    assert max(r.extent for r in got) > 35
     by = {r.axis: r for r in got}
     assert abs(by[0].az) > 0.95 and abs(by[1].ay) > 0.95 and abs(by[2].ax) > 0.95
     assert by[0].spread < by[1].spread < by[2].spread
