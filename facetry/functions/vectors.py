@@ -32,7 +32,8 @@ def dist(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """NULL where a vector has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def normalise(a: Column) -> Column:

@@ -86,7 +86,7 @@ def _scored(sums: DataFrame, classes: int, subsets: list[int]) -> DataFrame:
         F.lit(0.0),
     )
     wa = F.greatest(F.col("wt") - F.col("wb"), F.lit(0.0))
-    rows = rows.withColumns({"b": F.col("yb") / F.col("wb"), "wa": wa})
+    rows = rows.withColumns({"b": F.coalesce(F.try_divide(F.col("yb"), F.col("wb")), F.lit(0.0)), "wa": wa})
     top = F.when(F.col("wa") > 1e-14 * F.col("wt"), (F.col("yt") - F.col("yb")) / F.col("wa")).otherwise(0.0)
     rows = rows.withColumn("a", top)
     a, b = F.col("a"), F.col("b")

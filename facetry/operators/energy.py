@@ -21,7 +21,8 @@ Pairwise = Callable[[Column, Column], Column]
 MAX_TERM = 1e10
 VOTE_SMOOTHNESS = 0.001
 VOTE_CYCLES = 2
-INFEASIBLE = 1e9
+#: Above any single term, so that a label without a cost row is never worth taking.
+INFEASIBLE = 100 * MAX_TERM
 
 
 def potts(strength: float = 1.0) -> Pairwise:
@@ -101,13 +102,16 @@ def check_terms(data_cost: DataFrame, edges: DataFrame, pairwise: Pairwise, labe
     spark = data_cost.sparkSession
     if data_cost.filter(F.abs("cost") > limit).limit(1).count():
         raise ValueError("data cost term larger than the allowed maximum")
-    triples = [(a, b, c) for a in labels for b in labels for c in labels]
-    t = spark.createDataFrame(triples, "a int, b int, c int")
+    one = spark.createDataFrame([(x,) for x in labels], "a int").repartition("a")
+    others = F.array(*[F.lit(int(x)) for x in labels])
+    # pairs and triples of labels are made by the tasks, never listed on the driver
+    t = one.select("a", F.explode(others).alias("b"))
     top = t.agg(F.max(F.abs(pairwise(F.col("a"), F.col("b"))))).first()[0]
     heaviest = edges.agg(F.max(F.abs("w"))).first()[0] or 0.0
     if top * heaviest > limit:
         raise ValueError("smooth cost term larger than the allowed maximum")
     v = lambda x, y: pairwise(F.col(x), F.col(y))
+    t = t.select("a", "b", F.explode(others).alias("c"))
     if metric and t.filter(v("b", "c") + v("a", "a") > v("b", "a") + v("a", "c") + 1e-12).limit(1).count():
         raise ValueError("non-metric smooth cost: expansion moves need V(b,c) + V(a,a) <= V(b,a) + V(a,c)")
 
@@ -130,6 +134,9 @@ def _solve(sites: DataFrame, pairs: DataFrame, group: list[str], region_nodes: i
     own = sites.select(*group, "site", (F.col("c1") - F.col("c0")).alias("t"))
     theta = own.unionByName(pairs.select(*group, F.inline(tilt))).groupBy(*group, "site").agg(F.sum("t").alias("theta"))
     arcs = pairs.select(*group, "i", "j", (e01 + e10 - e00 - e11).alias("cij"), F.lit(0.0).alias("cji"))
+    arcs = cut(arcs)
+    if not arcs.filter(F.col("cij") < -1e-9).isEmpty():
+        raise ValueError("pairwise costs are not submodular for this move: a minimum cut cannot represent them")
     side = min_cut(theta.withColumnRenamed("site", "node"), arcs.filter("cij > 0"), group, region_nodes)
     return side.select(*group, F.col("node").alias("site"), F.col("sink_side").alias("one"))
 
@@ -206,7 +213,7 @@ def _keep_better(old, old_e, new, data_cost, edges, pairwise, group, label_cost)
 
 
 def swap(data_cost, edges, pairwise, group, labels: Iterable[int], cycles: int = -1, start=None, region_nodes=REGION_NODES) -> DataFrame:
-    """Alpha-beta swap over all label pairs, first label ascending, while the energy drops.
+    """Alpha-beta swap over all label pairs, first label ascending, second descending, while the energy drops.
 
     ``labels`` is the short list of possible labels; ``start`` defaults to the first label everywhere.
     """
@@ -218,7 +225,7 @@ def swap(data_cost, edges, pairwise, group, labels: Iterable[int], cycles: int =
     while cycles != 0:
         before = energy
         for x, alpha in enumerate(labels):
-            for beta in labels[x + 1 :]:
+            for beta in reversed(labels[x + 1 :]):
                 if current.filter(F.col("label").isin(alpha, beta)).isEmpty():
                     continue
                 new = swap_move(current, data_cost, edges, pairwise, group, alpha, beta, region_nodes)
@@ -262,12 +269,14 @@ def cheapest_single_label(data_cost: DataFrame, group: list[str], label_cost: Da
     return sums.withColumn("_t", total).groupBy(*group).agg(F.min_by("label", F.struct("_t", "label")).alias("label"))
 
 
-def greedy_labels(data_cost: DataFrame, label_cost: DataFrame, labels: Iterable[int]) -> tuple[list[int], float]:
+def greedy_labels(data_cost: DataFrame, label_cost: DataFrame, labels: Iterable[int] | None = None) -> tuple[list[int], float]:
     """Greedy choice of the labels in use for data plus label costs (no smoothing), one problem.
 
     Starts from the cheapest single label and adds the label that lowers the energy most, one
     aggregate over the data costs per round.  Only one number per label reaches the driver.
     """
+    if labels is None:
+        labels = [r.label for r in data_cost.select("label").distinct().collect()]
     labels = sorted(labels)
     n = data_cost.select("site").distinct().count()
     sets: dict[int, tuple[float, set[int]]] = {}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.scalar import KERNEL_FLOOR
 from facetry.functions.vectors import dist
-from facetry.session import cut
+from facetry.session import cut, forget
 
 
 def feature_distances(
@@ -30,7 +32,9 @@ def gaussian_kernel(edges: DataFrame, group: list[str] | None = None) -> DataFra
     last = edges.groupBy(*group, "src").agg(F.max_by("d", "slot").alias("_last"))
     sigma = last.groupBy(*group).agg(F.avg("_last").alias("_sigma"))
     rows = edges.join(sigma, group) if group else edges.withColumn("_sigma", sigma.scalar())
-    w = F.exp(-(F.col("d") * F.col("d")) / (F.col("_sigma") * F.col("_sigma")))
+    spread = F.col("_sigma") * F.col("_sigma")
+    # all points equal: no distance is far
+    w = F.when(spread > 0, F.exp(-(F.col("d") * F.col("d")) / spread)).otherwise(1.0)
     rows = rows.withColumn("w", F.when(w == 0, KERNEL_FLOOR).otherwise(w)).drop("_sigma")
     return rows.filter(F.col("src") != F.col("dst"))
 
@@ -83,31 +87,44 @@ def multiply(matrix: DataFrame, signal: DataFrame, value: str = "x", out: str =
     return prod.withColumnRenamed("i", "node")
 
 
-def chebyshev(lap: DataFrame, signal: DataFrame, order: int, checkpoint_every: int = 4) -> DataFrame:
-    """``T_0 .. T_{order-1}`` applied to ``signal(node, x)``: ``T_k = 2 L T_{k-1} - T_{k-2}``."""
-    out = signal.select("node", F.col("x").alias("t0"))
+def chebyshev(lap: DataFrame, signal: DataFrame, order: int) -> DataFrame:
+    """``T_0 .. T_{order-1}`` applied to ``signal(node, x)``: ``T_k = 2 L T_{k-1} - T_{k-2}``.
+
+    The matrix and every order are written once, so the plan of an order does not contain the ones before.
+    """
+    lap, out = cut(lap), signal.select("node", F.col("x").alias("t0"))
     for k in range(1, order):
         step = multiply(lap, out, f"t{k - 1}", "_p")
         prev = F.coalesce("_p", F.lit(0.0))
         new = prev if k == 1 else 2 * prev - F.col(f"t{k - 2}")
-        out = out.join(step, "node", "left").withColumn(f"t{k}", new).drop("_p")
-        if k % checkpoint_every == 0:
-            out = cut(out)
+        last, out = out, cut(out.join(step, "node", "left").withColumn(f"t{k}", new).drop("_p"))
+        forget(last)
+    forget(lap)
     return out
 
 
-def largest_eigenvalue(matrix: DataFrame, rounds: int = 30) -> float:
-    """Power iteration; only the norm of each iterate reaches the driver."""
+def largest_eigenvalue(matrix: DataFrame, tolerance: float = 1e-9) -> float:
+    """Power iteration until the Rayleigh quotient settles to ``tolerance``, relative.
+
+    Only two sums of each iterate reach the driver.  Meant for symmetric matrices without negative eigenvalue of
+    largest size, such as Laplacians.
+    """
+    matrix = cut(matrix)
     x = matrix.select(F.col("i").alias("node")).distinct()
-    x = x.withColumn("x", (F.pmod(F.xxhash64("node"), F.lit(1000)) + 1) / 1000.0)
-    value = 0.0
-    for _ in range(rounds):
-        y = cut(multiply(matrix, x))
-        value = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
-        if value == 0.0:
+    x = cut(x.withColumn("x", (F.pmod(F.xxhash64("node"), F.lit(1000)) + 1) / 1000.0))
+    value = None
+    while True:
+        y = cut(x.join(multiply(matrix, x, out="y"), "node", "left").withColumn("y", F.coalesce("y", F.lit(0.0))))
+        sums = y.agg(*[F.sum(F.col(a) * F.col(b)) for a, b in (("x", "x"), ("x", "y"), ("y", "y"))]).first()
+        forget(x)
+        if not sums[0] or not sums[2]:
             return 0.0
-        x = y.withColumn("x", F.col("x") / F.lit(value))
-    return value
+        last, value = value, sums[1] / sums[0]
+        if last is not None and abs(value - last) <= tolerance * abs(value):
+            forget(matrix, y)
+            return value
+        x = cut(y.select("node", (F.col("y") / F.lit(math.sqrt(sums[2]))).alias("x")))
+        forget(y)
 
 
 def gather(nbrs: DataFrame, features: DataFrame, key: str, value: str) -> DataFrame:

@@ -32,7 +32,6 @@ def bounded_distances(
     sources: DataFrame,
     radius: float | None,
     group: list[str] | None = None,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Shortest distances ``(group, src, node, d)`` from every row of ``sources(group, src)``.
 
@@ -43,8 +42,10 @@ def bounded_distances(
     live = F.lit(True) if radius is None else F.col("d") <= radius
     edges = edges.select(*group, "i", "j", "w")
     known = sources.select(*group, "src", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh"))
-    for _ in range(max_rounds):
+    while True:  # weights are not negative, so this ends
+        last = known
         known = cut(_relax(known, edges, group, live, []))
+        forget(last)
         if known.filter(F.col("fresh") & live).isEmpty():
             break
     return known.select(*group, "src", "node", "d")

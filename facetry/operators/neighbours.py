@@ -56,22 +56,15 @@ _EDGE = "src long, dst long, d double"
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    pair = F.struct("d", "dst")
-    top = edges.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k).alias("_top"))
-    flat = top.select("src", F.posexplode("_top").alias("_i", "_e"))
-    return flat.select(
-        "src", (F.col("_i") + 1).alias("slot"), F.col("_e.dst").alias("dst"), F.col("_e.d").alias("d")
-    )
+    """The ``k`` nearest of every source; tasks trim to ``k`` before the shuffle and never hold a whole source."""
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
+    return edges.withColumn("slot", rank).filter(F.col("slot") <= k).select("src", "slot", "dst", "d")
 
 
 def knn(points: DataFrame, key: str, vector: str, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(src, slot, dst, d)``: the ``k`` nearest other rows, slot 1 nearest, ties by lower id."""
     src = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    n = src.count()
-    n_pivots = int(max(1, min(MAX_PIVOTS, -(-n // tile_rows))))
-    if n_pivots == 1:
-        # the whole input fits one tile; chunks of queries keep all tasks busy
-        return _self_join_small(src, k)
+    n_pivots = int(max(1, min(MAX_PIVOTS, -(-src.count() // tile_rows))))
     return _expand_copies(src, k, lambda distinct: _knn_tiled(distinct, k, n_pivots, tile_rows))
 
 
@@ -237,22 +230,6 @@ def nearest(
     return found.withColumn("src", -F.col("src") - 1)
 
 
-def _self_join_small(src: DataFrame, k: int) -> DataFrame:
-    """Inputs of at most one tile: queries in eight chunks, each against the single tile."""
-    chunks = 8
-    asked = src.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    held = src.withColumn("chunk", F.explode(F.array(*[F.lit(i).cast("long") for i in range(chunks)])))
-
-    def across(q, c):
-        if not len(q) or not len(c):
-            return pd.DataFrame({"src": [], "dst": [], "d": []})
-        limit = np.full(len(q), np.inf)
-        return _blocks(q["id"].to_numpy(), _matrix(q["v"]), c["id"].to_numpy(), _matrix(c["v"]), k, limit)
-
-    edges = asked.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInPandas(across, _EDGE)
-    return _best(edges, k)
-
-
 def knn_cosine(points: DataFrame, key: str, vector: str, k: int, **kw) -> DataFrame:
     """Exact cosine neighbours: nearest by angle equals nearest on the unit sphere.
 

@@ -16,18 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CELL = 2_000_000
-BYTES_PER_CELL = 64 << 20
-MAX_CELLS = 4096
+#: Cuts that the driver holds at most, as numbers: enough for 1e11 rows in cells of the size above.
+MAX_CELLS = 1 << 16
 
 
 def _cells_needed(df: DataFrame, rows_per_cell: int) -> int:
-    """Number of cuts; counts rows only when the planner's size estimate says it could matter."""
-    try:
-        estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except ValueError:  # estimates multiply along joins and can outgrow Python's integer parser
-        estimate = BYTES_PER_CELL + 1
-    if rows_per_cell == ROWS_PER_CELL and estimate <= BYTES_PER_CELL:
-        return 1
+    """Number of cells so that none holds much more than ``rows_per_cell`` rows, counted, not estimated."""
     return max(1, min(MAX_CELLS, math.ceil(df.count() / rows_per_cell)))
 
 

@@ -10,7 +10,8 @@ from facetry.operators.ordered import at_position, cumulate, floor_position
 
 
 def weighted_mean(v: Column, w: Column) -> Column:
-    return F.sum(v * w) / F.sum(w)
+    """NULL where the weights add up to nothing."""
+    return F.try_divide(F.sum(v * w), F.sum(w))
 
 
 def power_mean_columns(v: Column) -> dict[str, Column]:
@@ -23,7 +24,7 @@ def power_mean_columns(v: Column) -> dict[str, Column]:
 
 
 def weighted_power_mean(v: Column, w: Column, p: float) -> Column:
-    return F.sum(F.pow(v, F.lit(p)) * w) / F.sum(w)
+    return F.try_divide(F.sum(F.pow(v, F.lit(p)) * w), F.sum(w))
 
 
 def with_group_stats(df: DataFrame, group: list[str], **stats: Column) -> DataFrame:
@@ -116,8 +117,8 @@ def rebase(df, group: list[str], value: str, out: str) -> DataFrame:
 
 
 def scale_to_max(df, group: list[str], value: str, out: str) -> DataFrame:
-    """Divide by the group maximum."""
-    return with_group_stats(df, group, _hi=F.max(value)).withColumn(out, F.col(value) / F.col("_hi")).drop("_hi")
+    """Divide by the group maximum; NULL where that is zero."""
+    return with_group_stats(df, group, _hi=F.max(value)).withColumn(out, F.try_divide(F.col(value), F.col("_hi"))).drop("_hi")
 
 
 def distinct_first_seen(df: DataFrame, value: str, position: str) -> DataFrame:

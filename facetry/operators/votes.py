@@ -22,12 +22,14 @@ def majority(votes: DataFrame, site: list[str], label: str, out: str = "vote") -
     )
 
 
-def vote_shares(votes: DataFrame, site: list[str], label: str, labels: list, divisor: float = VOTERS) -> DataFrame:
+def vote_shares(votes: DataFrame, site: list[str], label: str, labels: list | None = None, divisor: float = VOTERS) -> DataFrame:
     """Share of every label at every site, zero where a label got no vote.
 
-    The label domain is a short literal list, so the zero fill is a projection of conditional
-    counts rather than a join with the domain.
+    The label domain is short (one entry per class; read from the votes unless given), so the zero fill is a
+    projection of conditional counts rather than a join with the domain.
     """
+    if labels is None:
+        labels = sorted(r[0] for r in votes.select(label).filter(F.col(label).isNotNull()).distinct().collect())
     wide = votes.groupBy(*site).agg(
         *[F.count(F.when(F.col(label) == F.lit(v), 1)).alias(f"_c{i}") for i, v in enumerate(labels)]
     )
@@ -47,7 +49,7 @@ def coverage(votes: DataFrame, unit: list[str], voter: str) -> DataFrame:
 def weighted_accuracy(pred: Column, truth: Column, weight: Column, normalise: bool = False) -> Column:
     """Total weight of the rows where prediction equals truth; optionally as a share."""
     hit = F.sum(F.when(pred == truth, weight).otherwise(F.lit(0).cast("double")))
-    return hit / F.sum(weight) if normalise else hit
+    return F.try_divide(hit, F.sum(weight)) if normalise else hit
 
 
 def ranked_scores(scores: DataFrame, site: list[str], score: str, label: str, keep: int) -> DataFrame:
@@ -60,19 +62,25 @@ def ranked_scores(scores: DataFrame, site: list[str], score: str, label: str, ke
     return scores.groupBy(*site).agg(F.slice(best, 1, keep).alias("best"))
 
 
-def top_k_hit(best: Column, truth: Column, k: int) -> Column:
-    """Truth among the top ``k``; a class 0 inside the top ``k`` hands its place to the next class.
+def top_k_counts(best: Column, truth: Column, k: int) -> tuple[Column, Column]:
+    """Of one site: whether the truth is among the top ``k``, and how often its area counts.
 
-    ``best`` must hold at least ``k + 1`` ranked pairs.
+    Every class 0 among the top ``k`` hands its place to the next class.  The area counts once for the hit and
+    once for each place handed to the truth, so it can count twice when both meet.  ``best`` must hold at
+    least ``k + 1`` ranked pairs.
     """
     labels = F.transform(best, lambda p: p["label"])
     hit = F.array_contains(F.slice(labels, 1, k), truth)
-    passed_on = [
-        (F.element_at(labels, i + 1) == 0) & (F.element_at(labels, i + 2) == truth) for i in range(k)
-    ]
-    for extra in passed_on:
-        hit = hit | extra
-    return hit
+    times = hit.cast("int")
+    for i in range(k):
+        times = times + ((F.get(labels, F.lit(i)) == 0) & (F.get(labels, F.lit(i + 1)) == truth)).cast("int")
+    return hit, times
+
+
+def top_k_accuracy(best: DataFrame, label: str, area: str, k: int) -> DataFrame:
+    """``(label, accuracy, area)``: share of direct hits per class, and the area its hits add to the total."""
+    hit, times = top_k_counts(F.col("best"), F.col(label), k)
+    return best.groupBy(label).agg(F.avg(hit.cast("int")).alias("accuracy"), F.sum(times * F.col(area)).alias("area"))
 
 
 def argmax_skip_zero(scores: DataFrame, site: list[str], score: str, label: str) -> DataFrame:

@@ -215,7 +215,7 @@ def greedy_labels(t):
     data, _, _, sets = problem(t)
     data = cut(data)
     single = sets.select(col("label").alias("set_id"), "label", F.lit(3.0).alias("cost"))
-    chosen, _ = energy.greedy_labels(data.drop("g"), single, range(10))
+    chosen, _ = energy.greedy_labels(data.drop("g"), single)
     return energy.assign_chosen(data, chosen, ["g"]).select("site", "label")
 
 

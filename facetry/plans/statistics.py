@@ -9,13 +9,12 @@ from facetry.operators import ordered, stats, votes
 from facetry.plans.registry import query
 
 R = F.round
+#: Cells of so few rows let small tables take the way that large ones need.
+SMALL_CELL = 100
 col = F.col
 
 # ---------------------------------------------------------------- votes
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 @query(
     "majority_vote",
     """WITH c AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY ALL)
@@ -36,7 +35,7 @@ def majority_vote(t):
        FROM u CROSS JOIN k LEFT JOIN c ON c.user_id = u.user_id AND c.event_type = k.event_type""",
 )
 def vote_share_zero_filled(t):
-    out = votes.vote_shares(t.events, ["user_id"], "event_type", EVENT_TYPES)
+    out = votes.vote_shares(t.events, ["user_id"], "event_type")
     return out.withColumn("share", R("share", 6))
 
 
@@ -327,7 +326,7 @@ def weighted_quantile_crossings(t):
 )
 def cumulative_tie_groups(t):
     cum = ordered.cumulate(
-        t.part, ["p_brand"], "p_size", {"n": F.lit(1).cast("long"), "price": col("p_retailprice")}
+        t.part, ["p_brand"], "p_size", {"n": F.lit(1).cast("long"), "price": col("p_retailprice")}, rows_per_cell=SMALL_CELL
     )
     return cum.select(
         "p_brand", col("p_size").cast("int").alias("p_size"), "cum_n", R("cum_price", 4).alias("cum_price")
@@ -355,6 +354,7 @@ def cumulative_weight(t):
         "value",
         "event_id",
         {"cum_value": col("value")},
+        rows_per_cell=SMALL_CELL,
     )
     return out.select("event_id", "pos", R("cum_value", 4).alias("cum_value"))
 
@@ -364,7 +364,7 @@ def cumulative_weight(t):
     """SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS pos FROM customer""",
 )
 def argsort(t):
-    out = ordered.running(t.customer.select("c_custkey", "c_acctbal"), [], "c_acctbal", "c_custkey")
+    out = ordered.running(t.customer.select("c_custkey", "c_acctbal"), [], "c_acctbal", "c_custkey", rows_per_cell=SMALL_CELL)
     return out.select("c_custkey", "pos")
 
 

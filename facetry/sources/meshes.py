@@ -19,8 +19,11 @@ def _fans(polygons: DataFrame, ring: str = "ring") -> DataFrame:
     """Triangles ``(mesh_id, face, v0, v1, v2)`` from polygons ``(mesh_id, line, ring)`` in line order."""
     corner = F.explode(F.sequence(F.lit(1), F.size(ring) - 2)).alias("_k")
     tri = polygons.filter(F.size(ring) >= 3).select("mesh_id", "line", ring, corner)
-    tri = tri.withColumn("_o", F.col("line") * 4096 + F.col("_k"))
-    tri = running(tri, ["mesh_id"], "_o", "_o", pos="face")
+    # the faces of the lines before, then the place within the line: no key has to hold both
+    fans = polygons.filter(F.size(ring) >= 3).select("mesh_id", "line", (F.size(ring) - 2).alias("_size"))
+    fans = running(fans, ["mesh_id"], "line", "line", {"_upto": F.col("_size").cast("long")}, pos="_p")
+    fans = fans.select("mesh_id", "line", (F.col("_upto") - F.col("_size")).alias("_before"))
+    tri = tri.join(fans, ["mesh_id", "line"]).withColumn("face", F.col("_before") + F.col("_k") - 1)
     v = F.col(ring)
     return tri.select("mesh_id", "face", v[0].alias("v0"), F.get(v, F.col("_k")).alias("v1"), F.get(v, F.col("_k") + 1).alias("v2"))
 

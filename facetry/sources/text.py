@@ -114,9 +114,11 @@ def read_ids(spark, path, **kw) -> DataFrame:
 def read_counts(spark, path, **kw) -> DataFrame:
     """A list of counts, possibly several per line: ``(mesh_id, n)`` with 1-based position as id."""
     rows = lines(spark, path, **kw).select("line", F.posexplode(tokens(F.col("value"))).alias("col", "n"))
-    rows = rows.withColumn("_k", F.col("line") * 1_000_000 + F.col("col"))
-    out = running(rows, [], "_k", "_k", pos="p")
-    return out.select((F.col("p") + 1).alias("mesh_id"), F.col("n").cast("long").alias("n"))
+    sizes = rows.groupBy("line").agg(F.count("*").alias("_size"))
+    before = running(sizes, [], "line", "line", {"_upto": F.col("_size")}, pos="_p")
+    before = before.select("line", (F.col("_upto") - F.col("_size")).alias("_before"))
+    out = rows.join(before, "line")
+    return out.select((F.col("_before") + F.col("col") + 1).alias("mesh_id"), F.col("n").cast("long").alias("n"))
 
 
 def read_predictions(spark, path, **kw) -> DataFrame:
@@ -146,13 +148,15 @@ def with_all_inputs(meshes: DataFrame, manifests: list[DataFrame], key: str = "m
     return meshes
 
 
-def write_ordered_text(rows: DataFrame, path: str, unit: str, line: str, value: str = "value", files: int = 8) -> None:
+def write_ordered_text(rows: DataFrame, path: str, unit: str, line: str, value: str = "value", files: int | None = None) -> None:
     """One folder per unit; its part files, in name order, hold the lines in order.
 
-    Rows are range-partitioned by (unit, line), so a unit of any size is written by several tasks.
+    Rows are range-partitioned by (unit, line), so a unit of any size is written by several tasks; their number
+    follows the size of the data unless ``files`` fixes it.
     """
     placed = rows.select(F.col(unit), F.col(line).alias("_line"), F.col(value).cast("string").alias("value"))
-    placed = placed.repartitionByRange(files, unit, "_line").sortWithinPartitions(unit, "_line")
+    by = [unit, "_line"] if files is None else [files, unit, "_line"]
+    placed = placed.repartitionByRange(*by).sortWithinPartitions(unit, "_line")
     placed.drop("_line").write.mode("overwrite").partitionBy(unit).text(path)
 
 

@@ -155,8 +155,11 @@ def test_three_tie_rules(spark):
     best = votes.ranked_scores(sc, ["s"], "p", "c", 3)
     assert [b.label for b in best.first().best] == [0, 2, 1]
     # class 0 on top passes its place to the next best class, which is the higher one of the tie
-    hits = [best.select(votes.top_k_hit(F.col("best"), F.lit(t), 1)).first()[0] for t in (0, 1, 2)]
-    assert hits == [True, False, True]
+    counts = [best.select(*votes.top_k_counts(F.col("best"), F.lit(t), 1)).first() for t in (0, 1, 2)]
+    assert [tuple(c) for c in counts] == [(True, 1), (False, 0), (False, 1)]
+    # among the top two the hit and the handed place both count
+    counts = [best.select(*votes.top_k_counts(F.col("best"), F.lit(t), 2)).first() for t in (0, 1, 2)]
+    assert [tuple(c) for c in counts] == [(True, 1), (False, 0), (True, 2)]
 
 
 def test_smoothing_keeps_the_boundary_and_flattens_a_spike(spark):
