@@ -79,17 +79,16 @@ def plain(text: str) -> list[Span]:
 # Letters that look like Latin ones.
 _CYRILLIC = dict(zip("АВЕКМНОРСТХаеорсухіјѕһԁԛԝ", "ABEKMHOPCTXaeopcyxijshdqw"))
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιν", "ABEZHIKMNOPTYXoiv"))
-_MARKS = {
-    "․": ".", "。": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", " ": " "
-}
-_INVISIBLE = "­​‌‍⁠﻿"
+_MARKS = {"\u2024": ".", "\u3002": ".", "\u00b7": ".", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u00a0": " "}
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 _ONE_DIGIT = f"(?:{'|'.join(_DIGITS)})"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+#: Where such characters live: Greek, Cyrillic, other digits, invisible, full-width, mathematical, circled.
 _RANGES = (
-    " ­·Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‍‐-–․"
-    "⁠。﻿﹒﹫！-～\U0001d400-\U0001d7ff①-⑨Ⓐ-ⓩ"
+    "\u00a0\u00ad\u00b7\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2010-\u2013\u2024"
+    "\u2060\u3002\ufeff\ufe52\ufe6b\uff01-\uff5e\U0001d400-\U0001d7ff\u2460-\u2468\u24b6-\u24e9"
 )
 _REWRITE = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}\s{{0,3}}(?ai:at|@)\s{{0,3}}{_CLOSE}\s{{0,3}}"
