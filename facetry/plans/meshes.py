@@ -272,7 +272,19 @@ def scatter_matrix3(t):
     return t.embeddings.groupBy("label").agg(*[R(c, 6).alias(n) for n, c in stats.scatter3(x, y, z).items()])
 
 
-@query("pca3_eigen")
+@query(
+    "pca3_eigen",
+    """WITH s AS (SELECT label, sum(x*x) AS xx, sum(x*y) AS xy, sum(x*z) AS xz, sum(y*y) AS yy, sum(y*z) AS yz, sum(z*z) AS zz
+          FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)
+          GROUP BY label),
+        c AS (SELECT *, xx+yy+zz AS tr, xx*yy+xx*zz+yy*zz-xy*xy-xz*xz-yz*yz AS mi,
+                xx*(yy*zz-yz*yz)-xy*(xy*zz-yz*xz)+xz*(xy*yz-yy*xz) AS de FROM s),
+        d AS (SELECT *, sqrt(greatest(tr*tr-3*mi, 0)) AS r FROM c),
+        -- roots of the characteristic polynomial by Viete's cosines
+        a AS (SELECT *, acos(greatest(-1, least(1, (2*tr^3-9*tr*mi+27*de)/(2*r^3))))/3 AS phi FROM d)
+        SELECT label, round((tr + 2*r*cos(phi + 2*pi()/3))/3, 6) AS e0, round((tr + 2*r*cos(phi - 2*pi()/3))/3, 6) AS e1,
+               round((tr + 2*r*cos(phi))/3, 6) AS e2 FROM a""",
+)
 def pca3_eigen(t):
     x, y, z = (col("embedding")[i].cast("double") for i in range(3))
     s = t.embeddings.groupBy("label").agg(*[c.alias(n) for n, c in stats.scatter3(x, y, z).items()])
@@ -618,7 +630,62 @@ def graph_preparation(t):
     return prepare_graphs(features, near, labels, g.select(M, "face", "area"), levels=2, k=4)["rows"].drop("f")
 
 
-@query("principal_curvatures")
+def _sql_dot(a, b):
+    return "(" + " + ".join(f"{x}*{y}" for x, y in zip(a, b)) + ")"
+
+
+def _sql_less(a, b):
+    return [f"({x} - {y})" for x, y in zip(a, b)]
+
+
+def curvature_sql() -> str:
+    """Face tensors from the normal equations by determinants, read along tangents carried over by reflection."""
+    at = {"a": ["ax", "ay", "az"], "b": ["bx", "b_y", "bz"], "c": ["cx", "cy", "cz"]}
+    nrm = {c: [f"{c}m{k}" for k in "xyz"] for c in "abc"}
+    t, b, f, n = (["tx", "ty", "tz"], ["wx", "wy", "wz"], ["fx", "fy", "fz"], ["nx", "ny", "nz"])
+    sides = " UNION ALL ".join(
+        f"SELECT mesh_id, face, {_sql_dot(_sql_less(at[j], at[i]), t)} AS e0, {_sql_dot(_sql_less(at[j], at[i]), b)} AS e1, "
+        f"{_sql_dot(_sql_less(nrm[j], nrm[i]), t)} AS d0, {_sql_dot(_sql_less(nrm[j], nrm[i]), b)} AS d1 FROM fb"
+        for i, j in ("ab", "bc", "ca")
+    )
+    corners = []
+    for v, (i, j, k) in enumerate(("abc", "bca", "cab")):
+        inner = {x: _sql_dot(_sql_less(at[y], at[x]), _sql_less(at[z], at[x])) for x, y, z in ((i, j, k), (j, k, i), (k, i, j))}
+        lj, lk = (_sql_dot(_sql_less(at[x], at[i]), _sql_less(at[x], at[i])) for x in (j, k))
+        corners.append(
+            f"SELECT mesh_id, face, v{v} AS v, CASE WHEN {inner[i]} <= 0 THEN area - {lj}*area/(4*{inner[j]}) - {lk}*area/(4*{inner[k]}) "
+            f"WHEN {inner[j]} <= 0 THEN {lj}*area/(4*{inner[i]}) WHEN {inner[k]} <= 0 THEN {lk}*area/(4*{inner[i]}) "
+            f"ELSE ({lj}*{inner[k]} + {lk}*{inner[j]})/(16*area) END AS w FROM ge"
+        )
+    carried = lambda p: [f"({x} - ({_sql_dot(p, f)})/(1 + {_sql_dot(n, f)})*({y} + {z}))" for x, y, z in zip(p, n, f)]
+    p, q = ["0", "nz/h", "-ny/h"], ["-h", "nx*ny/h", "nx*nz/h"]
+    along = {}
+    for name, vec in (("p", p), ("q", q)):
+        along[name] = (_sql_dot(carried(vec), t), _sql_dot(carried(vec), b))
+    return f"""WITH {NORMALS},
+      fa AS (SELECT ge.*, rx/(2*area) AS fx, ry/(2*area) AS fy, rz/(2*area) AS fz,
+             sqrt((bx-ax)^2 + (b_y-ay)^2 + (bz-az)^2) AS l FROM ge),
+      ft AS (SELECT *, (bx-ax)/l AS tx, (b_y-ay)/l AS ty, (bz-az)/l AS tz FROM fa),
+      fw AS (SELECT *, fy*tz-fz*ty AS wx, fz*tx-fx*tz AS wy, fx*ty-fy*tx AS wz FROM ft),
+      fb AS (SELECT fw.*, {", ".join(f"{c}.n{k} AS {c}m{k}" for c in "abc" for k in "xyz")} FROM fw
+             {" ".join(f"JOIN vn {c} ON {c}.mesh_id = fw.mesh_id AND {c}.v = v{i}" for i, c in enumerate("abc"))}),
+      si AS ({sides}),
+      sq AS (SELECT mesh_id, face, sum(e0*e0) AS a, sum(e0*e1) AS b, sum(e1*e1) AS c, sum(d0*e0) AS m0,
+             sum(d0*e1 + d1*e0) AS m1, sum(d1*e1) AS m2 FROM si GROUP BY ALL),
+      kk AS (SELECT mesh_id, face, (m0*((a+c)*c - b*b) - b*(m1*c - b*m2))/det AS k0, (a*(m1*c - b*m2) - m0*b*c)/det AS k1,
+             (a*((a+c)*m2 - m1*b) - b*b*m2 + m0*b*b)/det AS k2 FROM (SELECT *, a*((a+c)*c - b*b) - b*b*c AS det FROM sq)),
+      cw AS ({" UNION ALL ".join(corners)}),
+      vh AS (SELECT *, sqrt(ny*ny + nz*nz) AS h FROM vn),
+      uv AS (SELECT cw.mesh_id, cw.v, w, k0, k1, k2, {along["p"][0]} AS u1, {along["p"][1]} AS v1, {along["q"][0]} AS u2, {along["q"][1]} AS v2
+             FROM cw JOIN fw ON fw.mesh_id = cw.mesh_id AND fw.face = cw.face JOIN kk ON kk.mesh_id = cw.mesh_id AND kk.face = cw.face
+             JOIN vh ON vh.mesh_id = cw.mesh_id AND vh.v = cw.v),
+      me AS (SELECT mesh_id, v, sum(w*(k0*u1*u1 + 2*k1*u1*v1 + k2*v1*v1))/sum(w) AS a,
+             sum(w*(k0*u1*u2 + k1*(u1*v2 + u2*v1) + k2*v1*v2))/sum(w) AS b,
+             sum(w*(k0*u2*u2 + 2*k1*u2*v2 + k2*v2*v2))/sum(w) AS c FROM uv GROUP BY ALL)
+      SELECT mesh_id, v, round((a+c)/2 + sqrt((a-c)^2/4 + b*b), 6) AS k1, round((a+c)/2 - sqrt((a-c)^2/4 + b*b), 6) AS k2 FROM me"""
+
+
+@query("principal_curvatures", curvature_sql())
 def principal_curvatures(t):
     g = cut(geometry(t))
     k = mesh.principal_curvatures(g, cut(mesh.vertex_normals(g)))

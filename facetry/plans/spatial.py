@@ -54,11 +54,28 @@ def grid_overlap(t):
     return spatial.overlap(c, s).select("id")
 
 
-@query("point_normals")
+POINT_NORMALS = """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+    k AS (SELECT a.vec_id, b.x-a.x AS x, b.y-a.y AS y, b.z-a.z AS z FROM p a JOIN p b ON a.vec_id <> b.vec_id
+          QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt((b.x-a.x)^2+(b.y-a.y)^2+(b.z-a.z)^2), b.vec_id) <= 12),
+    s AS (SELECT vec_id, sum(x*x) AS xx, sum(x*y) AS xy, sum(x*z) AS xz, sum(y*y) AS yy, sum(y*z) AS yz, sum(z*z) AS zz FROM k GROUP BY ALL),
+    c AS (SELECT *, xx+yy+zz AS tr, xx*yy+xx*zz+yy*zz-xy*xy-xz*xz-yz*yz AS mi, xx*(yy*zz-yz*yz)-xy*(xy*zz-yz*xz)+xz*(xy*yz-yy*xz) AS de FROM s),
+    d AS (SELECT *, sqrt(greatest(tr*tr-3*mi, 0)) AS r FROM c),
+    e AS (SELECT *, (tr + 2*r*cos(acos(greatest(-1, least(1, (2*tr^3-9*tr*mi+27*de)/(2*r^3))))/3 + 2*pi()/3))/3 AS lo FROM d),
+    -- the adjugate of A - lo I has the eigenvector in every column; the longest column is taken
+    g AS (SELECT vec_id, (yy-lo)*(zz-lo)-yz*yz AS axx, xz*yz-xy*(zz-lo) AS axy, xy*yz-xz*(yy-lo) AS axz,
+                 (xx-lo)*(zz-lo)-xz*xz AS ayy, xy*xz-yz*(xx-lo) AS ayz, (xx-lo)*(yy-lo)-xy*xy AS azz FROM e),
+    h AS (SELECT *, axx^2+axy^2+axz^2 AS l0, axy^2+ayy^2+ayz^2 AS l1, axz^2+ayz^2+azz^2 AS l2 FROM g),
+    n AS (SELECT vec_id, CASE WHEN l0 >= l1 AND l0 >= l2 THEN [axx, axy, axz, l0] WHEN l1 >= l2 THEN [axy, ayy, ayz, l1]
+                         ELSE [axz, ayz, azz, l2] END AS v FROM h)
+    SELECT vec_id, round(v[1]/sqrt(v[4]) * q, 4) AS nx, round(v[2]/sqrt(v[4]) * q, 4) AS ny, round(v[3]/sqrt(v[4]) * q, 4) AS nz
+    FROM (SELECT *, CASE WHEN v[3] < 0 THEN -1 ELSE 1 END AS q FROM n)"""
+
+
+@query("point_normals", POINT_NORMALS)
 def point_normals(t):
     p = t.embeddings.select("vec_id", F.slice("embedding", 1, 3).alias("v"))
     n = spatial.point_normals(p, "vec_id", "v")
-    return n.select("vec_id", *[R(F.col(f"n{k}"), 6).alias(f"n{k}") for k in "xyz"])
+    return n.select("vec_id", *[R(F.col(f"n{k}"), 4).alias(f"n{k}") for k in "xyz"])
 
 
 @query(
