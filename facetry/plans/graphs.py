@@ -163,14 +163,15 @@ def gather_gradient(t):
 
 @query(
     "neighbour_mean",
-    f"""WITH {KNN}, g AS (SELECT vec_id AS node, embedding[1]::DOUBLE AS v FROM embeddings
-          UNION ALL SELECT src, embedding[1]::DOUBLE FROM kn JOIN embeddings ON dst = vec_id)
-        SELECT node, round(avg(v), 6) AS value FROM g GROUP BY ALL""",
+    f"""WITH {KNN}, g AS (SELECT vec_id AS node, embedding::DOUBLE[] AS v FROM embeddings
+          UNION ALL SELECT src, embedding::DOUBLE[] FROM kn JOIN embeddings ON dst = vec_id),
+          u AS (SELECT node, unnest(range(64)) AS dim, unnest(v) AS v FROM g)
+        SELECT node, dim::INT AS dim, round(avg(v), 6) AS value FROM u GROUP BY ALL""",
 )
 def neighbour_mean(t):
-    feats = t.embeddings.select("vec_id", col("embedding")[0].cast("double").alias("f"))
-    g = graph.gather(knn3(t), feats, "vec_id", "f")
-    return g.groupBy("node").agg(R(F.avg("value"), 6).alias("value"))
+    feats = t.embeddings.select("vec_id", V.as_double(col("embedding")).alias("f"))
+    g = graph.gather(knn3(t), feats, "vec_id", "f").select("node", F.posexplode("value").alias("dim", "value"))
+    return g.groupBy("node", "dim").agg(R(F.avg("value"), 6).alias("value"))
 
 
 @query(

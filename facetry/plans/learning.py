@@ -11,16 +11,16 @@ R, col = F.round, F.col
 CLASSES = 3
 
 
-def examples(t, width=4):
-    """Labels folded to three classes; the first embedding components, rounded, are the features."""
+def examples(t):
+    """Labels folded to three classes; the embedding components, rounded, are the features."""
     n = t.embeddings.agg(F.count(F.lit(1))).scalar()
-    x = F.transform(F.slice("embedding", 1, width), lambda v: F.round(v.cast("double"), 2))
+    x = F.transform("embedding", lambda v: F.round(v.cast("double"), 2))
     return t.embeddings.select(
         col("vec_id").alias("id"), (col("label") % CLASSES + 1).alias("y"), x.alias("x"), (F.lit(1.0) / n).alias("weight")
     )
 
 
-SUMS = """ex AS (SELECT vec_id, label % 3 + 1 AS y, unnest([0, 1, 2, 3]) AS fid, unnest(embedding[1:4]::DOUBLE[]) AS r,
+SUMS = """ex AS (SELECT vec_id, label % 3 + 1 AS y, unnest(range(len(embedding))) AS fid, unnest(embedding::DOUBLE[]) AS r,
               1.0::DOUBLE / (SELECT count(*) FROM embeddings) AS w FROM embeddings),
      pv AS (SELECT fid, round(r, 2) AS v, sum(w) AS w, sum(CASE WHEN y = 1 THEN w ELSE -w END) AS y0,
               sum(CASE WHEN y = 2 THEN w ELSE -w END) AS y1, sum(CASE WHEN y = 3 THEN w ELSE -w END) AS y2 FROM ex GROUP BY ALL),

@@ -254,11 +254,12 @@ def weighted_centroid(t):
     f"""WITH {GEO}, m AS (SELECT mesh_id, sum(gx*area)/sum(area) AS mx, sum(gy*area)/sum(area) AS my,
              sum(gz*area)/sum(area) AS mz FROM ge GROUP BY ALL)
         SELECT mesh_id, round(sum((gx-mx)^2*area)/sum(area), 5) AS cxx, round(sum((gx-mx)*(gy-my)*area)/sum(area), 5) AS cxy,
-               round(sum((gz-mz)^2*area)/sum(area), 6) AS czz FROM ge JOIN m USING (mesh_id) GROUP BY ALL""",
+               round(sum((gx-mx)*(gz-mz)*area)/sum(area), 5) AS cxz, round(sum((gy-my)^2*area)/sum(area), 5) AS cyy,
+               round(sum((gy-my)*(gz-mz)*area)/sum(area), 5) AS cyz, round(sum((gz-mz)^2*area)/sum(area), 6) AS czz FROM ge JOIN m USING (mesh_id) GROUP BY ALL""",
 )
 def mesh_covariance(t):
     c = mesh.covariance(geometry(t))
-    return c.select(M, R("cxx", 5).alias("cxx"), R("cxy", 5).alias("cxy"), R("czz", 6).alias("czz"))
+    return c.select(M, *[R(f"c{k}", 6 if k == "zz" else 5).alias(f"c{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz")])
 
 
 @query(

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 import check_oracle
+from facetry.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
@@ -14,6 +15,12 @@ SLOW = {
     "pca_descriptor", "curvature_descriptor", "shape_diameter", "visible_shape", "boost_train", "hop_distance_recursive",
 }
 
+#: No SQL counterpart yet; their operators have unit tests.
+NO_SQL = {
+    "boost_train", "coarsen_matching", "curvature_descriptor", "edge_context", "graph_preparation", "greedy_labels", "part_axes",
+    "pca_descriptor", "shape_diameter", "tree_permutation", "visible_shape", "vote_smoothing",
+}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -24,10 +31,14 @@ def test_every_sql_counterpart_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))
+def test_queries_without_sql_are_known():
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == NO_SQL
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - SLOW))
 def test_query_agrees_with_sql(spark, con, name):
-    ok, note = check_oracle.compare(spark, con, FOLDER, contract.queries()[name], contract.oracle_sql().get(name))
-    assert ok is not False, note
+    ok, note = check_oracle.compare(spark, con, FOLDER, catalogue.QUERIES[name], catalogue.ORACLES[name])
+    assert ok, note
 
 
 def test_flagship(spark):
