@@ -100,7 +100,9 @@ _REWRITE = re.compile(
 )
 #: What a text must contain before it is worth rewriting.
 _GLYPH = re.compile(f"[{_RANGES}]")
-_SPELLED = re.compile(rf"\b{_ONE_DIGIT}[\s,-]{{1,3}}{_ONE_DIGIT}[\s,-]{{1,3}}{_ONE_DIGIT}\b")
+_SPELLED = re.compile(
+    rf"\b(?:{_ONE_DIGIT}|plus)[\s,-]{{1,3}}(?:[0-9]|{_ONE_DIGIT}\b)|[0-9][\s,-]{{1,3}}{_ONE_DIGIT}\b"
+)
 _BRACKETED = re.compile(rf"{_OPEN}\s{{0,3}}(?ai:at|dot|@|\.)\s{{0,3}}{_CLOSE}")
 
 
