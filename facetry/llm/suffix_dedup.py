@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm.common import blocks, nullable_ids, sha256, texts
 from facetry.llm.textscan import U64, Scan, mix
-from facetry.session import cut
+from facetry.session import cut, forget
 
 LENGTH = 100
 ANCHOR = 24
@@ -230,14 +230,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             yield pd.DataFrame({"hash": h, "content": content, "id": ids, "place": start * _N + n})
 
     found = body.filter(F.length("text") >= length).mapInPandas(run, "hash long, content long, id long, place long")
-    often = found.groupBy("hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).drop("_n")
+    # written before it is joined, so that both sides come straight from a shuffle and a hot anchor can be split
+    often = cut(found.groupBy("hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).drop("_n"))
     met = cut(found.join(often, "hash"))
     same = ["hash", "content"]
     # the number of windows is part of the content: equal content has equal length
     classes = cut(met.groupBy(*same).agg(F.min(F.struct("id", "place")).alias("_first")))
     copies = met.join(classes, same).filter(F.struct("id", "place") > F.col("_first"))
     copies = copies.select("id", F.floor(F.col("place") / _N).alias("start"), (F.col("place") % _N).alias("n"))
-    per_anchor = classes.groupBy("hash").agg(F.count("*").alias("classes")).filter(F.col("classes") > 1)
+    per_anchor = cut(classes.groupBy("hash").agg(F.count("*").alias("classes")).filter(F.col("classes") > 1))
     firsts = classes.join(per_anchor, "hash").select(
         "hash",
         F.col("_first.id").alias("id"),
@@ -245,10 +246,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         (F.col("_first.place") % _N).alias("n"),
     )
     rows = cut(_first_bytes(firsts, body, length))
+    forget(often, per_anchor)
     large = rows.groupBy("hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > most_classes).select("hash")
     compared = _compare(rows.join(large, "hash", "left_anti"), length)
     taken_apart = _by_content(rows.join(large, "hash", "left_semi"), length)
-    return cut(copies.unionByName(compared).unionByName(taken_apart))
+    out = cut(copies.unionByName(compared).unionByName(taken_apart))
+    forget(met, classes, rows)
+    return out
 
 
 def _remaining(text: bytes, parts, length: int) -> tuple[int, int, bytes]:
