@@ -10,9 +10,11 @@ Buckets never become all their pairs:
 
 1. Every member of a bucket is compared with its most popular member (the one met most often over all
    tables), and verified links are united to components.
-2. Only buckets that still hold several components are looked through for pairs of different components, in
-   tiles of bounded size; a pair is taken up in its first common table only, and only if sizes and signatures
-   allow the similarity.
+2. Only buckets that still hold several components are looked through for links between different components.
+   In a bucket of up to ``SMALL`` members, pairs whose sizes and signatures allow the similarity are listed, each
+   in its first common table, and verified.  A larger bucket is dealt out as pairs of tiles together with the
+   texts; a task computes all common shingles of its tiles as a matrix product and hands on only links that
+   unite what is apart, at most one per member.
 
 Texts without words have empty sets and link with nothing.  Rows with a null id link with nothing and stay.
 Repeated rows get the same result.  If different texts share an id, one of them takes part in links, and the
@@ -37,7 +39,13 @@ from facetry.session import cut, forget
 SIZE = 2
 #: Share of links at the very threshold that no table shows.
 MISS = 1e-4
-TILE = 256
+#: Members of a bucket up to which its pairs are listed, and of a tile of a larger one.
+SMALL = 128
+TILE = 1536
+#: Columns of the matrix of common shingles that are held at once.
+COLUMNS = 2048
+#: Rows of that matrix that are compared at once.
+ROWS = 256
 
 
 def collections_needed(percent: int, miss: float = MISS) -> int:
@@ -132,17 +140,16 @@ def _slots(reps: DataFrame, m: int) -> DataFrame:
     return reps.select("rep", "sig").mapInPandas(run, "rep long, values array<long>")
 
 
-def _bodies(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts of the ids in ``pairs``; the text an id stands for is the one its class was made of."""
-    wanted = pairs.select(F.col("i").alias("rep")).unionByName(pairs.select(F.col("j").alias("rep"))).distinct()
+def _bodies(wanted: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(doc_id, text)`` of the ids ``(rep)``; the text an id stands for is the one its class was made of."""
     wanted = wanted.join(reps.select("rep", "tid"), "rep").withColumnRenamed("rep", "doc_id")
     body = texts(docs, key, text, binary=True).withColumn("tid", F.xxhash64("text"))
-    return cut(body.join(wanted, ["doc_id", "tid"]).select("doc_id", "text"))
+    # one row of repeated ones; the columns are those of the join, so nothing is shuffled again
+    return cut(body.join(wanted, ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"]).select("doc_id", "text"))
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs ``(i, j)`` of ids whose full sets are similar enough."""
-    body = _bodies(pairs, reps, docs, key, text)
     with_i = pairs.join(body.select(F.col("doc_id").alias("i"), F.col("text").alias("text_i")), "i")
     with_both = with_i.join(body.select(F.col("doc_id").alias("j"), F.col("text").alias("text_j")), "j")
 
@@ -159,9 +166,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
                     good.append(len(a) > 0 and 100 * common >= percent * (len(a) + len(b) - common))
                 yield part.loc[good, ["i", "j"]]
 
-    links = cut(with_both.select("i", "j", "text_i", "text_j").mapInPandas(run, "i long, j long").distinct())
-    forget(body)
-    return links
+    return cut(with_both.select("i", "j", "text_i", "text_j").mapInPandas(run, "i long, j long").distinct())
 
 
 def _by_size(pdf: pd.DataFrame, limit: int = 8 << 20):
@@ -170,56 +175,128 @@ def _by_size(pdf: pd.DataFrame, limit: int = 8 << 20):
         yield part
 
 
-def _open_pairs(rows: DataFrame, m: int, percent: int) -> DataFrame:
-    """Plausible pairs of different components in tiles ``(key, ti, tj)`` of rows with signatures."""
+def _groups(batches, columns: list[str]):
+    """Whole groups of rows that arrive sorted by ``columns``."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf])
+        if not len(pdf):
+            continue
+        last = np.ones(len(pdf), bool)
+        for c in columns:
+            last &= (pdf[c] == pdf[c].iloc[-1]).to_numpy()
+        held = pdf[last]
+        for _, g in pdf[~last].groupby(columns, sort=False):
+            yield g
+    if held is not None and len(held):
+        yield held
+
+
+def _listed_pairs(rows: DataFrame, m: int, percent: int) -> DataFrame:
+    """Plausible pairs ``(i, j)`` of different components within each bucket of ``(key, table, rep, n, root, sig)``."""
     functions = 2 * m * SIZE
     share = percent / 100
     # far enough below the mean that a true link practically never falls under it
     least = max(0, math.floor(functions * share - 5.5 * math.sqrt(functions * share * (1 - share))))
 
-    def pairs_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        ids, n, root = g["rep"].to_numpy(), g["n"].to_numpy(), g["root"].to_numpy()
-        sig = np.frombuffer(b"".join(g["sig"]), "<u4").reshape(len(g), functions)
-        own = _collections(g["sig"], m)
-        table, ti, tj = int(g["table"].iloc[0]), int(g["ti"].iloc[0]), int(g["tj"].iloc[0])
-        side = g["tile"].to_numpy()
-        a = np.flatnonzero(side == ti)
-        b = np.flatnonzero(side == tj)
-        ok = root[a][:, None] != root[b][None, :]
-        if ti == tj:
-            ok &= ids[a][:, None] < ids[b][None, :]
-        small, large = np.minimum(n[a][:, None], n[b][None, :]), np.maximum(n[a][:, None], n[b][None, :])
-        ok &= 100 * small >= percent * large
-        x, y = np.nonzero(ok)
-        x, y = a[x], b[y]
-        for s in range(0, len(x), 1 << 16):
-            p, q = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
-            keep = (sig[p] == sig[q]).sum(1) >= least
+    def run(batches):
+        for g in _groups(batches, ["key"]):
+            ids, n, root = g["rep"].to_numpy(), g["n"].to_numpy(), g["root"].to_numpy()
+            sig = np.frombuffer(b"".join(g["sig"]), "<u4").reshape(len(g), functions)
+            own = _collections(g["sig"], m)
+            p, q = np.triu_indices(len(g), 1)
+            keep = (root[p] != root[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+            p, q = p[keep], q[keep]
             same = own[p] == own[q]
-            keep &= (same[:, :m].argmax(1) * m + same[:, m:].argmax(1)) == table
-            yield ids[p[keep]], ids[q[keep]]
+            first = same[:, :m].argmax(1) * m + same[:, m:].argmax(1)
+            keep = (first == int(g["table"].iloc[0])) & ((sig[p] == sig[q]).sum(1) >= least)
+            if keep.any():
+                p, q = ids[p[keep]], ids[q[keep]]
+                yield pd.DataFrame({"i": np.minimum(p, q), "j": np.maximum(p, q)})
+
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInPandas(run, "i long, j long").distinct()
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of every two sets; a matrix product over the elements that occur twice."""
+    n = len(sets)
+    flat = np.concatenate(sets) if n else np.zeros(0, U64)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, element, times = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[element] > 1
+    row, column = owner[shared], number[element[shared]]
+    out = np.zeros((n, n), np.float32)  # exact up to 2^24 common elements
+    for k in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        part = (column >= k) & (column < k + COLUMNS)
+        x = np.zeros((n, COLUMNS), np.float32)
+        x[row[part], column[part] - k] = 1
+        out += x @ x.T
+    return out
+
+
+def _close_pairs(sets: list[np.ndarray], percent: int, apart) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``a < b`` of similar sets for which ``apart(rows)`` allows it."""
+    common, n = common_counts(sets), np.array([len(s) for s in sets], np.int64)
+    left, right = [], []
+    for r in range(0, len(sets), ROWS):
+        rows = slice(r, min(len(sets), r + ROWS))
+        both = common[rows].astype(np.int64)
+        a, b = np.nonzero((100 * both >= percent * (n[rows, None] + n[None, :] - both)) & apart(rows))
+        left.append(a[a + r < b] + r)
+        right.append(b[a + r < b])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links ``(a, b)`` enough to unite all that they unite, starting from the components ``root``."""
+    _, root = np.unique(root, return_inverse=True)
+    parent = np.arange(root.max(initial=-1) + 1)
+    left, right = [], []
+    while True:
+        ra, rb = parent[root[a]], parent[root[b]]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        if not len(a):
+            none = np.zeros(0, np.int64)
+            return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+        # one link per component to be hung up under a lower one, so no circle closes
+        high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+        _, first = np.unique(high, return_index=True)
+        left.append(a[first])
+        right.append(b[first])
+        parent[high[first]] = low[first]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def _tile_links(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``(i, j)`` that unite components within large buckets of ``(key, cnt, rep, root, text)``."""
+    tiles = F.ceil(F.col("cnt") / TILE).cast("long")
+    rows = rows.withColumn("_tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("_tiles")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
+    group = ["key", "ti", "tj"]
+    rows = rows.select(
+        "key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "rep", "root", "text"
+    )
 
     def run(batches):
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf])
-            last = tuple(pdf[["key", "ti", "tj"]].iloc[-1]) if len(pdf) else None
-            open_group = np.ones(len(pdf), bool)
-            for c, v in zip(("key", "ti", "tj"), last or ()):
-                open_group &= pdf[c].to_numpy() == v
-            held = pdf[open_group]
-            yield from ended(pdf[~open_group])
-        if held is not None:
-            yield from ended(held)
-
-    def ended(pdf: pd.DataFrame):
-        for _, g in pdf.groupby(["key", "ti", "tj"], sort=False):
-            for i, j in pairs_of(g):
-                if len(i):
-                    yield pd.DataFrame({"i": i, "j": j})
-
-    dealt = rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-    return dealt.mapInPandas(run, "i long, j long")
+        for g in _groups(batches, group):
+            side, ti, tj = g["tile"].to_numpy(), int(g["ti"].iloc[0]), int(g["tj"].iloc[0])
+            root = g["root"].to_numpy()
+            if (root == root[0]).all():
+                continue
+            def apart(rows, root=root, side=side, across=ti != tj):
+                other = root[rows, None] != root[None, :]
+                return other & (side[rows, None] != side[None, :]) if across else other
+
+            a, b = spanning(*_close_pairs(shingle_sets(list(g["text"]), size), percent, apart), root)
+            if len(a):
+                ids = g["rep"].to_numpy(np.int64)
+                yield pd.DataFrame({"i": ids[a], "j": ids[b]})
+
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInPandas(run, "i long, j long").distinct()
 
 
 def near_groups(
@@ -237,9 +314,12 @@ def near_groups(
     one = classes.groupBy("rep").agg(F.min(F.struct("tid", F.col("n_shingles").alias("n"), "sig")).alias("_one"))
     reps = one.select("rep", "_one.*")
 
-    # a key can only be shared where the values of both of its collections are
+    # Counts are written before they are joined: both sides of such a join then come straight from a shuffle, so
+    # that adaptive execution can split a hot key.
+    # A key can only be shared where the values of both of its collections are.
     slots = _slots(reps, m).select("rep", F.posexplode("values").alias("slot", "value"))
     shared = slots.groupBy("slot", "value").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).drop("_n")
+    shared = cut(shared)
     useful = slots.join(shared, ["slot", "value"]).groupBy("rep").agg(F.collect_list(F.struct("slot", "value")).alias("s"))
     side_a = F.filter("s", lambda e: e["slot"] < m)
     side_b = F.filter("s", lambda e: e["slot"] >= m)
@@ -253,34 +333,34 @@ def near_groups(
         F.xxhash64("a.slot", "a.value", "b.slot", "b.value").alias("key"),
     )
     keyed = cut(keyed)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("cnt")).filter(F.col("cnt") > 1)
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("cnt")).filter(F.col("cnt") > 1))
     members = cut(keyed.join(sizes, "key"))
     popular = members.groupBy("rep").agg(F.sum("cnt").alias("pop")).join(reps.select("rep", "n"), "rep")
     ranked = members.join(popular, "rep")
     centre = ranked.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("c"), F.col("n").alias("cn"))).alias("_c"))
+    centre = cut(centre)
     star = ranked.join(centre, "key").filter(F.col("rep") != -F.col("_c.c"))
     star = star.filter(100 * F.least("n", "_c.cn") >= percent * F.greatest("n", "_c.cn"))
     star = cut(star.select(F.col("rep").alias("i"), (-F.col("_c.c")).alias("j")).distinct())
-    links = _verify(star, reps, docs, key, text, size, percent)
+    # the texts of all that met anybody: what follows reads them instead of the whole table
+    bodies = _bodies(popular.select("rep"), reps, docs, key, text)
+    links = _verify(star, bodies, size, percent)
     nodes = cut(popular.select(F.col("rep").alias("node")))
     found = components(links, nodes)
 
     in_component = members.join(found.withColumnRenamed("node", "rep"), "rep")
     still_open = in_component.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     still_open = still_open.filter(F.col("lo") < F.col("hi")).select("key")
-    rows = in_component.join(still_open, "key")
-    tiles = F.ceil(F.col("cnt") / TILE).cast("long")
-    rows = rows.withColumn("_tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("_tiles")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
-    rows = rows.select(
-        "key", "table", "rep", "root", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj")
-    )
-    rows = rows.join(reps.drop("tid"), "rep")
-    more = cut(_open_pairs(rows, m, percent).distinct())
-    forget(keyed, members)
-    new_links = _verify(more, reps, docs, key, text, size, percent)
-    if not new_links.isEmpty():
-        found = components(links.unionByName(new_links), nodes)
+    still_open = cut(still_open)
+    rows = cut(in_component.join(still_open, "key").select("key", "table", "cnt", "rep", "root"))
+    listed = rows.filter(F.col("cnt") <= SMALL).join(reps.select("rep", "n", "sig"), "rep")
+    more = cut(_listed_pairs(listed, m, percent))
+    new_links = _verify(more, bodies, size, percent)
+    large = rows.filter(F.col("cnt") > SMALL).drop("table")
+    tiled = cut(_tile_links(large.join(bodies.withColumnRenamed("doc_id", "rep"), "rep"), size, percent))
+    forget(shared, keyed, sizes, members, centre, star, still_open, more, bodies, rows)
+    if not (new_links.isEmpty() and tiled.isEmpty()):
+        found = components(links.unionByName(new_links).unionByName(tiled), nodes)
 
     found = found.withColumnRenamed("node", "rep").join(reps.select("rep", "tid"), "rep")
     named = classes.drop("sig").join(found, ["rep", "tid"], "left")

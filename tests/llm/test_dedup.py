@@ -53,6 +53,7 @@ def test_tables_needed():
 @pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
 def test_near_groups_equal_brute_force(docs, rows, size, percent, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 2)
+    monkeypatch.setattr(minhash, "SMALL", 2)
     got = minhash.near_groups(docs, size=size, percent=percent).collect()
     sets = {r[0]: shingles(r[1] or "", size) for r in rows if r[0] is not None}
     links = [
@@ -71,8 +72,11 @@ def test_near_groups_equal_brute_force(docs, rows, size, percent, monkeypatch):
             assert (g.n_shingles, g.component_id, g.kept) == (len(sets[g.doc_id]), want[g.doc_id], want[g.doc_id] == g.doc_id)
 
 
-def test_links_that_the_centre_does_not_show_are_found(spark):
+@pytest.mark.parametrize("small", [128, 1])
+def test_links_that_the_centre_does_not_show_are_found(spark, small, monkeypatch):
     """A chain: neighbours are similar, the ends are not; the ids make no end a good centre."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "TILE", 4)
     words = [f"w{i}" for i in range(400)]
     chain = []
     for k in range(12):
@@ -88,6 +92,24 @@ def test_links_that_the_centre_does_not_show_are_found(spark):
     assert got == want
 
 
+def test_common_counts_and_spanning_links(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))).astype(np.uint64) for _ in range(20)]
+    got = minhash.common_counts(sets)
+    for i in range(20):
+        for j in range(20):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    for _ in range(50):
+        a, b = rng.integers(0, 30, (2, 40))
+        start = rng.integers(0, 25, 30)
+        p, q = minhash.spanning(a, b, start)
+        known = [(int(x), int(y)) for x in range(30) for y in range(30) if start[x] == start[y]]
+        assert united(range(30), [*known, *zip(p, q)]) == united(range(30), [*known, *zip(a, b)])
+        assert len(p) == len(set(united(range(30), known).values())) - len(set(united(range(30), [*known, *zip(a, b)]).values()))
+
+
 def test_one_of_each_group_and_empty_table(docs, no_docs, spark):
     out = minhash.one_of_each_group(docs)
     assert out.columns == docs.columns
