@@ -1,20 +1,58 @@
 """Token ids of whole texts, unit by unit.
 
-A text is cut before every single space that a non-space follows.  Both vocabularies used here split texts
-at such a place anyway, so the ids of the units, joined, are the ids of the whole text; a unit that was met
-before is looked up.  A text in which a cut could matter is encoded whole.
+A text whose only white space is single spaces and newlines is cut before every space and around every
+newline, and a final comma or full stop is cut off a letter.  Both vocabularies used here split texts at such
+places anyway, so the ids of the units, joined, are the ids of the whole text; a unit that was met before is
+looked up.  Any other text is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Units kept by a Python worker; when full, the memory starts anew.
+#: Units a Python worker keeps in each of two generations; when the younger one is full, the older one goes.
 CACHE_UNITS = 250_000
-_UNSAFE = re.compile(r"\x20(?!\S)|[\x1c-\x1f\x85]|<\|")
+#: Units that are encoded in one call.
+CALL_UNITS = 20_000
+_OTHER_SPACE = re.compile("[\t\r\0\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _whole(text: str) -> bool:
+    """Whether a text must not be cut."""
+    return (
+        "  " in text
+        or " \n" in text
+        or "\n\n" in text
+        or "<|" in text
+        or text.endswith(" ")
+        or _OTHER_SPACE.search(text) is not None
+    )
+
+
+#: Words of these letters are one piece to the tokenizers' splitting rules and change case letter by letter.
+_LATIN = re.compile("\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as letters from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _as_written(unit: str) -> str:
+    return unit.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
+def _folded(unit: str) -> str:
+    return unit.strip(" ").lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,24 +71,83 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: self._alone([m])[0] for m in ",."}
+        # single words can go to the merge rules directly, in the spelling this vocabulary uses for them
+        self.model, probes = self.tokenizer.model, [" Hello", "\u00dcber", " stra\u00dfe", " x", "Q"]
+        fits = lambda f: all(self._word(f(u)) == self._alone([u])[0] for u in probes)
+        self.spelling = next((f for f in (_as_written, _folded) if fits(f)), None)
+
+    def _word(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in done]
 
+    def _together(self, units: list[str]) -> list[bytes]:
+        """Ids of units that begin with a space, or before which a newline is put, encoded as one text."""
+        out = []
+        for k in range(0, len(units), CALL_UNITS):
+            part = [u if u[0] == " " else f"\n{u}" for u in units[k : k + CALL_UNITS]]
+            done = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids = np.array(done.ids, "<u4").tobytes()
+            first = np.fromiter((o[0] for o in done.offsets), np.int64, len(done.offsets))
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
+            own = np.concatenate([[0], ends[:-1]]) + np.fromiter((u[0] == "\n" for u in part), np.int64, len(part))
+            begin, end = 4 * np.searchsorted(first, own, "left"), 4 * np.searchsorted(first, ends, "left")
+            out += [ids[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of units that the younger generation lacks."""
+        again, fresh, tailed = {}, set(), []
+        for u in missing:
+            known = self.old.get(u)
+            if known is not None:
+                again[u] = known
+            elif u[-1:] in (",", ".") and u[-2:-1].isalpha():
+                tailed.append(u)
+                base = u[:-1]
+                known = self.young.get(base) or self.old.get(base)
+                if known is None:
+                    fresh.add(base)
+                elif base not in self.young:
+                    again[base] = known
+            else:
+                fresh.add(u)
+        fresh -= again.keys()
+        plain = [u for u in fresh if u and u != "\n"]
+        if self.spelling is not None:
+            words = [u for u in plain if _LATIN.fullmatch(u)]
+            plain = [u for u in plain if not _LATIN.fullmatch(u)]
+            again.update((u, self._word(self.spelling(u))) for u in words)
+        again.update(zip(plain, self._together(plain)))
+        again.update((u, self._alone([u])[0]) for u in fresh if not u or u == "\n")
+        for u in tailed:
+            base = again.get(u[:-1])
+            again[u] = (self.young[u[:-1]] if base is None else base) + self.marks[u[-1]]
+        return again
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if _UNSAFE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
-        known = self.known
-        missing = list(set().union(*cut) - known.keys())
-        if len(known) + len(missing) > CACHE_UNITS:
-            known.clear()
-            missing = list(set().union(*cut))
-        known.update(zip(missing, self._encode(missing)))
-        out = [b"".join([known[u] for u in units]) for units in cut]
-        for units in cut:
-            if len(units) == 1:
-                known.pop(units[0], None)  # whole texts are not worth remembering
+        whole = [_whole(t) for t in texts]
+        alone = iter(self._alone([t for t, w in zip(texts, whole) if w]))
+        cut = [
+            [] if w else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, w in zip(texts, whole)
+        ]
+        flat = [u for units in cut for u in units]
+        found = list(map(self.young.get, flat))
+        if None in found:
+            again = self._learn({u for u, v in zip(flat, found) if v is None})
+            found = [again[u] if v is None else v for u, v in zip(flat, found)]
+            if len(self.young) + len(again) > CACHE_UNITS:
+                self.old, self.young = self.young, {}
+            self.young.update(again)
+        out, at = [], 0
+        for units, w in zip(cut, whole):
+            out.append(next(alone) if w else b"".join(found[at : at + len(units)]))
+            at += len(units)
         return out
 
 
