@@ -5,7 +5,8 @@ normalised the text: look-alike letters and digits become ASCII, invisible chara
 become digits, ``[at]``/``(dot)`` and spaced `` at ``/`` dot `` become ``@`` and ``.``.  The transducer keeps, for
 every normalised character, the source range it came from, so an identifier found in normalised text is
 reported as a range of the source.  Only ranges that contain a rewritten character are added, and none
-that overlaps a plain identifier of its kind.
+that lies within a plain identifier of its kind; an added range may reach beyond a plain one that is a fragment
+of it, and masking covers both.
 
 Null and empty texts have no identifiers; a null id stays null; repeated rows give repeated results; other
 columns are ignored.  Offsets are code points, ends exclusive.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -166,8 +168,6 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
 
 def _to_source(pieces: list[tuple[int, int, int]], starts: list[int], begin: int, end: int) -> tuple[int, int, bool]:
     """Source range of a range of normalised text, and whether it contains a rewritten piece."""
-    from bisect import bisect_right
-
     i, j = bisect_right(starts, begin) - 1, bisect_right(starts, end - 1) - 1
     first, last = pieces[i], pieces[j]
     source_begin = first[1] + (begin - first[0] if first[2] > 0 else 0)
@@ -185,7 +185,9 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     found = []
     for kind, begin, end in plain(new):
         begin, end, rewritten = _to_source(pieces, starts, begin, end)
-        if rewritten and not any(s < end and begin < e for s, e in taken[kind]):
+        # plain ranges of a kind do not overlap: the last that starts no later is the only one that can hold it
+        k = bisect_right(taken[kind], (begin, len(text))) - 1
+        if rewritten and not (k >= 0 and end <= taken[kind][k][1]):
             found.append((kind, begin, end))
     return found
 

@@ -71,6 +71,24 @@ def test_disguised_identifiers_map_back_to_the_source(text, kind, found):
     assert pii.mask(text) == text.replace(found, f"<{kind}>")
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("to j\u0430ne@example.com now", "email", "j\u0430ne@example.com"),
+        ("to jane@example.c\u043em now", "email", "jane@example.c\u043em"),
+        ("to jane@mail.example dot com", "email", "jane@mail.example dot com"),
+        ("call +49 30 12345\uff16\uff17!", "phone", "+49 30 12345\uff16\uff17"),
+        ("call +49 30 123456 seven!", "phone", "+49 30 123456 seven"),
+        ("at 10.0.0.2\uff15 now", "ip", "10.0.0.2\uff15"),
+    ],
+)
+def test_disguised_identifiers_are_whole_where_a_fragment_is_plain(text, kind, found):
+    own, more = pii.spans_of(text)
+    assert own == [s for s in brute_pii(text)]
+    assert (kind, text.index(found), text.index(found) + len(found)) in more
+    assert pii.mask(text) == text.replace(found, f"<{kind}>")
+
+
 @pytest.mark.parametrize("text", ["we met at noon. dot your i", "one two three", "look at home dot", "café абв at 12.30"])
 def test_ordinary_text_is_left_alone(text):
     assert pii.spans_of(text) == ([], []) and pii.mask(text) == text
