@@ -2,7 +2,10 @@
 
 Plain identifiers are found in the source text.  Disguised ones are found after a transducer has
 normalised the text: look-alike letters and digits become ASCII, invisible characters vanish, spelled digits
-become digits, ``[at]``/``(dot)`` and spaced `` at ``/`` dot `` become ``@`` and ``.``.  The transducer keeps, for
+become digits, ``[at]``/``(dot)`` and spaced `` at ``/`` dot `` become ``@`` and ``.``.  Since " at " is an
+ordinary word, it counts only before a domain, and then only if the domain has a disguised dot ("jane at
+mail.example dot com"), or ends in a label of letters and the word before has a digit beside letters, an inner
+``. _ % +``, or a look-alike or disguised dot ("jane.doe at example.com", but not "look at example.com").  The transducer keeps, for
 every normalised character, the source range it came from, so an identifier found in normalised text is
 reported as a range of the source.  Only ranges that contain a rewritten character are added, and none
 that lies within a plain identifier of its kind; an added range may reach beyond a plain one that is a fragment
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -87,6 +91,7 @@ _DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight
 
 _ONE_DIGIT = f"(?:{'|'.join(_DIGITS)})"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+_LABELS = r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
 #: Where such characters live: Greek, Cyrillic, other digits, invisible, full-width, mathematical, circled.
 _RANGES = (
     "\u00a0\u00ad\u00b7\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2010-\u2013\u2024"
@@ -94,18 +99,21 @@ _RANGES = (
 )
 _REWRITE = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}\s{{0,3}}(?ai:at|@)\s{{0,3}}{_CLOSE}\s{{0,3}}"
-    rf"|(?<=[A-Za-z0-9])\s{{1,3}}(?:at|AT)\s{{1,3}}(?=[A-Za-z0-9-]+\s{{0,3}}(?:{_OPEN}\s{{0,3}}(?ai:dot|\.)|\s(?ai:dot)\s)))"
+    rf"|(?<=[A-Za-z0-9])\s{{1,3}}(?:at|AT)\s{{1,3}}(?={_LABELS}\s{{0,3}}(?:{_OPEN}\s{{0,3}}(?ai:dot|\.)|\s(?ai:dot)\s)))"
+    # the same before a plain domain: the word before decides
+    rf"|(?P<loose>(?<=[A-Za-z0-9])\s{{1,3}}(?:at|AT)\s{{1,3}}(?=(?:[A-Za-z0-9-]++\.)++(?<=\.)[A-Za-z]{{2,24}}(?![A-Za-z0-9-])))"
     rf"|(?P<dot>\s{{0,3}}{_OPEN}\s{{0,3}}(?ai:dot|\.)\s{{0,3}}{_CLOSE}\s{{0,3}}|(?<=[A-Za-z0-9])\s{{1,3}}(?ai:dot)\s{{1,3}}(?=[A-Za-z0-9]))"
     rf"|(?P<digit>(?ai:\b{_ONE_DIGIT}\b(?:[\s,-]{{1,3}}(?={_ONE_DIGIT}\b))?))"
     rf"|(?P<plus>(?ai:\bplus)\s{{1,3}}(?=(?ai:{_ONE_DIGIT}\b)|[0-9]))"
     rf"|(?P<glyph>[{_RANGES}])"
 )
-#: What a text must contain before it is worth rewriting.
-_GLYPH = re.compile(f"[{_RANGES}]")
-_SPELLED = re.compile(
-    rf"\b(?:{_ONE_DIGIT}|plus)[\s,-]{{1,3}}(?:[0-9]|{_ONE_DIGIT}\b)|[0-9][\s,-]{{1,3}}{_ONE_DIGIT}\b"
+#: Words and signs of which every match of ``_REWRITE`` has one, at most ``_AHEAD`` characters after its start.
+_SIGNS = re.compile(
+    rf"[{_RANGES}]|@(?=[\s\])}}>])|(?ai:at|dot)(?=[\s\])}}>])|(?ai:\b(?:plus(?=\s)|{_ONE_DIGIT}\b))|{_OPEN}\s{{0,3}}\."
 )
-_BRACKETED = re.compile(rf"{_OPEN}\s{{0,3}}(?ai:at|dot|@|\.)\s{{0,3}}{_CLOSE}")
+_AHEAD = 7
+#: A local part that is no ordinary word.
+_ODD = re.compile(r"[A-Za-z0-9][._%+]+[A-Za-z0-9]|[A-Za-z][0-9]|[0-9][A-Za-z]")
 
 
 @lru_cache(maxsize=4096)
@@ -122,13 +130,26 @@ def _ascii(c: str) -> str:
     return folded if folded.isascii() and len(folded) == 1 else c
 
 
-def _worth_rewriting(text: str) -> bool:
-    folded = text.lower()
-    if " dot " in folded or "dot" in folded and _BRACKETED.search(text):
+def _rewritings(text: str) -> Iterator[re.Match]:
+    """``_REWRITE.finditer(text)``, tried only where a sign is near."""
+    at = 0
+    while sign := _SIGNS.search(text, at):
+        for begin in range(max(at, sign.start() - _AHEAD), sign.start() + 1):
+            m = _REWRITE.match(text, begin)
+            if m:
+                yield m
+                break
+        at = m.end() if m else sign.start() + 1
+
+
+def _odd_local(text: str, free: int, end: int, before: str | None) -> bool:
+    """Whether the word that ends at ``end`` is no ordinary one; ``before`` is what a disguise before ``free`` became."""
+    begin = end
+    while begin > free and text[begin - 1] in _LOCAL:
+        begin -= 1
+    if begin == free and before is not None and (before in ("", ".") or before.isalpha()):
         return True
-    if ("at" in folded or "@" in folded) and _BRACKETED.search(text):
-        return True
-    return bool(_SPELLED.search(folded)) or not text.isascii() and bool(_GLYPH.search(text))
+    return bool(_ODD.search(text, begin, end))
 
 
 def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
@@ -137,10 +158,15 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
     Rewritten pieces stand for their whole source range; the pieces between keep their length.
     """
     out, pieces, done, size = [], [], 0, 0
-    for m in _REWRITE.finditer(text):
-        kind = m.lastgroup
+    new = None
+    for m in _rewritings(text):
+        kind, last = m.lastgroup, new
         if kind == "at":
             new = "@"
+        elif kind == "loose":
+            if not _odd_local(text, done, m.start(), last):
+                continue
+            new = "@"
         elif kind == "dot":
             new = "."
         elif kind == "plus":
@@ -151,6 +177,7 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
         else:
             new = _ascii(m[0])
             if new == m[0]:
+                new = last
                 continue
         if m.start() > done:
             pieces.append((size, done, m.start()))
@@ -177,9 +204,9 @@ def _to_source(pieces: list[tuple[int, int, int]], starts: list[int], begin: int
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Identifiers that only normalisation shows, as source ranges."""
-    if not _worth_rewriting(text):
-        return []
     new, pieces = normalise(text)
+    if not any(p[2] < 0 for p in pieces):
+        return []
     starts = [p[0] for p in pieces]
     taken = {kind: sorted((s, e) for k, s, e in known if k == kind) for kind in KINDS}
     found = []

@@ -89,6 +89,44 @@ def test_disguised_identifiers_are_whole_where_a_fragment_is_plain(text, kind, f
     assert pii.mask(text) == text.replace(found, f"<{kind}>")
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("jane\tat\texample\tdot\tcom", "email"),
+        ("jane@example\ndot\ncom", "email"),
+        ("one.nine.two.four", "ip"),
+        ("one.9.two.4", "ip"),
+        ("jane.doe at example.com", "email"),
+        ("jane99 at mail.example.com", "email"),
+        ("jane dot doe at example.com", "email"),
+        ("jane.d\u043ee at example.com", "email"),
+        ("j\u0430ne at example.com", "email"),
+        ("jane at mail.example dot com", "email"),
+        ("jane at mail.example (dot) com", "email"),
+    ],
+)
+def test_every_rewriting_opens_the_gate(text, kind):
+    assert pii.spans_of(text)[1] == [(kind, 0, len(text))]
+    assert pii.mask(f"; {text} ;") == f"; <{kind}> ;"
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(["at", "dot", "[", ")", "(", "]", ".", "@", "one", "Nine", "plus", "1", "jo", " ", "\t", "\u0430", "\u200b"]), max_size=12))
+def test_the_gate_is_no_narrower_than_the_rewriting(parts):
+    text = "".join(parts)
+    assert [m.span() for m in pii._rewritings(text)] == [m.span() for m in pii._REWRITE.finditer(text)]
+
+
+@pytest.mark.parametrize("text", ["look at example.com now", "sites\u2013look at example.com", "number one at example.com", "up-to-date at example.com", "open 24 at example.com"])
+def test_a_spaced_at_after_an_ordinary_word_stays(text):
+    assert pii.spans_of(text) == ([], []) and pii.mask(text) == text
+
+
+def test_spaced_at_takes_linear_time():
+    for text in ("a at " * 50_000, "a at " + "a." * 100_000, "a.b at c.d " * 20_000, "a.b at " + "x" * 200_000, "one." * 50_000):
+        pii.spans_of(text)
+
+
 @pytest.mark.parametrize("text", ["we met at noon. dot your i", "one two three", "look at home dot", "café абв at 12.30"])
 def test_ordinary_text_is_left_alone(text):
     assert pii.spans_of(text) == ([], []) and pii.mask(text) == text
