@@ -13,9 +13,10 @@ earlier in the same document.
   ``length`` bytes are equal windows; all but the earliest are repeated.
 * An anchor with more classes than fit a block is taken apart into windows, which meet by content hash.
 
-A null text is empty.  Null ids come before all others.  Rows that share an id are one document given several
-times: none is earlier than the other, and if their texts differ, a span found in one is removed from all as
-far as they reach.  Texts shorter than ``length`` stay whole.  Other columns are ignored.
+A null text is empty.  Null ids come before all others.  Rows of equal id and text are one document given several
+times: none is earlier than the other.  Different texts under one id, or under none, are documents of their own,
+in the order of a hash of the text, and a span is only removed from the text it was found in.  Texts shorter than
+``length`` stay whole.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,21 +150,33 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"id": doc[first], "start": start[first], "n": start[last] - start[first] + 1}) if len(doc) else None
 
 
+def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(doc_id, text, id, tie)``: ``id`` and ``tie`` name a text; ``tie`` is 0 where the id has no other text."""
+    body = texts(docs, key, text, binary=True).withColumn("_h", F.xxhash64("text"))
+    several = body.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b"))
+    # written before it is joined: mostly empty, so that the texts need not move
+    several = cut(several.filter(F.col("_a") != F.col("_b")).select("doc_id", F.lit(True).alias("_several")))
+    body = body.join(several, "doc_id", "left")
+    tie = F.when(F.col("doc_id").isNull() | F.col("_several"), F.col("_h")).otherwise(F.lit(0)).cast("long")
+    return body.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), tie.alias("tie"))
+
+
 def _first_bytes(firsts: DataFrame, body: DataFrame, length: int) -> DataFrame:
-    """``(hash, id, start, n, bytes)`` of the segments ``(hash, id, start, n)``."""
-    lists = firsts.groupBy("id").agg(F.collect_list(F.struct("hash", "start", "n")).alias("parts"))
+    """``(hash, id, start, n, bytes)`` of the segments ``(hash, id, tie, start, n)``, with ``tie``."""
+    lists = firsts.groupBy("id", "tie").agg(F.collect_list(F.struct("hash", "start", "n")).alias("parts"))
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for doc, text, parts in zip(pdf["id"], pdf["text"], pdf["parts"]):
+            for doc, tie, text, parts in zip(pdf["id"], pdf["tie"], pdf["text"], pdf["parts"]):
                 for p in parts:
                     part = text[p["start"] : p["start"] + p["n"] + length - 1]
                     if len(part) == p["n"] + length - 1:
-                        rows.append((p["hash"], doc, p["start"], p["n"], part))
-            yield pd.DataFrame(rows, columns=["hash", "id", "start", "n", "bytes"])
+                        rows.append((p["hash"], doc, tie, p["start"], p["n"], part))
+            yield pd.DataFrame(rows, columns=["hash", "id", "tie", "start", "n", "bytes"])
 
-    return body.join(lists, "id").mapInPandas(run, "hash long, id long, start long, n long, bytes binary")
+    body = body.select("id", "tie", "text")
+    return body.join(lists, ["id", "tie"]).mapInPandas(run, "hash long, id long, tie long, start long, n long, bytes binary")
 
 
 def _compare(rows: DataFrame, length: int) -> DataFrame:
@@ -184,12 +197,16 @@ def _compare(rows: DataFrame, length: int) -> DataFrame:
 
     def done(pdf):
         if len(pdf):
-            args = (pdf[c].to_numpy(np.int64) for c in ("id", "start", "n"))
-            found = _runs(*repeated_windows(*args, list(pdf["bytes"]), length))
+            # the documents of the block by their rank in the order of id and tie
+            names = pdf[["id", "tie"]].drop_duplicates().sort_values(["id", "tie"])
+            rank = pd.MultiIndex.from_frame(names).get_indexer(pd.MultiIndex.from_frame(pdf[["id", "tie"]]))
+            args = (pdf[c].to_numpy(np.int64) for c in ("start", "n"))
+            found = _runs(*repeated_windows(rank, *args, list(pdf["bytes"]), length))
             if found is not None:
-                yield found
+                at = found["id"].to_numpy()
+                yield found.assign(id=names["id"].to_numpy()[at], tie=names["tie"].to_numpy()[at])
 
-    return rows.repartition("hash").sortWithinPartitions("hash").mapInPandas(run, "id long, start long, n long")
+    return rows.repartition("hash").sortWithinPartitions("hash").mapInPandas(run, "id long, tie long, start long, n long")
 
 
 def _by_content(rows: DataFrame, length: int) -> DataFrame:
@@ -208,40 +225,42 @@ def _by_content(rows: DataFrame, length: int) -> DataFrame:
                     "c1": h.view(np.int64),
                     "c2": pdf["hash"].to_numpy(np.int64)[row],
                     "id": pdf["id"].to_numpy(np.int64)[row],
+                    "tie": pdf["tie"].to_numpy(np.int64)[row],
                     "start": pdf["start"].to_numpy(np.int64)[row] + offset,
                 }
             )
 
-    windows = rows.mapInPandas(run, "c1 long, c2 long, id long, start long")
-    first = windows.groupBy("c1", "c2").agg(F.min(F.struct("id", "start")).alias("_first"))
-    later = windows.join(first, ["c1", "c2"]).filter(F.struct("id", "start") > F.col("_first"))
-    return later.select("id", "start", F.lit(1).cast("long").alias("n"))
+    windows = rows.mapInPandas(run, "c1 long, c2 long, id long, tie long, start long")
+    first = windows.groupBy("c1", "c2").agg(F.min(F.struct("id", "tie", "start")).alias("_first"))
+    later = windows.join(first, ["c1", "c2"]).filter(F.struct("id", "tie", "start") > F.col("_first"))
+    return later.select("id", "tie", "start", F.lit(1).cast("long").alias("n"))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, most_classes: int = MOST_CLASSES) -> DataFrame:
-    """Runs ``(id, start, n)`` of repeated windows: bytes ``start`` to ``start + n + length - 1`` are to go."""
-    body = texts(docs, key, text, binary=True)
-    body = body.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    """Runs ``(id, tie, start, n)`` of repeated windows: bytes ``start`` to ``start + n + length - 1`` are to go."""
+    body = _documents(docs, key, text)
 
     def run(batches):
         for pdf in blocks(batches):
             doc, start, n, h, content = segments(list(pdf["text"]), length)
-            ids = pdf["id"].to_numpy(np.int64)[doc]
-            yield pd.DataFrame({"hash": h, "content": content, "id": ids, "place": start * _N + n})
+            ids, ties = (pdf[c].to_numpy(np.int64)[doc] for c in ("id", "tie"))
+            yield pd.DataFrame({"hash": h, "content": content, "id": ids, "tie": ties, "place": start * _N + n})
 
-    found = body.filter(F.length("text") >= length).mapInPandas(run, "hash long, content long, id long, place long")
+    long_enough = body.filter(F.length("text") >= length).select("id", "tie", "text")
+    found = long_enough.mapInPandas(run, "hash long, content long, id long, tie long, place long")
     # written before it is joined, so that both sides come straight from a shuffle and a hot anchor can be split
     often = cut(found.groupBy("hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).drop("_n"))
     met = cut(found.join(often, "hash"))
     same = ["hash", "content"]
     # the number of windows is part of the content: equal content has equal length
-    classes = cut(met.groupBy(*same).agg(F.min(F.struct("id", "place")).alias("_first")))
-    copies = met.join(classes, same).filter(F.struct("id", "place") > F.col("_first"))
-    copies = copies.select("id", F.floor(F.col("place") / _N).alias("start"), (F.col("place") % _N).alias("n"))
+    classes = cut(met.groupBy(*same).agg(F.min(F.struct("id", "tie", "place")).alias("_first")))
+    copies = met.join(classes, same).filter(F.struct("id", "tie", "place") > F.col("_first"))
+    copies = copies.select("id", "tie", F.floor(F.col("place") / _N).alias("start"), (F.col("place") % _N).alias("n"))
     per_anchor = cut(classes.groupBy("hash").agg(F.count("*").alias("classes")).filter(F.col("classes") > 1))
     firsts = classes.join(per_anchor, "hash").select(
         "hash",
         F.col("_first.id").alias("id"),
+        F.col("_first.tie").alias("tie"),
         F.floor(F.col("_first.place") / _N).alias("start"),
         (F.col("_first.place") % _N).alias("n"),
     )
@@ -279,8 +298,8 @@ def _remaining(text: bytes, parts, length: int) -> tuple[int, int, bytes]:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes) of every row."""
     spans = repeated_spans(docs, key, text, length)
-    lists = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
-    body = texts(docs, key, text, binary=True).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    lists = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+    body = _documents(docs, key, text)
 
     def run(batches):
         for pdf in batches:
@@ -297,4 +316,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return body.join(lists, "id", "left").select("doc_id", "text", "parts").mapInPandas(run, schema)
+    return body.join(lists, ["id", "tie"], "left").select("doc_id", "text", "parts").mapInPandas(run, schema)

@@ -178,6 +178,29 @@ def test_suffix_dedup_equals_brute_force(docs, rows, length, classes, monkeypatc
             assert hashlib.sha256(g.kept).hexdigest() == g.kept_sha256
 
 
+@pytest.mark.parametrize("classes", [4096, 1])
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_spans_go_only_from_the_text_they_were_found_in(spark, monkeypatch, doc_id, classes):
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared, copy = word(150), word(400)
+    texts = [word(10) + shared + word(200), word(170) + shared + word(90), word(500), word(600), copy, copy]
+    spans = suffix_dedup.repeated_spans
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda *a, **k: spans(*a, most_classes=classes))
+    df = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in suffix_dedup.remove_repeats(df).collect()]
+    assert all(g[0] == doc_id for g in got) and len(got) == len(texts)
+    left = [g[3] for g in got]
+    for whole in texts[2:]:  # clean texts, and equal rows, lose nothing
+        assert whole in left
+    assert left.count(copy) == 2
+    removed = sorted(g[2] for g in got)
+    assert removed[:-1] == [0] * 5 and removed[-1] == 150
+    assert sum(shared in t for t in left) == 1
+
+
 def test_suffix_dedup_of_an_empty_table(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).collect() == []
 
