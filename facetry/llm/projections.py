@@ -1,11 +1,17 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Only vectors with equal labels and lengths are compared.  Each pass gives a vector a code of random-hyperplane
-signs, sorts all vectors by label and code over the cluster, and compares every vector with the next
-``window`` ones; hyperplanes differ from pass to pass.  Of the verified pairs a pass reports only those that
-unite what was not yet united, so a dense group yields about one link per vector and pass.  The links of all
+signs and sorts all vectors by label and code prefix over the cluster; those with equal prefixes form a bucket, and
+hyperplanes differ from pass to pass.  All vectors of a bucket are compared, however many they are: buckets are cut
+into tiles of ``window`` rows, which meet pairwise.  Of the links a pair of tiles shows only those are reported that
+unite what it had not yet united, so a dense group yields about one link per vector and tile.  The links of all
 passes are united to components.
 
+A hyperplane through the origin parts two vectors at the threshold with probability acos(``cosine``) / pi, whatever
+other vectors there are.  So prefixes of b bits need a number of passes that follows from b alone for a link to be
+missed by all of them with probability ``MISS`` at most.  Each label takes the b of least cost, by the sizes its
+buckets have in the first pass; where codes crowd so much that no prefix pays, b is 0 and all pairs are compared once.
+
 Every link lies inside a component.  The number of links of each vector is then counted exactly: components
 are cut into tiles of bounded size, tiles meet pairwise as blocked matrix products, and only sums per vector
 leave a task.  Equal vectors are one class with a count, so copies cost nothing.
@@ -26,9 +32,16 @@ from facetry.operators.hops import components
 from facetry.session import cut
 
 COSINE = 0.98
-PASSES = 12
-WINDOW = 64
+#: Probability that all passes miss a link at the threshold.
+MISS = 1e-4
+WINDOW = 8192
+#: Numbers in one side of a pair of tiles, where vectors are long.
+SIDE = 1 << 22
 BITS = 62
+#: Lengths of prefixes to choose from.
+PREFIXES = (0, 4, 6, 8, 10, 12, 14, 16, 18, 20, 24, 28)
+#: What a pass costs for each vector, in comparisons.
+ROW_COST = 2000
 TILE = 512
 
 
@@ -46,38 +59,66 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _codes(vectors: DataFrame, passes: int) -> DataFrame:
-    """One row per vector and pass with its code: the first hyperplane is the highest bit."""
+def passes_needed(bits: int, cosine: float, miss: float = MISS) -> int:
+    """Passes after which a link at the threshold was in no common bucket with probability ``miss`` at most."""
+    together = (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** bits
+    return 1 if together >= 1 - miss else int(np.ceil(np.log(miss) / np.log1p(-together)))
+
+
+def _plan(classes: DataFrame, cosine: float) -> DataFrame:
+    """``(label, dim, bits, passes)``: the prefixes of least cost."""
 
     def run(batches):
         for pdf in batches:
             for d, part in pdf.groupby("dim"):
+                bits = _unit(_matrix(part["v"])) @ _planes(int(d), 0) > 0
+                code = bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1))
+                yield pd.DataFrame({"label": part["label"], "dim": d, "code": code})
+
+    choice = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.lit(passes_needed(b, cosine)).alias("passes"), F.lit(2.0 ** (BITS - b)).alias("_width")) for b in PREFIXES]))
+    rows = classes.select("label", "dim", "v").mapInPandas(run, "label long, dim int, code long").select("*", choice.alias("c"))
+    rows = rows.select("label", "dim", "c.bits", "c.passes", F.floor(F.col("code") / F.col("c._width")).alias("_bucket"))
+    sizes = rows.groupBy("label", "dim", "bits", "passes", "_bucket").agg(F.count("*").cast("double").alias("_n"))
+    costs = sizes.groupBy("label", "dim", "bits", "passes").agg(F.sum(F.col("_n") * (F.col("_n") + ROW_COST)).alias("_s"))
+    best = costs.groupBy("label", "dim").agg(F.min(F.struct(F.col("passes") * F.col("_s"), "bits", "passes")).alias("_best"))
+    return best.select("label", "dim", "_best.bits", "_best.passes")
+
+
+_BUCKET = ["pass", "label", "dim", "bucket"]
+
+
+def _codes(vectors: DataFrame, whole: bool) -> DataFrame:
+    """One row per vector and pass with its bucket, and with node and vector if ``whole``."""
+
+    def run(batches):
+        for pdf in batches:
+            for (d, b, passes), part in pdf.groupby(["dim", "bits", "passes"]):
                 x = _unit(_matrix(part["v"]))
                 for p in range(passes):
-                    bits = x @ _planes(int(d), p) > 0
-                    code = bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1))
-                    yield pd.DataFrame({"pass": p, "label": part["label"], "dim": d, "code": code, "node": part["node"], "v": part["v"]})
-
-    return vectors.select("label", "dim", "node", "v").mapInPandas(
-        run, "pass int, label long, dim int, code long, node long, v array<double>"
-    )
+                    bits = x @ _planes(int(d), p)[:, :b] > 0
+                    bucket = bits @ (np.int64(1) << np.arange(b - 1, -1, -1, dtype=np.int64)) if b else np.zeros(len(x), np.int64)
+                    out = pd.DataFrame({"pass": p, "label": part["label"].to_numpy(), "dim": d, "bucket": bucket})
+                    yield out.assign(node=part["node"].to_numpy(), v=part["v"].to_numpy()) if whole else out
 
+    schema = "pass int, label long, dim int, bucket long"
+    vectors = vectors.select("label", "dim", "bits", "passes", "node", "v")
+    return vectors.mapInPandas(run, f"{schema}, node long, v array<double>" if whole else schema)
 
-def _forest(x: np.ndarray, ids: np.ndarray, window: int, cosine: float, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that unite rows of sorted ``x``: each row against the ``window`` rows before it.
 
-    Rows before ``fresh`` were compared with each other already.
-    """
+def _forest(x: np.ndarray, ids: np.ndarray, first: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that unite rows of ``x``: those from ``first`` on against those before it; at 0, each against all before."""
     n = len(x)
     root = np.arange(n)
     left, right = [], []
-    for at in range(max(0, fresh), n, window):
-        low, high = max(0, at - window), min(n, at + window)
-        close = x[at:high] @ x[low:high].T >= cosine
+    step = max(16, (1 << 21) // max(1, n))
+    for at in range(first, n, step):
+        high = min(n, at + step)
+        end = first or high
+        close = x[at:high] @ x[:end].T >= cosine
+        close &= root[at:high, None] != root[None, :end]
         a, b = np.nonzero(close)
-        a, b = a + at, b + low
-        near = (b < a) & (a - b <= window)
-        a, b = a[near], b[near]
+        a = a + at
+        a, b = a[b < a], b[b < a]
         while len(a):
             ra, rb = root[a], root[b]
             apart = ra != rb
@@ -86,10 +127,10 @@ def _forest(x: np.ndarray, ids: np.ndarray, window: int, cosine: float, fresh: i
                 break
             # one link per root to be hung up, so that no cycle is reported
             high_root, low_root = np.maximum(ra, rb), np.minimum(ra, rb)
-            _, first = np.unique(high_root, return_index=True)
-            left.append(ids[a[first]])
-            right.append(ids[b[first]])
-            root[high_root[first]] = low_root[first]
+            _, once = np.unique(high_root, return_index=True)
+            left.append(ids[a[once]])
+            right.append(ids[b[once]])
+            root[high_root[once]] = low_root[once]
             while True:
                 up = root[root]
                 if (up == root).all():
@@ -99,29 +140,37 @@ def _forest(x: np.ndarray, ids: np.ndarray, window: int, cosine: float, fresh: i
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _pass_links(codes: DataFrame, window: int, cosine: float) -> DataFrame:
+def _pass_links(planned: DataFrame, window: int, cosine: float) -> DataFrame:
+    """Links that unite the vectors ``(label, dim, bits, passes, node, v)`` of each bucket."""
+    keys = [*_BUCKET, "ti", "tj"]
+
+    def block(parts):
+        g = pd.concat(parts)
+        own = (g["tile"] == g["ti"]).to_numpy()
+        g = g.iloc[np.argsort(~own, kind="stable")]
+        first = int(own.sum()) if g["ti"].iloc[0] != g["tj"].iloc[0] else 0
+        i, j = _forest(_unit(_matrix(g["v"])), g["node"].to_numpy(np.int64), first, cosine)
+        return pd.DataFrame({"i": i, "j": j})
+
     def run(batches):
-        tail = None
+        held, name = [], None
         for pdf in batches:
-            if not len(pdf):
-                continue
-            old = 0 if tail is None else len(tail)
-            pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-            change = np.zeros(len(pdf), bool)
-            for c in ("pass", "label", "dim"):
-                v = pdf[c].to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            edges = [0, *np.flatnonzero(change), len(pdf)]
-            for s, e in zip(edges[:-1], edges[1:]):
-                if e > old:
-                    part = pdf.iloc[s:e]
-                    i, j = _forest(_unit(_matrix(part["v"])), part["node"].to_numpy(np.int64), window, cosine, max(0, old - s))
-                    if len(i):
-                        yield pd.DataFrame({"i": i, "j": j})
-            tail = pdf.iloc[max(edges[-2], len(pdf) - window) :]
-
-    order = ["pass", "label", "dim", "code", "node"]
-    dealt = codes.repartitionByRange(*order).sortWithinPartitions(*order)
+            for key, g in pdf.groupby(keys, sort=False):
+                if key != name and held:
+                    yield block(held)
+                    held = []
+                name = key
+                held.append(g)
+        if held:
+            yield block(held)
+
+    # written before it is joined, so that both sides come straight from a shuffle and a large bucket can be split
+    sizes = _codes(planned, whole=False).groupBy(*_BUCKET).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    sizes = cut(sizes.withColumn("_tiles", F.ceil(F.col("_n") / F.greatest(F.lit(1), F.least(F.lit(window), F.floor(SIDE / F.col("dim")))))).drop("_n"))
+    rows = _codes(planned, whole=True).join(sizes, _BUCKET).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("_tiles")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
+    rows = rows.select(*_BUCKET, "node", "v", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(run, "i long, j long").distinct()
 
 
@@ -170,7 +219,6 @@ def near_vectors(
     vector: str = "embedding",
     label: str = "label",
     cosine: float = COSINE,
-    passes: int = PASSES,
     window: int = WINDOW,
     tile: int = TILE,
 ) -> DataFrame:
@@ -195,7 +243,8 @@ def near_vectors(
     # of several vectors under one id one takes part
     one = classes.groupBy("node").agg(F.min(F.struct("label", "dim", "v", "copies")).alias("_one"))
     classes = cut(one.select("node", "_one.*"))
-    links = cut(_pass_links(_codes(classes, passes), window, cosine))
+    planned = cut(classes.join(cut(_plan(classes, cosine)), ["label", "dim"]))
+    links = cut(_pass_links(planned, window, cosine))
     nodes = links.select(F.col("i").alias("node")).unionByName(links.select(F.col("j").alias("node"))).distinct()
     found = cut(components(links, nodes).select("node", "root"))
     counted = cut(_count_links(classes.join(found, "node").select("root", "node", "copies", "v"), cosine, tile))

@@ -249,6 +249,37 @@ def test_vector_groups_equal_brute_force(spark):
             assert (g.n_links, g.component_id, g.kept) == (count[g.vec_id], want[g.vec_id], want[g.vec_id] == g.vec_id)
 
 
+@pytest.mark.parametrize("common, row_cost", [(0.95, None), (0.0, 0)])
+def test_links_of_a_crowded_label_are_found(spark, monkeypatch, common, row_cost):
+    if row_cost is not None:  # then prefixes pay even here
+        monkeypatch.setattr(projections, "ROW_COST", row_cost)
+    rng = np.random.default_rng(3)
+    n, planted, d = 4000, 150, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = rng.standard_normal((n, d))
+    x[:, 0] = 0
+    x = unit(x) * np.sqrt(1 - common)
+    x[:, 0] = np.sqrt(common)
+    side = rng.standard_normal((planted, d))
+    side = unit(side - (side * x[:planted]).sum(1, keepdims=True) * x[:planted])
+    x = np.r_[x, 0.982 * x[:planted] + np.sqrt(1 - 0.982**2) * side]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in projections.near_vectors(df).collect()}
+    close = x @ x.T >= 0.98
+    np.fill_diagonal(close, False)
+    assert close.sum() >= 2 * planted
+    assert [got[i].n_links for i in range(len(x))] == close.sum(1).tolist()
+    want = united(range(len(x)), zip(*np.nonzero(close)))
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
+def test_passes_follow_the_prefix():
+    angle = np.arccos(0.98) / np.pi
+    assert projections.passes_needed(0, 0.98) == 1
+    for bits in projections.PREFIXES[1:]:
+        assert (1 - (1 - angle) ** bits) ** projections.passes_needed(bits, 0.98) <= projections.MISS
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert projections.near_vectors(df).collect() == []
