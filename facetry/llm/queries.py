@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import hard_negatives, knn_quality, minhash, mixing, packing, pii, projections, rule_forest, secrets, suffix_dedup, token_files
+from facetry.llm import hard_negatives, knn_quality, minhash, mixing, packing, pii, projections, rule_forest, secrets, suffix_dedup, token_files, turn_repair
 from facetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, label=label)
+
+
+@query
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.repair(table(spark, folder, "conversations"))
