@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import hard_negatives, knn_quality, minhash, mixing, packing, pii, projections, rule_forest, secrets, suffix_dedup, token_files, turn_repair
+from facetry.llm import hard_negatives, knn_quality, minhash, mixing, packing, pii, projections, rule_forest, secrets, suffix_dedup, token_files, toxicity, turn_repair
 from facetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turn_repair.repair(table(spark, folder, "conversations"))
+
+
+@query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
