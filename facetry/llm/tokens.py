@@ -1,7 +1,7 @@
 """Token ids of whole texts, unit by unit.
 
 A text whose only white space is single spaces and newlines is cut before every space and around every
-newline, and a final comma or full stop is cut off a letter.  Both vocabularies used here split texts at such
+newline, and a final comma or full stop is cut off a letter (if the tokenizer cuts there after that letter).  Both vocabularies used here split texts at such
 places anyway, so the ids of the units, joined, are the ids of the whole text; a unit that was met before is
 looked up.  Any other text is encoded whole.
 """
@@ -73,6 +73,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.ends: dict[str, bool] = {}
         self.marks = {m: self._alone([m])[0] for m in ",."}
         # single words can go to the merge rules directly, in the spelling this vocabulary uses for them
         self.model, probes = self.tokenizer.model, [" Hello", "\u00dcber", " stra\u00dfe", " x", "Q"]
@@ -86,6 +87,13 @@ class Encoder:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in done]
 
+    def _ends_word(self, letter: str) -> bool:
+        """Whether a mark after this letter is a piece of its own; not where normalisation leaves a combining mark last."""
+        if letter not in self.ends:
+            pairs = self._alone([letter, *[letter + m for m in self.marks]]) if letter.isalpha() else []
+            self.ends[letter] = bool(pairs) and all(b == pairs[0] + self.marks[m] for m, b in zip(self.marks, pairs[1:]))
+        return self.ends[letter]
+
     def _together(self, units: list[str]) -> list[bytes]:
         """Ids of units that begin with a space, or before which a newline is put, encoded as one text."""
         out = []
@@ -107,7 +115,7 @@ class Encoder:
             known = self.old.get(u)
             if known is not None:
                 again[u] = known
-            elif u[-1:] in (",", ".") and u[-2:-1].isalpha():
+            elif u[-1:] in (",", ".") and self._ends_word(u[-2:-1]):
                 tailed.append(u)
                 base = u[:-1]
                 known = self.young.get(base) or self.old.get(base)

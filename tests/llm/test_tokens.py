@@ -32,6 +32,16 @@ def test_units_give_the_ids_of_whole_texts(name):
     check()
 
 
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_marks_after_every_letter(name):
+    encode = tokens.encoder(tokens.tokenizer_path(name)).encode_all
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    for mark in ".,":
+        for k in range(0, len(letters), 20_000):
+            texts = [f"{c}{mark}" for c in letters[k : k + 20_000]]
+            assert encode(texts) == [x.tobytes() for x in whole(name, texts)]
+
+
 def test_forgetting_units_changes_nothing(monkeypatch, rows):
     monkeypatch.setattr(tokens, "CACHE_UNITS", 50)
     e = tokens.Encoder(tokens.tokenizer_path(VOCABULARIES[0]))
