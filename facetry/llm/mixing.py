@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from facetry.session import cut
 
 #: Target weights of the default mixture; names that are absent weigh 1.
-DOMAIN_WEIGHTS = {"crawl": 0.35, "part0": 0.2, "part1": 0.2, "part2": 0.15, "part3": 0.1, "unknown": 0.0}
+DOMAIN_WEIGHTS = {"crawl": 0.35, "part0": 0.2, "part1": 0.2, "part2": 0.15, "part3": 0.1, "unknown": 0.1}
 LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15, "unknown": 0.05}
 SOURCE_WEIGHTS: dict[str, float] = {}
 MAX_EPOCHS = 4
@@ -37,12 +37,12 @@ LEVELS = ("domain", "lang", "source")
 
 
 def domain_of(source: Column) -> Column:
-    """The large crawl ``src0`` is a domain of its own; the other sources are dealt to four by number."""
+    """The large crawl ``src0`` is a domain of its own; the other sources are dealt to four by number; a name without number is its own."""
     number = F.regexp_extract(source, "([0-9]+)", 1)
     return (
         F.when(source == "src0", F.lit("crawl"))
         .when(number != "", F.concat(F.lit("part"), (number.cast("long") % 4).cast("string")))
-        .otherwise(F.lit("unknown"))
+        .otherwise(source)
     )
 
 
@@ -242,7 +242,7 @@ WITH named AS (
   FROM documents),
 docs AS (
   SELECT *, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_extract(source, '([0-9]+)', 1) <> ''
-    THEN 'part' || CAST(CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) % 4 AS VARCHAR) ELSE 'unknown' END AS domain
+    THEN 'part' || CAST(CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) % 4 AS VARCHAR) ELSE source END AS domain
   FROM named),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM docs GROUP BY domain, lang, source),
 {_level_sql(0, DOMAIN_WEIGHTS)},

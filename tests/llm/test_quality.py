@@ -103,10 +103,17 @@ def test_mixture_equals_sql(spark):
 def leaf(r):
     source = "unknown" if r[3] is None else r[3]
     number = re.search("[0-9]+", source)
-    domain = "crawl" if source == "src0" else f"part{int(number[0]) % 4}" if number else "unknown"
+    domain = "crawl" if source == "src0" else f"part{int(number[0]) % 4}" if number else source
     return domain, r[2] or "unknown", source
 
 
+def test_no_source_is_dropped_for_its_name(spark):
+    rows = [(1, "one two", "en", "wiki"), (2, "three four", "en", "news"), (3, "five " * 90, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = {r["doc_id"] for r in mixing.mixed(docs).collect()}
+    assert taken == {1, 2, 3}
+
+
 def water(budget, limit, weight):
     """Shares by repeated filling: children at their limit drop out, the rest is dealt again."""
     share, left = dict.fromkeys(limit, 0.0), {c for c in limit if weight[c] > 0 and limit[c] > 0}
