@@ -303,6 +303,11 @@ def near_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, miss: float = MISS
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; links need ``100 * common >= percent * union``."""
+    return _grouped_texts(docs, key, text, size, percent, miss).drop("tid")
+
+
+def _grouped_texts(docs: DataFrame, key: str, text: str, size: int, percent: int, miss: float) -> DataFrame:
+    """The rows of :func:`near_groups` with the hash of their text, ``tid``."""
     small_batches(docs.sparkSession)
     m = collections_needed(percent, miss)
     sketches = cut(_sketches(docs, key, text, size, m))
@@ -365,18 +370,22 @@ def near_groups(
     found = found.withColumnRenamed("node", "rep").join(reps.select("rep", "tid"), "rep")
     named = classes.drop("sig").join(found, ["rep", "tid"], "left")
     named = named.select(*of_class, F.coalesce("root", "rep").alias("_root"))
-    out = sketches.drop("sig", "tid").join(named, of_class, "left")
+    out = sketches.drop("sig").join(named, of_class, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("_root", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+        "doc_id", "tid", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 
 def one_of_each_group(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, miss: float = MISS
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is the lowest of its group, with all columns; rows without an id stay."""
-    groups = near_groups(docs, key, text, size, percent, miss)
-    gone = cut(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stay of their groups, with all columns; rows without an id stay.
+
+    A row goes by its id and the hash of its text: of several texts under one id only those that have to go do.
+    """
+    groups = _grouped_texts(docs, key, text, size, percent, miss)
+    gone = cut(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("tid").alias("_tid")).distinct())
+    body = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary"))
+    return docs.join(gone, (docs[key].cast("long") == gone["_gone"]) & (body == gone["_tid"]), "left_anti")

@@ -120,6 +120,12 @@ def test_one_of_each_group_and_empty_table(docs, no_docs, spark):
     assert all(r.kept and r.component_id == r.doc_id for r in minhash.near_groups(alone).collect())
 
 
+def test_only_the_text_that_has_to_go_goes(spark):
+    a, b = "one two three four five six seven", "some other words that are not alike at all"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
+    assert {tuple(r) for r in minhash.one_of_each_group(df).collect()} == {(1, a), (2, b)}
+
+
 def test_one_id_with_several_texts_does_not_crash(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (2, "a b c d e f")], "doc_id long, text string")
     assert minhash.near_groups(df, size=3, percent=85).count() == 4
