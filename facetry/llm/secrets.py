@@ -55,7 +55,7 @@ ISSUERS = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_live_[0-9a-zA-Z]{24,255}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("pem", r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----"),
 )
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -179,6 +180,15 @@ def test_every_match_satisfies_the_trigram_query(rule):
     check()
 
 
+@pytest.mark.parametrize("piece", ["eyJ", "eyJaaaaaaaaaaa.", "eyJ-", "ghp_", "password", "AKIA", "-----BEGIN "])
+def test_secret_rules_take_linear_time_on_hostile_texts(piece):
+    text = piece * (1_000_000 // len(piece))
+    begin = time.monotonic()
+    for rule in (*secrets.BASE, *secrets.ISSUERS):
+        sum(1 for _ in re.finditer(rule.pattern, text))
+    assert time.monotonic() - begin < 15
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q("abcd") == ("and", ("tri", "abc"), ("tri", "bcd"))
