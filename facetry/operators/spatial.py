@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.functions.scalar import EPSILON, log_rescale, sgn
+from facetry.functions.scalar import log_rescale, sgn
 from facetry.functions.vectors import cross3, dot3, sub3, vec3
 from facetry.operators import mesh
+from facetry.operators.cells import PER_CELL, ray_hits
 from facetry.operators.neighbours import knn
 from facetry.operators.ordered import at_position, cumulate
 from facetry.operators.stats import (
@@ -22,7 +23,6 @@ from facetry.operators.stats import (
     weighted_mean,
     winsorise_signed,
 )
-from facetry.operators.tiles import TILE_ROWS, tile_product
 from facetry.session import cut
 
 M = "mesh_id"
@@ -99,43 +99,14 @@ def point_normals(points: DataFrame, key: str, vector: str, k: int = 12) -> Data
 # ------------------------------------------------------------------ rays
 
 
-def ray_distances(rays: DataFrame, triangles: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def ray_distances(rays: DataFrame, triangles: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
     """Distance from every ray to the first triangle it meets: ``(mesh_id, ray, d)``; no row without a hit.
 
     ``rays(mesh_id, ray, skip, ox.., lx..)`` with unit directions; the face ``skip`` is ignored.
-    ``triangles(mesh_id, face, ax .. cz)``.  Tiles of rays meet tiles of triangles, and one minimum
-    per (ray, tile) leaves a task.
+    ``triangles(mesh_id, face, ax .. cz)``.  Rays walk a grid of cells and meet only the triangles listed there.
     """
     tri = triangles.select(M, "face", *[f"{p}{c}" for p in "abc" for c in "xyz"])
-
-    def kernel(r: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(r) or not len(t):
-            return pd.DataFrame({M: [], "ray": [], "d": []})
-        a, b, c = (t[[f"{p}x", f"{p}y", f"{p}z"]].to_numpy() for p in "abc")
-        e1, e2, faces = b - a, c - a, t["face"].to_numpy()
-        o, line, skip = r[["ox", "oy", "oz"]].to_numpy(), r[["lx", "ly", "lz"]].to_numpy(), r["skip"].to_numpy()
-        # o + d*line = a + u*e1 + v*e2; every triple product splits into (ray part) . (triangle part)
-        normal = np.cross(e1, e2)
-        plane, turn_u, turn_v = (a * normal).sum(1), np.cross(e2, a), np.cross(a, e1)
-        best = np.full(len(r), np.inf)
-        for k in range(0, len(r), 256):
-            z = slice(k, k + 256)
-            moment = np.cross(o[z], line[z])
-            det = -line[z] @ normal.T
-            ok = (np.abs(det) >= EPSILON) & (faces[None, :] != skip[z, None])
-            inv = 1.0 / np.where(ok, det, 1.0)
-            u = inv * (moment @ e2.T - line[z] @ turn_u.T)
-            v = inv * (-moment @ e1.T - line[z] @ turn_v.T)
-            d = inv * (o[z] @ normal.T - plane)
-            ok &= (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (d > 0)
-            best[z] = np.where(ok, d, np.inf).min(1)
-        hit = np.isfinite(best)
-        return pd.DataFrame({M: r[M].to_numpy()[hit], "ray": r["ray"].to_numpy()[hit], "d": best[hit]})
-
-    kind = dict(rays.dtypes)
-    schema = f"{M} {kind[M]}, ray {kind['ray']}, d double"
-    parts = tile_product(rays, tri, [M], "ray", "face", kernel, schema, tile_rows)
-    return parts.groupBy(M, "ray").agg(F.min("d").alias("d"))
+    return ray_hits(rays, tri, [M], per_cell).select(M, "ray", "d")
 
 
 def cone_rays(origins: DataFrame, angles: list[float], turn: float) -> DataFrame:
@@ -217,36 +188,36 @@ def _frames(geometry: DataFrame, normals: DataFrame, directions: DataFrame | Non
     )
 
 
-def _cast(rays: DataFrame, geometry: DataFrame, vertices: DataFrame, skip: Column, tile_rows: int) -> DataFrame:
+def _cast(rays: DataFrame, geometry: DataFrame, vertices: DataFrame, skip: Column) -> DataFrame:
     """Ray lengths; a ray that meets nothing gets the diagonal of the bounding box."""
     box = mesh.bounding_box(vertices)
     gap2 = sum(((F.col(f"max_{k}") - F.col(f"min_{k}")) ** 2 for k in "xyz"), F.lit(0.0))
     diagonal = box.select(M, F.sqrt(gap2).alias("_diag"))
-    hits = ray_distances(rays.withColumn("skip", skip), geometry, tile_rows)
+    hits = ray_distances(rays.withColumn("skip", skip), geometry)
     out = rays.select(M, "ray", "face", "cone").join(hits, [M, "ray"], "left").join(diagonal, M)
     return out.select(M, "face", "cone", F.least(F.coalesce("d", "_diag"), F.col("_diag")).alias("d"))
 
 
-def shape_diameter(geometry, normals, vertices, directions: DataFrame | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+def shape_diameter(geometry, normals, vertices, directions: DataFrame | None = None) -> DataFrame:
     """Inside distances over nested cones: ``(mesh_id, face, cone, stat, sdf, sdf_log..)``.
 
-    Cone ``c`` uses all rays up to its angle.  The nearest hit is exact (all triangles are tried).
+    Cone ``c`` uses all rays up to its angle.  The nearest hit is exact.
     """
     step_count = int(CONES[-1] / CONE_STEP) + 1
     rays = cut(cone_rays(_frames(geometry, normals, directions), [i * CONE_STEP for i in range(step_count)], TURN_STEP))
-    hits = cut(_cast(rays, geometry, vertices, F.col("face"), tile_rows))
+    hits = cut(_cast(rays, geometry, vertices, F.col("face")))
     reach = [int(c / CONE_STEP) for c in CONES]
     nested = F.filter(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(r).alias("r")) for i, r in enumerate(reach)]), lambda s: s["r"] >= F.col("cone"))
     long = hits.select(M, "face", "d", F.explode(nested).alias("s")).select(M, "face", F.col("s.c").alias("cone"), "d")
     return _finish(cut(_ray_statistics(long, [M, "face", "cone"])), [M, "face", "cone"], "sdf")
 
 
-def visible_shape(geometry, normals, vertices, directions: DataFrame | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+def visible_shape(geometry, normals, vertices, directions: DataFrame | None = None) -> DataFrame:
     """Distances seen from the middle of the local thickness: ``(mesh_id, face, stat, vsi, vsi_log..)``."""
     frames = cut(_frames(geometry, normals, directions))
     step_count = int(CONES[-1] / CONE_STEP) + 1
     inside = cut(cone_rays(frames, [i * CONE_STEP for i in range(step_count)], TURN_STEP))
-    half = _cast(inside, geometry, vertices, F.col("face"), tile_rows).groupBy(M, "face").agg((F.min("d") / 2).alias("_half"))
+    half = _cast(inside, geometry, vertices, F.col("face")).groupBy(M, "face").agg((F.min("d") / 2).alias("_half"))
     half = cut(half)
     moved = frames.join(half, [M, "face"]).select(
         M, "face", *[(F.col(f"o{k}") + F.col("_half") * F.col(f"v{k}")).alias(f"o{k}") for k in "xyz"],
@@ -254,7 +225,7 @@ def visible_shape(geometry, normals, vertices, directions: DataFrame | None = No
     )
     angles = [a * VISIBLE_STEP for a in range(1, int(180 / VISIBLE_STEP))]
     rays = cut(cone_rays(moved, angles, VISIBLE_STEP))
-    hits = _cast(rays, geometry, vertices, F.lit(-1).cast("long"), tile_rows).select(M, "face", "d")
+    hits = _cast(rays, geometry, vertices, F.lit(-1).cast("long")).select(M, "face", "d")
     own = half.select(M, "face", F.col("_half").alias("d"))
     return _finish(cut(_ray_statistics(hits.unionByName(own), [M, "face"])), [M, "face"], "vsi")
 

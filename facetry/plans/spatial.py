@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facetry.operators import descriptors, edges, hops, mesh, neighbours, spatial
+from facetry.operators import approximate, cells, descriptors, edges, hops, mesh, neighbours, spatial
 from facetry.plans.meshes import EDGES, GEO, M, NORMALS, VE, face_edges, faces, geometry, rounded, vertex_edges, vertices
 from facetry.plans.registry import query
 from facetry.session import cut
@@ -102,6 +102,94 @@ def ray_distances(t):
     return spatial.ray_distances(rays, g).withColumn("d", R("d", 6))
 
 
+RAYS = f"""WITH {GEO}, r AS (SELECT mesh_id, face, gx AS ox, gy AS oy, gz + 1 AS oz, 0.3/sqrt(1.13) AS lx, 0.2/sqrt(1.13) AS ly,
+             -1/sqrt(1.13) AS lz FROM ge),
+        m AS (SELECT r.mesh_id, r.face AS ray, t.face, ox-ax AS sx, oy-ay AS sy, oz-az AS sz, lx, ly, lz, bx-ax AS e1x, b_y-ay AS e1y,
+              bz-az AS e1z, cx-ax AS e2x, cy-ay AS e2y, cz-az AS e2z FROM r JOIN ge t ON t.mesh_id = r.mesh_id
+              WHERE (r.face + t.face) % 3 > 0),
+        p AS (SELECT *, ly*e2z-lz*e2y AS px, lz*e2x-lx*e2z AS py, lx*e2y-ly*e2x AS pz,
+              sy*e1z-sz*e1y AS qx, sz*e1x-sx*e1z AS qy, sx*e1y-sy*e1x AS qz FROM m),
+        h AS (SELECT mesh_id, ray, face, px*e1x+py*e1y+pz*e1z AS det, sx*px+sy*py+sz*pz AS u, lx*qx+ly*qy+lz*qz AS v,
+              e2x*qx+e2y*qy+e2z*qz AS d FROM p)"""
+
+
+@query(
+    "compatible_ray_hits",
+    RAYS + """ SELECT mesh_id, ray, round(min(d/det), 6) AS d FROM h WHERE abs(det) >= 1e-30 AND u/det BETWEEN 0 AND 1
+         AND v/det >= 0 AND (u+v)/det <= 1 AND d/det > 0 GROUP BY ALL""",
+)
+def compatible_ray_hits(t):
+    """First triangle along each ray among those that a predicate over both rows allows."""
+    g = cut(geometry(t))
+    n = 1.13**0.5
+    line = {"lx": 0.3 / n, "ly": 0.2 / n, "lz": -1.0 / n}
+    rays = g.select(
+        M, col("face").alias("ray"), F.lit(-1).cast("long").alias("skip"), col("gx").alias("ox"), col("gy").alias("oy"),
+        (col("gz") + 1).alias("oz"), *[F.lit(v).alias(k) for k, v in line.items()],
+    )
+    tri = g.select(M, "face", *[f"{p}{c}" for p in "abc" for c in "xyz"])
+    hits = cells.ray_hits(rays, tri, [M], compatible=lambda ray, face: (ray["ray"] + face["face"]) % 3 > 0)
+    return hits.select(M, "ray", R("d", 6).alias("d"))
+
+
+LINES = """WITH a AS (SELECT *, embedding::DOUBLE[] AS e FROM embeddings),
+     v AS (SELECT vec_id, label, e[1] AS x, e[2] AS y, e[3] AS z, e[4] / sqrt(e[4]^2 + e[5]^2 + e[6]^2) AS lx,
+             e[5] / sqrt(e[4]^2 + e[5]^2 + e[6]^2) AS ly, e[6] / sqrt(e[4]^2 + e[5]^2 + e[6]^2) AS lz FROM a),
+     j AS (SELECT q.vec_id AS q, p.vec_id AS p, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz, q.lx, q.ly, q.lz
+           FROM v q JOIN v p ON q.label <> p.label)"""
+
+
+def points_and_lines(t):
+    """The first three numbers of each embedding as a point, the next three as a direction through it."""
+    e = [col("embedding")[i].cast("double") for i in range(6)]
+    size = F.sqrt(e[3] ** 2 + e[4] ** 2 + e[5] ** 2)
+    named = {"x": e[0], "y": e[1], "z": e[2]}
+    points = t.embeddings.select(F.lit(1).alias("cloud"), col("vec_id").alias("id"), "label", *[c.alias(k) for k, c in named.items()])
+    lines = t.embeddings.select(
+        F.lit(1).alias("cloud"), col("vec_id").alias("q"), "label", *[c.alias(f"o{k}") for k, c in named.items()],
+        *[F.try_divide(c, size).alias(f"l{k}") for k, c in zip("xyz", e[3:])],
+    )
+    return points, lines
+
+
+@query(
+    "nearest_compatible_point",
+    LINES + " SELECT q, arg_min(p, dx^2 + dy^2 + dz^2) AS id, round(sqrt(min(dx^2 + dy^2 + dz^2)), 6) AS d FROM j GROUP BY q",
+)
+def nearest_compatible_point(t):
+    """The nearest point of another label."""
+    points, lines = points_and_lines(t)
+    found = cells.nearest_point(lines, points, ["cloud"], compatible=lambda a, b: a["label"] != b["label"])
+    return found.select("q", "point.id", R("d", 6).alias("d"))
+
+
+@query(
+    "nearest_to_line",
+    LINES + """, c AS (SELECT q, p, sqrt((dy*lz - dz*ly)^2 + (dz*lx - dx*lz)^2 + (dx*ly - dy*lx)^2) AS d FROM j)
+       SELECT q, arg_min(p, d) AS id, round(min(d), 6) AS d FROM c WHERE d < 0.05 GROUP BY q""",
+)
+def nearest_to_line(t):
+    """The point of another label that lies nearest to a line, if closer than 0.05."""
+    points, lines = points_and_lines(t)
+    found = cells.nearest_to_line(lines, points, ["cloud"], max_distance=0.05, compatible=lambda a, b: a["label"] != b["label"])
+    return found.select("q", "point.id", R("d", 6).alias("d"))
+
+
+@query(
+    "approximate_neighbours",
+    "SELECT 10 * count(*) AS n_exact, TRUE AS recalled, 0::BIGINT AS wrong FROM embeddings",
+)
+def approximate_neighbours(t):
+    """Ten neighbours by cosine from the forest: nine in ten of the exact ones at least, none at a wrong distance."""
+    found = approximate.knn_cosine_forest(t.embeddings, "vec_id", "embedding", 10)
+    exact = cut(neighbours.knn_cosine(t.embeddings, "vec_id", "embedding", 10))
+    both = exact.select("src", "dst", col("d").alias("_d")).join(found, ["src", "dst"], "left")
+    return both.agg(
+        F.count("*").alias("n_exact"), (F.count("d") >= 0.9 * F.count("*")).alias("recalled"),
+        F.count_if(F.abs(col("d") - col("_d")) > 1e-6).alias("wrong"),
+    )
+
+
 @query("shape_diameter")
 def shape_diameter(t):
     g = cut(geometry(t))

@@ -24,7 +24,7 @@ def test_rays_cross_a_cube(spark, tile):
     lines = {0: (1, 0, 0), 1: (-1, 0, 0), 2: (0, 1, 0), 3: (0, 0, -1), 4: (0.6, 0.8, 0)}
     rows = [(0, k, -1, *centre, *map(float, d)) for k, d in lines.items()]
     names = "mesh_id int, ray long, skip long, ox double, oy double, oz double, lx double, ly double, lz double"
-    got = {r.ray: r.d for r in spatial.ray_distances(spark.createDataFrame(rows, names), g, tile_rows=tile).collect()}
+    got = {r.ray: r.d for r in spatial.ray_distances(spark.createDataFrame(rows, names), g, per_cell=tile).collect()}
     assert got == pytest.approx({0: 0.9, 1: 1.1, 2: 1.1, 3: 1.05, 4: min(0.9 / 0.6, 1.1 / 0.8)})
 
 
