@@ -639,16 +639,29 @@ def _sql_less(a, b):
     return [f"({x} - {y})" for x, y in zip(a, b)]
 
 
+def _sql_product(left, right, rows=range(3), columns=range(3)):
+    """Entries ``(i, j)`` of a product of 3x3 matrices given as functions from indices to SQL."""
+    return {(i, j): " + ".join(f"({left(i, k)})*({right(k, j)})" for k in range(3)) for i in rows for j in columns}
+
+
 def curvature_sql() -> str:
-    """Face tensors from the normal equations by determinants, read along tangents carried over by reflection."""
+    """Curvatures as invariants of averaged 3x3 matrices in world axes; no tangent frame takes part.
+
+    In a face's plane, with P = I - f f', A = sum(e e') and C = sum(d e' + e d') over its edges e and the flat parts d of the
+    changes of the normals, the tensor S of least error solves S A + A S = C; since the adjugate of A is tr(A) P - A,
+    S = (det C + (tr P - A) C (tr P - A)) / (2 tr det) with det = (tr(A)^2 - tr(A^2)) / 2.  A rotation R that takes the
+    vertex normal to the face normal gives the vertex R' S R.  The mean M of these has the eigenvalue 0 along the normal, so
+    the curvatures are the roots of k^2 - tr(M) k + the sum of M's principal minors.
+    """
     at = {"a": ["ax", "ay", "az"], "b": ["bx", "b_y", "bz"], "c": ["cx", "cy", "cz"]}
     nrm = {c: [f"{c}m{k}" for k in "xyz"] for c in "abc"}
-    t, b, f, n = (["tx", "ty", "tz"], ["wx", "wy", "wz"], ["fx", "fy", "fz"], ["nx", "ny", "nz"])
-    sides = " UNION ALL ".join(
-        f"SELECT mesh_id, face, {_sql_dot(_sql_less(at[j], at[i]), t)} AS e0, {_sql_dot(_sql_less(at[j], at[i]), b)} AS e1, "
-        f"{_sql_dot(_sql_less(nrm[j], nrm[i]), t)} AS d0, {_sql_dot(_sql_less(nrm[j], nrm[i]), b)} AS d1 FROM fb"
-        for i, j in ("ab", "bc", "ca")
-    )
+    f, n, six = ["fx", "fy", "fz"], ["nx", "ny", "nz"], [(i, j) for i in range(3) for j in range(i, 3)]
+    sides = []
+    for i, j in ("ab", "bc", "ca"):
+        change = _sql_less(nrm[j], nrm[i])
+        flat = [f"{d} - ({_sql_dot(change, f)})*{x}" for d, x in zip(change, f)]
+        columns = [f"{e} AS e{k}" for k, e in enumerate(_sql_less(at[j], at[i]))] + [f"{d} AS d{k}" for k, d in enumerate(flat)]
+        sides.append(f"SELECT mesh_id, face, fx, fy, fz, {', '.join(columns)} FROM fb")
     corners = []
     for v, (i, j, k) in enumerate(("abc", "bca", "cab")):
         inner = {x: _sql_dot(_sql_less(at[y], at[x]), _sql_less(at[z], at[x])) for x, y, z in ((i, j, k), (j, k, i), (k, i, j))}
@@ -658,32 +671,39 @@ def curvature_sql() -> str:
             f"WHEN {inner[j]} <= 0 THEN {lj}*area/(4*{inner[i]}) WHEN {inner[k]} <= 0 THEN {lk}*area/(4*{inner[i]}) "
             f"ELSE ({lj}*{inner[k]} + {lk}*{inner[j]})/(16*area) END AS w FROM ge"
         )
-    carried = lambda p: [f"({x} - ({_sql_dot(p, f)})/(1 + {_sql_dot(n, f)})*({y} + {z}))" for x, y, z in zip(p, n, f)]
-    p, q = ["0", "nz/h", "-ny/h"], ["-h", "nx*ny/h", "nx*nz/h"]
-    along = {}
-    for name, vec in (("p", p), ("q", q)):
-        along[name] = (_sql_dot(carried(vec), t), _sql_dot(carried(vec), b))
+    entry = lambda name: lambda i, j: f"{name}{min(i, j)}{max(i, j)}"
+    sums = [f"sum(e{i}*e{j}) AS a{i}{j}, sum(d{i}*e{j} + e{i}*d{j}) AS c{i}{j}" for i, j in six]
+    square = " + ".join(f"{1 if i == j else 2}*a{i}{j}^2" for i, j in six)
+    adjugate = [f"tr*({int(i == j)} - {f[i]}*{f[j]}) - a{i}{j} AS g{i}{j}" for i, j in six]
+    left = _sql_product(entry("g"), entry("c"))
+    both = _sql_product(lambda i, k: f"h{i}{k}", entry("g"))
+    tensor = [f"(det*c{i}{j} + {both[i, j]})/(2*tr*det) AS s{i}{j}" for i, j in six]
+    x = ["ny*fz - nz*fy", "nz*fx - nx*fz", "nx*fy - ny*fx"]
+    skew = {(0, 1): "-x2", (0, 2): "x1", (1, 0): "x2", (1, 2): "-x0", (2, 0): "-x1", (2, 1): "x0"}
+    rotation = [f"{'t' if i == j else skew[i, j]} + x{i}*x{j}/(1 + t) AS r{i}{j}" for i in range(3) for j in range(3)]
+    half = _sql_product(entry("s"), lambda k, j: f"r{k}{j}")
+    turned = _sql_product(lambda i, k: f"r{k}{i}", lambda k, j: f"q{k}{j}")
+    named = lambda name, entries: ", ".join(f"{e} AS {name}{i}{j}" for (i, j), e in entries.items())
+    mean = ", ".join(f"sum(w*({turned[i, j]}))/sum(w) AS m{i}{j}" for i, j in six)
+    minors = "m00*m11 - m01^2 + m00*m22 - m02^2 + m11*m22 - m12^2"
     return f"""WITH {NORMALS},
-      fa AS (SELECT ge.*, rx/(2*area) AS fx, ry/(2*area) AS fy, rz/(2*area) AS fz,
-             sqrt((bx-ax)^2 + (b_y-ay)^2 + (bz-az)^2) AS l FROM ge),
-      ft AS (SELECT *, (bx-ax)/l AS tx, (b_y-ay)/l AS ty, (bz-az)/l AS tz FROM fa),
-      fw AS (SELECT *, fy*tz-fz*ty AS wx, fz*tx-fx*tz AS wy, fx*ty-fy*tx AS wz FROM ft),
-      fb AS (SELECT fw.*, {", ".join(f"{c}.n{k} AS {c}m{k}" for c in "abc" for k in "xyz")} FROM fw
-             {" ".join(f"JOIN vn {c} ON {c}.mesh_id = fw.mesh_id AND {c}.v = v{i}" for i, c in enumerate("abc"))}),
-      si AS ({sides}),
-      sq AS (SELECT mesh_id, face, sum(e0*e0) AS a, sum(e0*e1) AS b, sum(e1*e1) AS c, sum(d0*e0) AS m0,
-             sum(d0*e1 + d1*e0) AS m1, sum(d1*e1) AS m2 FROM si GROUP BY ALL),
-      kk AS (SELECT mesh_id, face, (m0*((a+c)*c - b*b) - b*(m1*c - b*m2))/det AS k0, (a*(m1*c - b*m2) - m0*b*c)/det AS k1,
-             (a*((a+c)*m2 - m1*b) - b*b*m2 + m0*b*b)/det AS k2 FROM (SELECT *, a*((a+c)*c - b*b) - b*b*c AS det FROM sq)),
+      fa AS (SELECT ge.*, rx/(2*area) AS fx, ry/(2*area) AS fy, rz/(2*area) AS fz FROM ge),
+      fb AS (SELECT fa.*, {", ".join(f"{c}.n{k} AS {c}m{k}" for c in "abc" for k in "xyz")} FROM fa
+             {" ".join(f"JOIN vn {c} ON {c}.mesh_id = fa.mesh_id AND {c}.v = v{i}" for i, c in enumerate("abc"))}),
+      si AS ({" UNION ALL ".join(sides)}),
+      no AS (SELECT *, ({" + ".join(f"a{i}{i}" for i in range(3))}) AS tr, {square} AS sq
+             FROM (SELECT mesh_id, face, fx, fy, fz, {", ".join(sums)} FROM si GROUP BY ALL)),
+      ad AS (SELECT *, (tr*tr - sq)/2 AS det, {", ".join(adjugate)} FROM no),
+      hf AS (SELECT *, {named("h", left)} FROM ad),
+      te AS (SELECT mesh_id, face, fx, fy, fz, {", ".join(tensor)} FROM hf),
       cw AS ({" UNION ALL ".join(corners)}),
-      vh AS (SELECT *, sqrt(ny*ny + nz*nz) AS h FROM vn),
-      uv AS (SELECT cw.mesh_id, cw.v, w, k0, k1, k2, {along["p"][0]} AS u1, {along["p"][1]} AS v1, {along["q"][0]} AS u2, {along["q"][1]} AS v2
-             FROM cw JOIN fw ON fw.mesh_id = cw.mesh_id AND fw.face = cw.face JOIN kk ON kk.mesh_id = cw.mesh_id AND kk.face = cw.face
-             JOIN vh ON vh.mesh_id = cw.mesh_id AND vh.v = cw.v),
-      me AS (SELECT mesh_id, v, sum(w*(k0*u1*u1 + 2*k1*u1*v1 + k2*v1*v1))/sum(w) AS a,
-             sum(w*(k0*u1*u2 + k1*(u1*v2 + u2*v1) + k2*v1*v2))/sum(w) AS b,
-             sum(w*(k0*u2*u2 + 2*k1*u2*v2 + k2*v2*v2))/sum(w) AS c FROM uv GROUP BY ALL)
-      SELECT mesh_id, v, round((a+c)/2 + sqrt((a-c)^2/4 + b*b), 6) AS k1, round((a+c)/2 - sqrt((a-c)^2/4 + b*b), 6) AS k2 FROM me"""
+      co2 AS (SELECT cw.*, te.* EXCLUDE (mesh_id, face), {_sql_dot(n, f)} AS t, {", ".join(f"{e} AS x{k}" for k, e in enumerate(x))}
+              FROM cw JOIN te ON te.mesh_id = cw.mesh_id AND te.face = cw.face JOIN vn ON vn.mesh_id = cw.mesh_id AND vn.v = cw.v),
+      ro AS (SELECT *, {", ".join(rotation)} FROM co2),
+      hr AS (SELECT *, {named("q", half)} FROM ro),
+      me AS (SELECT mesh_id, v, {mean} FROM hr GROUP BY ALL),
+      iv AS (SELECT mesh_id, v, m00 + m11 + m22 AS tr, {minors} AS mi FROM me)
+      SELECT mesh_id, v, round(tr/2 + sqrt(greatest(tr*tr/4 - mi, 0)), 6) AS k1, round(tr/2 - sqrt(greatest(tr*tr/4 - mi, 0)), 6) AS k2 FROM iv"""
 
 
 @query("principal_curvatures", curvature_sql())
