@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facetry.operators import descriptors, hist, hops, mesh, stats
+from facetry.operators import derivatives, descriptors, hist, hops, mesh, stats
 from facetry.plans.registry import query
 from facetry.session import cut
 
@@ -644,7 +644,7 @@ def _sql_product(left, right, rows=range(3), columns=range(3)):
     return {(i, j): " + ".join(f"({left(i, k)})*({right(k, j)})" for k in range(3)) for i in rows for j in columns}
 
 
-def curvature_sql() -> str:
+def curvature_tables() -> str:
     """Curvatures as invariants of averaged 3x3 matrices in world axes; no tangent frame takes part.
 
     In a face's plane, with P = I - f f', A = sum(e e') and C = sum(d e' + e d') over its edges e and the flat parts d of the
@@ -702,8 +702,67 @@ def curvature_sql() -> str:
       ro AS (SELECT *, {", ".join(rotation)} FROM co2),
       hr AS (SELECT *, {named("q", half)} FROM ro),
       me AS (SELECT mesh_id, v, {mean} FROM hr GROUP BY ALL),
-      iv AS (SELECT mesh_id, v, m00 + m11 + m22 AS tr, {minors} AS mi FROM me)
-      SELECT mesh_id, v, round(tr/2 + sqrt(greatest(tr*tr/4 - mi, 0)), 6) AS k1, round(tr/2 - sqrt(greatest(tr*tr/4 - mi, 0)), 6) AS k2 FROM iv"""
+      iv AS (SELECT mesh_id, v, m00 + m11 + m22 AS tr, {minors} AS mi FROM me)"""
+
+
+CURVATURES = """ SELECT mesh_id, v, round(tr/2 + sqrt(greatest(tr*tr/4 - mi, 0)), 6) AS k1,
+        round(tr/2 - sqrt(greatest(tr*tr/4 - mi, 0)), 6) AS k2 FROM iv"""
+
+
+def derivative_sql() -> str:
+    """Squared size of the derivative tensor as a mean of world tensors; vertices need no directions of their own."""
+    six, three = [(i, j) for i in range(3) for j in range(i, 3)], range(3)
+    sym = lambda name: lambda i, j: f"{name}{min(i, j)}{max(i, j)}"
+    at = {"a": ["ax", "ay", "az"], "b": ["bx", "b_y", "bz"], "c": ["cx", "cy", "cz"]}
+    rotation = ", ".join(f"r{i}{j}" for i in three for j in three)
+    half = _sql_product(lambda i, k: f"r{i}{k}", sym("m"))
+    whole = _sql_product(lambda i, k: f"b{i}{k}", lambda k, j: f"r{j}{k}")
+    sides = " UNION ALL ".join(
+        f"SELECT fa.mesh_id, fa.face, {', '.join(f'{e} AS e{k}' for k, e in enumerate(_sql_less(at[j], at[i])))}, "
+        + ", ".join(f"q.k{m}{n} - p.k{m}{n} AS k{m}{n}" for m, n in six)
+        + f" FROM fa JOIN tk p ON p.mesh_id = fa.mesh_id AND p.face = fa.face AND p.v = fa.v{'abc'.index(i)}"
+        f" JOIN tk q ON q.mesh_id = fa.mesh_id AND q.face = fa.face AND q.v = fa.v{'abc'.index(j)}"
+        for i, j in ("ab", "bc", "ca")
+    )
+    # A without its smaller part is a multiple of u u'; its longest row gives u, any edge does if A is round
+    rest = ", ".join(f"a{i}{j} - mu*({int(i == j)} - f{'xyz'[i]}*f{'xyz'[j]}) AS p{i}{j}" for i, j in six)
+    row = lambda i: "[" + ", ".join(f"p{min(i, j)}{max(i, j)}" for j in three) + "]"
+    dot = lambda x, y: " + ".join(f"{x}{k}*{y}{k}" for k in three)
+    form = lambda x, y: " + ".join(f"k{min(i, j)}{max(i, j)}*{x}{i}*{y}{j}" for i in three for j in three)
+    ten = [(i, j, k) for i in three for j in range(i, 3) for k in range(j, 3)]
+
+    def entry(i, j, k):
+        two = lambda x, y: f"(g{i}*{x}{j}*{y}{k} + {x}{i}*g{j}*{y}{k} + {x}{i}*{y}{j}*g{k})"
+        mixed = f"(h{i}*g{j}*g{k} + g{i}*h{j}*g{k} + g{i}*g{j}*h{k})"
+        return f"d0*g{i}*g{j}*g{k} + d1*{mixed} + d2*{two('h', 'h')} + d3*h{i}*h{j}*h{k}"
+
+    times = {e: len({(e[x], e[y], e[z]) for x, y, z in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))}) for e in ten}
+    return f""",
+      br AS (SELECT ro.mesh_id, ro.face, ro.v, w, {rotation}, {", ".join(f"{e} AS b{i}{j}" for (i, j), e in half.items())}
+             FROM ro JOIN me ON me.mesh_id = ro.mesh_id AND me.v = ro.v),
+      tk AS (SELECT mesh_id, face, v, w, {rotation}, {", ".join(f"{whole[i, j]} AS k{i}{j}" for i, j in six)} FROM br),
+      sd AS ({sides}),
+      ea AS (SELECT *, tr/2 + sqrt(greatest(tr*tr/4 - det, 0)) AS la, tr/2 - sqrt(greatest(tr*tr/4 - det, 0)) AS mu FROM ad),
+      eu AS (SELECT ea.mesh_id, ea.face, ea.fx, ea.fy, ea.fz, la, mu, [bx-ax, b_y-ay, bz-az] AS eab, {rest}
+             FROM ea JOIN ge ON ge.mesh_id = ea.mesh_id AND ge.face = ea.face),
+      ev AS (SELECT *, CASE WHEN greatest(p00, p11, p22) <= 1e-9*la THEN eab WHEN p00 >= p11 AND p00 >= p22 THEN {row(0)}
+             WHEN p11 >= p22 THEN {row(1)} ELSE {row(2)} END AS ul FROM eu),
+      ew AS (SELECT *, {", ".join(f"ul[{k + 1}]/sqrt(ul[1]^2 + ul[2]^2 + ul[3]^2) AS u{k}" for k in three)} FROM ev),
+      ex AS (SELECT mesh_id, face, la, mu, u0, u1, u2, fy*u2 - fz*u1 AS z0, fz*u0 - fx*u2 AS z1, fx*u1 - fy*u0 AS z2 FROM ew),
+      sx AS (SELECT ex.*, {dot("e", "u")} AS sx, {dot("e", "z")} AS sy, {form("u", "u")} AS kuu, {form("u", "z")} AS kuz, {form("z", "z")} AS kzz
+             FROM sd JOIN ex ON ex.mesh_id = sd.mesh_id AND ex.face = sd.face),
+      dd AS (SELECT mesh_id, face, u0, u1, u2, z0, z1, z2, sum(kuu*sx)/la AS d0, sum(kuu*sy + 2*kuz*sx)/(2*la + mu) AS d1,
+             sum(kzz*sx + 2*kuz*sy)/(la + 2*mu) AS d2, sum(kzz*sy)/mu AS d3 FROM sx GROUP BY mesh_id, face, la, mu, u0, u1, u2, z0, z1, z2),
+      tv AS (SELECT tk.mesh_id, tk.v, w, d0, d1, d2, d3, {", ".join(" + ".join(f"r{b}{a}*{n}{b}" for b in three) + f" AS {m}{a}" for n, m in (("u", "g"), ("z", "h")) for a in three)}
+             FROM tk JOIN dd ON dd.mesh_id = tk.mesh_id AND dd.face = tk.face),
+      mt AS (SELECT mesh_id, v, {", ".join(f"sum(w*({entry(*e)}))/sum(w) AS t{e[0]}{e[1]}{e[2]}" for e in ten)} FROM tv GROUP BY ALL)
+      SELECT mesh_id, v, round({" + ".join(f"{times[e]}*t{e[0]}{e[1]}{e[2]}^2" for e in ten)}, 4) AS norm2 FROM mt"""
+
+
+def curvature_sql() -> str:
+    return curvature_tables() + CURVATURES
+
+
 
 
 @query("principal_curvatures", curvature_sql())
@@ -713,6 +772,14 @@ def principal_curvatures(t):
     return rounded(k, [M, "v"], k1="k1", k2="k2")
 
 
+@query("curvature_derivatives", curvature_tables() + derivative_sql())
+def curvature_derivatives(t):
+    g = cut(geometry(t))
+    vn = cut(mesh.vertex_normals(g))
+    out = derivatives.curvature_derivatives(g, vn, cut(mesh.principal_curvatures(g, vn)))
+    return out.select(M, "v", R("norm2", 4).alias("norm2"))
+
+
 @query("orient_faces", f"WITH {MESH} SELECT mesh_id, face, v0, v1, v2 FROM fc")
 def orient_faces(t):
     """Every face but the lowest of each mesh is flipped or not by a hash; orienting undoes it."""
