@@ -48,7 +48,9 @@ def bounded_distances(
         forget(last)
         if known.filter(F.col("fresh") & live).isEmpty():
             break
-    return known.select(*group, "src", "node", "d")
+    out = known.select(*group, "src", "node", "d")
+    out._cut_path = known._cut_path  # callers that are done with the distances may forget them
+    return out
 
 
 def nearest_by_path(edges: DataFrame, sources: DataFrame, count: int, group: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facetry.operators import derivatives, descriptors, hist, hops, mesh, stats
+from facetry.operators import derivatives, descriptors, hist, hops, mesh, scales, spheres, stats
 from facetry.plans.registry import query
 from facetry.session import cut
 
@@ -780,6 +780,79 @@ def curvature_derivatives(t):
     return out.select(M, "v", R("norm2", 4).alias("norm2"))
 
 
+def _sql_ball(size: int) -> str:
+    """Circumspheres of ``size`` suppliers of a nation, from Cramer's rule on the Gram matrix of their differences."""
+    names = "abcd"[:size]
+    diff = {n: [f"({n}.{k} - a.{k})" for k in "xyz"] for n in names[1:]}
+    gram = [[_sql_dot(diff[m], diff[n]) for n in names[1:]] for m in names[1:]]
+    right = [f"({gram[i][i]})/2" for i in range(size - 1)]
+
+    def det(m):
+        if len(m) == 1:
+            return f"({m[0][0]})"
+        signs = ["", "-", ""]
+        return "(" + " + ".join(f"({signs[j]}({m[0][j]}))*{det([r[:j] + r[j + 1:] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+    whole = det(gram) if size > 1 else "1"
+    parts = [det([r[:j] + [right[i]] + r[j + 1:] for i, r in enumerate(gram)]) for j in range(size - 1)]
+    centre = [" + ".join([f"a.{k}", *[f"{p}/nullif({whole}, 0)*{diff[n][i]}" for p, n in zip(parts, names[1:])]]) for i, k in enumerate("xyz")]
+    joins = "".join(f" JOIN pt {n} ON {n}.g = a.g AND {n}.id > {m}.id" for m, n in zip(names, names[1:]))
+    return f"SELECT g, cx, cy, cz, (cx-ax)^2 + (cy-ay)^2 + (cz-az)^2 AS r2 FROM (SELECT a.g, a.x AS ax, a.y AS ay, a.z AS az, {centre[0]} AS cx, {centre[1]} AS cy, {centre[2]} AS cz FROM pt a{joins})"
+
+
+@query(
+    "bounding_spheres",
+    f"""WITH pt AS (SELECT s_nationkey AS g, s_suppkey AS id, s_acctbal / 1000 AS x, (s_suppkey * 7 % 11)::DOUBLE AS y, (s_suppkey * 5 % 13)::DOUBLE AS z FROM supplier),
+        ball AS (SELECT * FROM ({" UNION ALL ".join(_sql_ball(n) for n in (1, 2, 3, 4))}) WHERE r2 IS NOT NULL AND isfinite(r2)),
+        ok AS (SELECT ball.g, cx, cy, cz, r2 FROM ball JOIN pt ON pt.g = ball.g GROUP BY ALL HAVING max((x-cx)^2 + (y-cy)^2 + (z-cz)^2) <= r2 * (1 + 1e-9) + 1e-12)
+        SELECT g, round(sqrt(min(r2)), 6) AS r FROM ok GROUP BY g""",
+)
+def bounding_spheres(t):
+    """Smallest ball around the suppliers of each nation, against every support set."""
+    p = t.supplier.select(
+        col("s_nationkey").alias("g"), (col("s_acctbal") / 1000).alias("x"), (col("s_suppkey") * 7 % 11).cast("double").alias("y"),
+        (col("s_suppkey") * 5 % 13).cast("double").alias("z"),
+    )
+    return spheres.bounding_spheres(p, ["g"]).select("g", R("r", 6).alias("r"))
+
+
+SCALE_SAMPLES, SCALE_STEPS = 8, 90
+SCALES = EDGES + VE + f""", va AS (SELECT mesh_id, v, sum(area/3) AS area FROM (SELECT mesh_id, unnest([v0, v1, v2]) AS v, area FROM ge) GROUP BY ALL),
+       st AS (SELECT mesh_id, ceil(count(*) / {SCALE_SAMPLES}.0)::BIGINT AS step FROM vx GROUP BY ALL),
+       so AS (SELECT vx.mesh_id, v FROM vx JOIN st USING (mesh_id) WHERE v % step = 0),
+       bf AS (SELECT mesh_id, v AS src, v AS node, 0.0::DOUBLE AS d, 0 AS n FROM so
+              UNION ALL SELECT mesh_id, src, node, min(d), n FROM (
+                SELECT mesh_id, src, node, d, n + 1 AS n FROM bf WHERE n < {SCALE_STEPS}
+                UNION ALL SELECT bf.mesh_id, src, ve.j, d + w, n + 1 FROM bf JOIN ve ON ve.mesh_id = bf.mesh_id AND ve.i = bf.node WHERE n < {SCALE_STEPS})
+              GROUP BY mesh_id, src, node, n),
+       pa AS (SELECT mesh_id, src, node, d, row_number() OVER (PARTITION BY mesh_id, src ORDER BY d) - 1 AS pos,
+                count(*) OVER (PARTITION BY mesh_id, src) AS cnt FROM bf WHERE n = {SCALE_STEPS}),
+       ps AS (SELECT mesh_id, src, max(d) AS far, max(d) FILTER (pos = floor(cnt * 0.5)) AS middle, max(d) FILTER (pos = floor(cnt * 0.33)) AS low FROM pa GROUP BY ALL),
+       pm AS (SELECT pa.mesh_id, src, sum(d * area) / sum(area) AS mean FROM pa JOIN so ON so.mesh_id = pa.mesh_id AND so.v = node
+              JOIN va ON va.mesh_id = pa.mesh_id AND va.v = node WHERE src <> node GROUP BY ALL),
+       pl AS (SELECT mesh_id, low, row_number() OVER (PARTITION BY mesh_id ORDER BY low) - 1 AS pos, count(*) OVER (PARTITION BY mesh_id) AS cnt FROM ps),
+       ce AS (SELECT mesh_id, sum(gx*area)/sum(area) AS mx, sum(gy*area)/sum(area) AS my, sum(gz*area)/sum(area) AS mz FROM ge GROUP BY ALL),
+       cd AS (SELECT ge.mesh_id, sqrt((gx-mx)^2 + (gy-my)^2 + (gz-mz)^2) AS d FROM ge JOIN ce USING (mesh_id)),
+       cp AS (SELECT mesh_id, d, row_number() OVER (PARTITION BY mesh_id ORDER BY d) - 1 AS pos, count(*) OVER (PARTITION BY mesh_id) AS cnt FROM cd),
+       al AS (SELECT mesh_id, 'half_max_path' AS kind, max(far)/2 AS scale FROM ps GROUP BY ALL
+              UNION ALL SELECT mesh_id, 'half_mean_max_path', avg(far)/2 FROM ps GROUP BY ALL
+              UNION ALL SELECT mesh_id, 'mean_path', avg(mean) FROM pm GROUP BY ALL
+              UNION ALL SELECT mesh_id, 'median_path', median(middle) FROM ps GROUP BY ALL
+              UNION ALL SELECT mesh_id, 'low_path', max(low) * 0.5/0.33 FROM pl WHERE pos = floor(cnt * 0.33) GROUP BY ALL
+              UNION ALL SELECT mesh_id, 'box_diagonal', sqrt((max(x)-min(x))^2 + (max(y)-min(y))^2 + (max(z)-min(z))^2) FROM vx GROUP BY ALL
+              UNION ALL SELECT mesh_id, 'median_distance', max(d) FROM cp WHERE pos = floor(cnt * 0.5) GROUP BY ALL
+              UNION ALL SELECT mesh_id, 'low_distance', max(d) * 0.5/0.33 FROM cp WHERE pos = floor(cnt * 0.33) GROUP BY ALL)"""
+
+
+@query("mesh_scales", f"WITH RECURSIVE {SCALES} SELECT mesh_id, kind, round(scale, 6) AS scale FROM al")
+def mesh_scales(t):
+    """Eight of the nine other scales of every mesh; the ninth, the ball, has its own query."""
+    g = cut(geometry(t))
+    areas = g.select(M, F.explode(F.array("v0", "v1", "v2")).alias("v"), (col("area") / 3).alias("a")).groupBy(M, "v").agg(F.sum("a").alias("area"))
+    out = scales.mesh_scales(g, vertices(t), vertex_edges(t), areas, SCALE_SAMPLES)
+    return out.filter(col("kind") != "sphere_radius").select(M, "kind", R("scale", 6).alias("scale"))
+
+
 @query("orient_faces", f"WITH {MESH} SELECT mesh_id, face, v0, v1, v2 FROM fc")
 def orient_faces(t):
     """Every face but the lowest of each mesh is flipped or not by a hash; orienting undoes it."""
