@@ -84,7 +84,7 @@ def bounding_spheres(points: DataFrame, group: list[str]) -> DataFrame:
         for key, x in held.items():
             yield pd.DataFrame([(*key, *p) for p in x.tolist()], columns=names)
 
-    def ball(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def ball(key, pdf):
         centre, square = circumsphere(support(pdf[["x", "y", "z"]].to_numpy(float)))
         return pd.DataFrame([(*key, *centre, float(np.sqrt(square)))], columns=[*group, "cx", "cy", "cz", "r"])
 
