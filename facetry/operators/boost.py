@@ -96,7 +96,8 @@ def _scored(sums: DataFrame, classes: int, subsets: list[int]) -> DataFrame:
 
 def best_stump(sums: DataFrame, classes: int, subsets: list[int]) -> Stump:
     """Lowest error; among equals the last subset, then the last feature, then the first threshold."""
-    ks = [F.col(f"total_y{c}") / F.col(f"total_w{c}") for c in range(classes)]
+    # a class whose weights have all underflown answers 0
+    ks = [F.coalesce(F.try_divide(F.col(f"total_y{c}"), F.col(f"total_w{c}")), F.lit(0.0)) for c in range(classes)]
     pick = F.struct("fid", "v", "a", "b", "n", "err", F.array(*ks).alias("k"))
     order = F.struct("err", -F.col("n"), -F.col("fid"), F.col("v"))
     r = _scored(sums, classes, subsets).agg(F.min_by(pick, order).alias("s")).first().s
@@ -134,7 +135,7 @@ def update(state: DataFrame, stump: Stump) -> DataFrame:
     new = state.withColumn("h", scores).withColumn("w", weights)
     new = cut(new)
     total = new.agg(F.sum(F.aggregate("w", F.lit(0.0), lambda s, v: s + v))).first()[0]
-    return new.withColumn("w", F.transform("w", lambda v: v / F.lit(total)))
+    return new.withColumn("w", F.transform("w", lambda v: F.coalesce(F.try_divide(v, F.lit(total)), F.lit(0.0))))
 
 
 def predicted(h: Column) -> Column:

@@ -178,7 +178,7 @@ def geodesic_statistics(paths: DataFrame, areas: DataFrame, **kw) -> DataFrame:
     Values are re-based to the mesh minimum.
     """
     total = areas.groupBy(M).agg(F.sum("area").alias("_total"))
-    w = areas.join(total, M).select(M, F.col("face").alias("node"), (F.col("area") / F.col("_total")).alias("w"))
+    w = areas.join(total, M).select(M, F.col("face").alias("node"), F.coalesce(F.try_divide("area", "_total"), F.lit(0.0)).alias("w"))
     rows = paths.join(w, [M, "node"])
     d, w = F.col("d"), F.col("w")
     powers = {"g0": 1.0, "g1": 2.0, "g2": 4.0, "g3": 8.0, "g4": 0.5, "g5": 0.25}
@@ -215,7 +215,7 @@ def shape_context(paths: DataFrame, geometry: DataFrame, normals: DataFrame, rea
     total = geometry.groupBy(M).agg(F.sum("area").alias("_total"))
     o = geometry.select(M, F.col("face").alias("src"), *[F.col(f"g{k}").alias(f"o{k}") for k in "xyz"])
     other = geometry.join(normals, [M, "face"]).join(total, M)
-    other = other.select(M, F.col("face").alias("node"), "gx", "gy", "gz", "nx", "ny", "nz", (F.col("area") / F.col("_total")).alias("share"))
+    other = other.select(M, F.col("face").alias("node"), "gx", "gy", "gz", "nx", "ny", "nz", F.coalesce(F.try_divide("area", "_total"), F.lit(0.0)).alias("share"))
     rows = paths.filter(F.col("src") != F.col("node")).join(other, [M, "node"]).join(o, [M, "src"])
     look = sub3(vec3("g"), vec3("o"))
     back = tuple(-c for c in vec3("n"))
@@ -296,7 +296,7 @@ def distance_moments(points: DataFrame, group: list[str], key: str, vector: str,
     parts = tile_product(pts, pts, group, "id", "id", kernel, schema, tile_rows)
     sums = parts.groupBy(*group, "id").agg(*[F.sum(c).alias(c) for c in ("sw", "s1", "s2", "sh")])
     return sums.select(
-        *group, "id", *[(F.col(c) / F.col("sw")).alias(n) for c, n in (("s1", "mean"), ("s2", "mean2"), ("sh", "meansqrt"))]
+        *group, "id", *[F.try_divide(c, "sw").alias(n) for c, n in (("s1", "mean"), ("s2", "mean2"), ("sh", "meansqrt"))]
     )
 
 
@@ -307,7 +307,7 @@ def class_context(paths: DataFrame, probabilities: DataFrame, areas: DataFrame,
     ``distance / reach + 0.1``.
     """
     total = areas.groupBy(M).agg(F.sum("area").alias("_total"))
-    share = areas.join(total, M).select(M, F.col("face").alias("node"), (F.col("area") / F.col("_total")).alias("share"))
+    share = areas.join(total, M).select(M, F.col("face").alias("node"), F.coalesce(F.try_divide("area", "_total"), F.lit(0.0)).alias("share"))
     p = probabilities.select(M, F.col("face").alias("node"), "label", "p")
     xs = hist.closed_bins(F.col("d"), hist.log_edges(bins, hist.REACH * reach))
     rows = paths.join(share, [M, "node"]).select(
@@ -329,7 +329,7 @@ def axis_context(
     frame = axes.groupBy(M).agg(F.array_sort(F.collect_list(F.struct("axis", "ax", "ay", "az", "extent"))).alias("_x"))
     flat = F.flatten(F.transform("_x", lambda a: F.array(a["ax"], a["ay"], a["az"], a["extent"])))
     faces = geometry.join(probabilities, [M, "face"]).join(total, M).join(frame, M)
-    faces = faces.select(M, "face", "gx", "gy", "gz", (F.col("area") / F.col("_total")).alias("share"), "p", flat.alias("frame"))
+    faces = faces.select(M, "face", "gx", "gy", "gz", F.coalesce(F.try_divide("area", "_total"), F.lit(0.0)).alias("share"), "p", flat.alias("frame"))
     unit = np.array(hist.log_edges(bins, hist.REACH))
     schema = f"{M} long, face long, axis int, xb int, label int, mass double"
     names = [M, "face", "axis", "xb", "label", "mass"]

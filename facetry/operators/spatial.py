@@ -13,6 +13,7 @@ from facetry.functions.scalar import log_rescale, sgn
 from facetry.functions.vectors import cross3, dot3, sub3, vec3
 from facetry.operators import mesh
 from facetry.operators.cells import PER_CELL, ray_hits
+from facetry.operators.derivatives import carried
 from facetry.operators.neighbours import knn
 from facetry.operators.ordered import at_position, cumulate
 from facetry.operators.stats import (
@@ -23,7 +24,7 @@ from facetry.operators.stats import (
     weighted_mean,
     winsorise_signed,
 )
-from facetry.session import cut
+from facetry.session import cut, forget
 
 M = "mesh_id"
 
@@ -276,34 +277,143 @@ def part_axes(points: DataFrame, group: list[str], weight: str = "w", whole: lis
     return flat.select(*group, "axis", *[F.col(f"_a.{c}").alias(c) for c in ("ax", "ay", "az", "spread", "extent")])
 
 
-def diffuse(vertices, normals, areas, neighbours, field: list[str], sigma: float) -> DataFrame:
-    """Smooth vertex values over the surface: Gaussian in distance, times normal agreement and area.
+def _gated_walk(start: DataFrame, steps: DataFrame, left: DataFrame, right: DataFrame, gate: Column) -> DataFrame:
+    """``(mesh_id, src, node)``: nodes met from each source along ``steps(mesh_id, i, j)`` through nodes that pass ``gate``.
 
-    ``neighbours(mesh_id, i, j)`` are the mesh edges.  A vertex takes part if its normal agrees with the
-    centre's, it is within three ``sigma``, and a path of such vertices leads to it.
+    ``left(mesh_id, src, ..)`` and ``right(mesh_id, node, ..)`` give the columns that the gate reads.
     """
-    near2 = 9.0 * sigma * sigma
-    facts = vertices.join(normals, [M, "v"]).join(areas.withColumnRenamed("area", "_area"), [M, "v"])
-    facts = cut(facts)
-    pos = ["x", "y", "z", "nx", "ny", "nz"]
-    src = facts.select(M, F.col("v").alias("src"), *[F.col(c).alias(f"c{c}") for c in pos])
-    node = facts.select(M, F.col("v").alias("node"), *pos)
-    known = facts.select(M, F.col("v").alias("src"), F.col("v").alias("node"), F.lit(True).alias("fresh"))
-    gap = [F.col(c) - F.col(f"c{c}") for c in "xyz"]
-    d2 = dot3(tuple(gap), tuple(gap))
-    facing = dot3(vec3("n"), vec3("cn"))
+    passes = lambda df: df.join(right, [M, "node"]).join(left, [M, "src"]).filter(gate).select(M, "src", "node")
+    known = passes(start).withColumn("fresh", F.lit(True))
+    last = None
     while True:
         front = known.filter("fresh").select(M, "src", F.col("node").alias("i"))
-        step = front.join(neighbours, [M, "i"]).select(M, "src", F.col("j").alias("node")).distinct()
-        step = step.join(known, [M, "src", "node"], "left_anti").join(node, [M, "node"]).join(src, [M, "src"])
-        step = step.filter((facing > 0) & (d2 < near2)).select(M, "src", "node", F.lit(True).alias("fresh"))
-        known = cut(known.withColumn("fresh", F.lit(False)).unionByName(step))
+        step = front.join(steps, [M, "i"]).select(M, "src", F.col("j").alias("node")).distinct()
+        step = passes(step.join(known, [M, "src", "node"], "left_anti")).withColumn("fresh", F.lit(True))
+        newer = cut(known.withColumn("fresh", F.lit(False)).unionByName(step))
+        if last is not None:
+            forget(last)
+        last = known = newer
         if known.filter("fresh").isEmpty():
-            break
-    values = facts.select(M, F.col("v").alias("node"), *pos, "_area", *[F.col(f).alias(f"_f_{f}") for f in field])
-    rows = known.drop("fresh").join(values, [M, "node"]).join(src, [M, "src"])
+            return known.drop("fresh")
+
+
+_PLACE = ["x", "y", "z", "nx", "ny", "nz"]
+
+
+def diffusion_weights(vertices, normals, areas, neighbours, sigma: float) -> DataFrame:
+    """``(mesh_id, src, node, w)``: Gaussian in distance, times normal agreement and area; ``src`` itself counts by its area.
+
+    ``neighbours(mesh_id, i, j)`` are the mesh edges.  A vertex takes part if its normal agrees with the
+    centre's, it is within three ``sigma``, and a path of such vertices leads to it.
+    """
+    facts = cut(vertices.join(normals, [M, "v"]).join(areas.withColumnRenamed("area", "_area"), [M, "v"]))
+    src = facts.select(M, F.col("v").alias("src"), *[F.col(c).alias(f"c{c}") for c in _PLACE])
+    node = facts.select(M, F.col("v").alias("node"), *_PLACE)
+    gap = sub3(vec3(""), vec3("c"))
+    d2, facing = dot3(gap, gap), dot3(vec3("n"), vec3("cn"))
+    own = facts.select(M, F.col("v").alias("src"), F.col("v").alias("node"))
+    gate = (F.col("src") == F.col("node")) | ((facing > 0) & (d2 < 9.0 * sigma * sigma))
+    known = _gated_walk(own, neighbours, src, node, gate)
+    rows = known.join(node.join(facts.select(M, F.col("v").alias("node"), "_area"), [M, "node"]), [M, "node"]).join(src, [M, "src"])
     kernel = F.exp(-0.5 * d2 / (sigma * sigma)) * facing * F.col("_area")
-    w = F.when(F.col("src") == F.col("node"), F.col("_area")).otherwise(kernel)
-    return rows.withColumn("_w", w).groupBy(M, F.col("src").alias("v")).agg(
-        *[weighted_mean(F.col(f"_f_{f}"), F.col("_w")).alias(f) for f in field]
-    )
+    return rows.select(M, "src", "node", F.when(F.col("src") == F.col("node"), F.col("_area")).otherwise(kernel).alias("w"))
+
+
+def _averaged(weights: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
+    """Weighted means of vertex columns, ``(mesh_id, v, names)``."""
+    values = fields.select(M, F.col("v").alias("node"), *[F.col(f).alias(f"_f_{f}") for f in names])
+    rows = weights.join(values, [M, "node"])
+    return rows.groupBy(M, F.col("src").alias("v")).agg(*[weighted_mean(F.col(f"_f_{f}"), F.col("w")).alias(f) for f in names])
+
+
+def diffuse(vertices, normals, areas, neighbours, field: list[str], sigma: float) -> DataFrame:
+    """Smooth vertex values over the surface; a vertex without neighbours or area keeps its own."""
+    new = _averaged(diffusion_weights(vertices, normals, areas, neighbours, sigma), vertices, field)
+    new = new.select(M, "v", *[F.col(f).alias(f"_n_{f}") for f in field])
+    return vertices.join(new, [M, "v"], "left").select(M, "v", *[F.coalesce(f"_n_{f}", f).alias(f) for f in field])
+
+
+def diffuse_normals(vertices, normals, areas, neighbours, sigma: float) -> DataFrame:
+    """Unit means of the normals; a mean without length keeps the vertex's own."""
+    names = ["nx", "ny", "nz"]
+    new = _averaged(diffusion_weights(vertices, normals, areas, neighbours, sigma), normals, names)
+    new = new.select(M, "v", *[F.col(n).alias(f"_{n}") for n in names])
+    size = F.sqrt(dot3(vec3("_n"), vec3("_n")))
+    rows = normals.join(new, [M, "v"], "left")
+    return rows.select(M, "v", *[F.when(size > 0, F.try_divide(f"_{n}", size)).otherwise(F.col(n)).alias(n) for n in names])
+
+
+def diffuse_curvatures(vertices, normals, areas, neighbours, curvatures, sigma: float) -> DataFrame:
+    """Smooth curvature tensors; the columns of ``principal_curvatures``.
+
+    Each vertex's tensor is turned into the tangent plane of the vertex that receives it, along with its normal, and read
+    along that vertex's own directions there.
+    """
+    weights = diffusion_weights(vertices, normals, areas, neighbours, sigma)
+    frame = normals.join(curvatures, [M, "v"])
+    columns = [f"{n}{k}" for n in ("n", "d1", "d2") for k in "xyz"]
+    given = frame.select(M, F.col("v").alias("node"), "k1", "k2", *columns)
+    taken = cut(frame.select(M, F.col("v").alias("src"), *[F.col(c).alias(f"c{c}") for c in columns]))
+    rows = weights.join(given, [M, "node"]).join(taken, [M, "src"])
+    turned = [carried(vec3(f"d{j}"), vec3("n"), vec3("cn")) for j in (1, 2)]
+    rows = rows.withColumns({f"_p{i}{j}": dot3(turned[i], vec3(f"cd{j + 1}")) for i in range(2) for j in range(2)})
+    part = lambda i, j: sum((F.col(f"k{m + 1}") * F.col(f"_p{m}{i}") * F.col(f"_p{m}{j}") for m in range(2)), F.lit(0.0))
+    mean = {n: weighted_mean(part(i, j), F.col("w")).alias(n) for n, (i, j) in (("_a", (0, 0)), ("_b", (0, 1)), ("_c", (1, 1)))}
+    s = rows.groupBy(M, "src").agg(*mean.values()).join(taken, [M, "src"])
+    a, off, c = F.col("_a"), F.col("_b"), F.col("_c")
+    middle, spread, angle = (a + c) / 2, F.sqrt((a - c) * (a - c) / 4 + off * off), F.atan2(2 * off, a - c) / 2
+    s = s.withColumn("_angle", angle)
+    first = [F.cos("_angle") * x + F.sin("_angle") * y for x, y in zip(vec3("cd1"), vec3("cd2"))]
+    second = [F.cos("_angle") * y - F.sin("_angle") * x for x, y in zip(vec3("cd1"), vec3("cd2"))]
+    return s.select(
+        M, F.col("src").alias("v"), (middle + spread).alias("k1"), (middle - spread).alias("k2"),
+        *[e.alias(f"d{j}{k}") for j, vec in ((1, first), (2, second)) for e, k in zip(vec, "xyz")],
+    )
+
+
+def _face_pass(places: DataFrame, faces: DataFrame, corners: DataFrame, across: DataFrame, sigma: float, planes: DataFrame | None, width: float) -> DataFrame:
+    """One pass of the bilateral filter: faces near a vertex give it their centre, or its foot on their plane."""
+    at = {n: corners.select(M, F.col("v").alias(f"v{i}"), *[F.col(k).alias(f"{n}{k}") for k in "xyz"]) for i, n in enumerate("abc")}
+    g = faces
+    for i, n in enumerate("abc"):
+        g = g.join(at[n], [M, f"v{i}"])
+    normal = cross3(sub3(vec3("b"), vec3("a")), sub3(vec3("c"), vec3("a")))
+    centre = [((F.col(f"a{k}") + F.col(f"b{k}") + F.col(f"c{k}")) / 3).alias(f"g{k}") for k in "xyz"]
+    g = g.select(M, F.col("face").alias("node"), *centre, (F.sqrt(dot3(normal, normal)) / 2).alias("area"))
+    if planes is not None:
+        g = g.join(planes, [M, "node"])
+    g = cut(g)
+    src = places.select(M, F.col("v").alias("src"), *[F.col(k).alias(f"o{k}") for k in "xyz"])
+    gap = sub3(vec3("o"), vec3("g"))
+    d2 = dot3(gap, gap)
+    start = faces.select(M, F.explode(F.array("v0", "v1", "v2")).alias("src"), F.col("face").alias("node")).distinct()
+    steps = across.select(M, F.col("face").alias("i"), F.col("nbr").alias("j")).filter(F.col("j").isNotNull())
+    rows = _gated_walk(start, steps, src, g, d2 < 9.0 * sigma * sigma).join(g, [M, "node"]).join(src, [M, "src"])
+    w = F.exp(-0.5 * d2 / (sigma * sigma)) * F.col("area")
+    target = list(vec3("g"))
+    if planes is not None:
+        height = dot3(gap, vec3("f"))
+        w = w * F.when(height * height < 9.0 * width * width, F.exp(-0.5 * height * height / (width * width))).otherwise(0.0)
+        target = [o - height * n for o, n in zip(vec3("o"), vec3("f"))]
+    new = rows.groupBy(M, "src").agg(*[weighted_mean(t, w).alias(f"_{k}") for t, k in zip(target, "xyz")])
+    kept = places.join(new.withColumnRenamed("src", "v"), [M, "v"], "left")
+    return kept.select(M, "v", *[F.coalesce(f"_{k}", k).alias(k) for k in "xyz"])
+
+
+def bilateral_smooth(vertices: DataFrame, faces: DataFrame, across: DataFrame, sigma: float, width: float) -> DataFrame:
+    """``(mesh_id, v, x, y, z)`` smoothed while edges stay.
+
+    First every vertex moves to the mean of near face centres, by a Gaussian of ``sigma / 2`` and area; this only
+    steadies the planes of the faces.  Then it moves to the mean of its feet on those planes, by a Gaussian of ``sigma`` in the
+    distance to the original face and one of ``width`` in the distance to the plane.  ``across(mesh_id, face, nbr)`` are face
+    neighbours.  Both passes read unmoved vertices; a vertex without any near face stays.
+    """
+    base = vertices.select(M, "v", "x", "y", "z")
+    steady = cut(_face_pass(base, faces, base, across, sigma / 2, None, width))
+    g = faces
+    for i, n in enumerate("abc"):
+        g = g.join(steady.select(M, F.col("v").alias(f"v{i}"), *[F.col(k).alias(f"{n}{k}") for k in "xyz"]), [M, f"v{i}"])
+    normal = cross3(sub3(vec3("b"), vec3("a")), sub3(vec3("c"), vec3("a")))
+    size = F.sqrt(dot3(normal, normal))
+    planes = g.select(M, F.col("face").alias("node"), *[F.coalesce(F.try_divide(c, size), F.lit(0.0)).alias(f"f{k}") for c, k in zip(normal, "xyz")])
+    return _face_pass(steady, faces, base, across, sigma, cut(planes), width)

@@ -78,18 +78,18 @@ def medians(df, group: list[str], value: str, **kw) -> DataFrame:
 
 
 def weighted_medians(df, group: list[str], value: str, weight: Column, share: float = 0.5, **kw) -> DataFrame:
-    """First value, in ascending order, whose cumulative weight share reaches ``share``."""
+    """First value, in ascending order, whose cumulative weight share reaches ``share``; no row for a group of weight 0."""
     cum = cumulate(df, group, value, {"w": weight}, **kw)
-    reached = F.col("cum_w") / F.col("total_w") >= share
+    reached = F.try_divide("cum_w", "total_w") >= share
     return cum.filter(reached).groupBy(*group).agg(F.min(value).alias("weighted_median"))
 
 
 def quantile_crossings(
     df, group: list[str], value: str, weight: Column, shares: dict[str, float], **kw
 ) -> DataFrame:
-    """Value at which the cumulative weight share first reaches each of ``shares``."""
+    """Value at which the cumulative weight share first reaches each of ``shares``; NULL in a group of weight 0."""
     cum = cumulate(df, group, value, {"w": weight}, **kw)
-    reached = F.col("cum_w") / F.col("total_w")
+    reached = F.try_divide("cum_w", "total_w")
     return cum.groupBy(*group).agg(
         *[F.min(F.when(reached >= s, F.col(value))).alias(name) for name, s in shares.items()]
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from facetry.operators import approximate, cells, descriptors, edges, hops, mesh, neighbours, spatial
-from facetry.plans.meshes import EDGES, GEO, M, NORMALS, VE, face_edges, faces, geometry, rounded, vertex_edges, vertices
+from facetry.plans.meshes import EDGES, GEO, M, NORMALS, VE, curvature_tables, face_edges, faces, geometry, rounded, vertex_edges, vertices
 from facetry.plans.registry import query
 from facetry.session import cut
 
@@ -227,6 +229,55 @@ DIFFUSE = EDGES.replace(GEO, NORMALS) + VE + """, va AS (SELECT mesh_id, v, sum(
               JOIN fa a ON a.mesh_id = w.mesh_id AND a.v = src JOIN fa b ON b.mesh_id = w.mesh_id AND b.v = node)"""
 
 
+#: The same walk with the normals of both ends.
+DIFFUSE_ENDS = re.sub(r"\bfa\b", "fq", DIFFUSE).replace(
+    "src, b.z,", "src, node, b.nx AS bx, b.ny AS b_y, b.nz AS bz, a.nx AS ox, a.ny AS oy, a.nz AS oz,"
+)
+
+
+@query(
+    "diffuse_normals",
+    f"""WITH RECURSIVE {DIFFUSE_ENDS}, s AS (SELECT mesh_id, src AS v, sum(w*bx) AS x, sum(w*b_y) AS y, sum(w*bz) AS z FROM ww GROUP BY ALL)
+        SELECT mesh_id, v, round(x/sqrt(x*x+y*y+z*z), 6) AS nx, round(y/sqrt(x*x+y*y+z*z), 6) AS ny, round(z/sqrt(x*x+y*y+z*z), 6) AS nz FROM s""",
+)
+def diffuse_normals(t):
+    g = cut(geometry(t))
+    out = spatial.diffuse_normals(vertices(t), cut(mesh.vertex_normals(g)), mesh.vertex_areas(g), cut(mesh.vertex_neighbours(faces(t))), 0.5)
+    return rounded(out, [M, "v"], nx="nx", ny="ny", nz="nz")
+
+
+def _dot3(a, b):
+    return " + ".join(f"{p}*{q}" for p, q in zip(a, b))
+
+
+def diffused_curvature_sql() -> str:
+    """Means of world tensors, each turned by the rotation between the normals; curvatures are invariants."""
+    six, three = [(i, j) for i in range(3) for j in range(i, 3)], range(3)
+    n, f = ["bx", "b_y", "bz"], ["ox", "oy", "oz"]
+    x = [f"{n[1]}*{f[2]} - {n[2]}*{f[1]}", f"{n[2]}*{f[0]} - {n[0]}*{f[2]}", f"{n[0]}*{f[1]} - {n[1]}*{f[0]}"]
+    skew = {(0, 1): "-x2", (0, 2): "x1", (1, 0): "x2", (1, 2): "-x0", (2, 0): "-x1", (2, 1): "x0"}
+    rotation = ", ".join(f"{'t' if i == j else skew[i, j]} + x{i}*x{j}/(1 + t) AS r{i}{j}" for i in three for j in three)
+    turned = {
+        (i, j): " + ".join(f"r{i}{k}*m{min(k, m)}{max(k, m)}*r{j}{m}" for k in three for m in three) for i, j in six
+    }
+    start = curvature_tables().replace(f"WITH {NORMALS}", f"WITH RECURSIVE {DIFFUSE_ENDS}")
+    return start + f""",
+      ww1 AS (SELECT *, {_dot3(n, f)} AS t, {", ".join(f"{e} AS x{k}" for k, e in enumerate(x))} FROM ww),
+      ww2 AS (SELECT ww1.mesh_id, src, w, {rotation}, me.* EXCLUDE (mesh_id, v) FROM ww1 JOIN me ON me.mesh_id = ww1.mesh_id AND me.v = node),
+      ww3 AS (SELECT mesh_id, src AS v, {", ".join(f"sum(w*({e}))/sum(w) AS s{i}{j}" for (i, j), e in turned.items())} FROM ww2 GROUP BY ALL),
+      ww4 AS (SELECT mesh_id, v, s00+s11+s22 AS tr2, s00*s11 - s01^2 + s00*s22 - s02^2 + s11*s22 - s12^2 AS mi2 FROM ww3)
+      SELECT mesh_id, v, round(tr2/2 + sqrt(greatest(tr2*tr2/4 - mi2, 0)), 5) AS k1, round(tr2/2 - sqrt(greatest(tr2*tr2/4 - mi2, 0)), 5) AS k2 FROM ww4"""
+
+
+@query("diffuse_curvatures", diffused_curvature_sql())
+def diffuse_curvatures(t):
+    g = cut(geometry(t))
+    vn = cut(mesh.vertex_normals(g))
+    k = cut(mesh.principal_curvatures(g, vn))
+    out = spatial.diffuse_curvatures(vertices(t), vn, mesh.vertex_areas(g), cut(mesh.vertex_neighbours(faces(t))), k, 0.5)
+    return out.select(M, "v", R("k1", 5).alias("k1"), R("k2", 5).alias("k2"))
+
+
 @query("diffuse_field", f"WITH RECURSIVE {DIFFUSE} SELECT mesh_id, src AS v, round(sum(w*z)/sum(w), 6) AS z FROM ww GROUP BY ALL")
 def diffuse_field(t):
     g = cut(geometry(t))
