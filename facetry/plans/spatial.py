@@ -278,6 +278,44 @@ def diffuse_curvatures(t):
     return out.select(M, "v", R("k1", 5).alias("k1"), R("k2", 5).alias("k2"))
 
 
+def bilateral_sql(sigma: float, width: float) -> str:
+    """Both passes of the filter, each over the faces that a walk across edges meets near a vertex."""
+
+    def walk(name: str, places: str, reach: float) -> str:
+        near = f"(p.x-g.gx)^2 + (p.y-g.gy)^2 + (p.z-g.gz)^2 < {9 * reach * reach}"
+        join = f"JOIN {places} p ON p.mesh_id = s.mesh_id AND p.v = s.v JOIN ge g ON g.mesh_id = s.mesh_id AND g.face = s.face WHERE {near}"
+        return f"""{name} AS (SELECT s.mesh_id, s.v, s.face FROM b0 s {join}
+          UNION SELECT s.mesh_id, s.v, s.face FROM (SELECT {name}.mesh_id, {name}.v, nbr AS face FROM {name}
+            JOIN ac ON ac.mesh_id = {name}.mesh_id AND ac.face = {name}.face AND nbr IS NOT NULL) s {join})"""
+
+    return f"""WITH RECURSIVE {EDGES}, b0 AS (SELECT DISTINCT mesh_id, unnest([v0, v1, v2]) AS v, face FROM ge),
+      {walk("w1", "vx", sigma / 2)},
+      k1 AS (SELECT w1.mesh_id, w1.v, g.gx, g.gy, g.gz, area * exp(-0.5*((p.x-g.gx)^2 + (p.y-g.gy)^2 + (p.z-g.gz)^2)/{sigma * sigma / 4}) AS w
+             FROM w1 JOIN vx p ON p.mesh_id = w1.mesh_id AND p.v = w1.v JOIN ge g ON g.mesh_id = w1.mesh_id AND g.face = w1.face),
+      m1 AS (SELECT mesh_id, v, sum(w*gx)/sum(w) AS x, sum(w*gy)/sum(w) AS y, sum(w*gz)/sum(w) AS z FROM k1 GROUP BY ALL),
+      sv AS (SELECT vx.mesh_id, vx.v, coalesce(m1.x, vx.x) AS x, coalesce(m1.y, vx.y) AS y, coalesce(m1.z, vx.z) AS z
+             FROM vx LEFT JOIN m1 ON m1.mesh_id = vx.mesh_id AND m1.v = vx.v),
+      fe AS (SELECT fc.mesh_id, fc.face, b.x-a.x AS px, b.y-a.y AS py, b.z-a.z AS pz, c.x-a.x AS qx, c.y-a.y AS qy, c.z-a.z AS qz FROM fc
+             JOIN sv a ON a.mesh_id = fc.mesh_id AND a.v = v0 JOIN sv b ON b.mesh_id = fc.mesh_id AND b.v = v1 JOIN sv c ON c.mesh_id = fc.mesh_id AND c.v = v2),
+      fx AS (SELECT mesh_id, face, py*qz-pz*qy AS ex, pz*qx-px*qz AS ey, px*qy-py*qx AS ez FROM fe),
+      {walk("w2", "sv", sigma)},
+      k2 AS (SELECT w2.mesh_id, w2.v, p.x, p.y, p.z, ex/l AS ex, ey/l AS ey, ez/l AS ez, area * exp(-0.5*((p.x-g.gx)^2 + (p.y-g.gy)^2 + (p.z-g.gz)^2)/{sigma * sigma}) AS w,
+               ((p.x-g.gx)*ex + (p.y-g.gy)*ey + (p.z-g.gz)*ez)/l AS h
+             FROM w2 JOIN sv p ON p.mesh_id = w2.mesh_id AND p.v = w2.v JOIN ge g ON g.mesh_id = w2.mesh_id AND g.face = w2.face
+             JOIN (SELECT *, sqrt(ex*ex + ey*ey + ez*ez) AS l FROM fx) n ON n.mesh_id = w2.mesh_id AND n.face = w2.face),
+      k3 AS (SELECT *, CASE WHEN h*h < {9 * width * width} THEN w * exp(-0.5*h*h/{width * width}) ELSE 0 END AS u FROM k2),
+      m2 AS (SELECT mesh_id, v, sum(u*(x-h*ex))/sum(u) AS x, sum(u*(y-h*ey))/sum(u) AS y, sum(u*(z-h*ez))/sum(u) AS z FROM k3 GROUP BY ALL HAVING sum(u) > 0)
+      SELECT sv.mesh_id, sv.v, round(coalesce(m2.x, sv.x), 6) AS x, round(coalesce(m2.y, sv.y), 6) AS y, round(coalesce(m2.z, sv.z), 6) AS z
+      FROM sv LEFT JOIN m2 ON m2.mesh_id = sv.mesh_id AND m2.v = sv.v"""
+
+
+@query("bilateral_smooth", bilateral_sql(1.0, 0.3))
+def bilateral_smooth(t):
+    f = faces(t)
+    out = spatial.bilateral_smooth(vertices(t), f, cut(mesh.across_edges(f)), 1.0, 0.3)
+    return rounded(out, [M, "v"], x="x", y="y", z="z")
+
+
 @query("diffuse_field", f"WITH RECURSIVE {DIFFUSE} SELECT mesh_id, src AS v, round(sum(w*z)/sum(w), 6) AS z FROM ww GROUP BY ALL")
 def diffuse_field(t):
     g = cut(geometry(t))
