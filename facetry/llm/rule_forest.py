@@ -2,7 +2,7 @@
 
 Fixed rules fail texts of few words or much repetition.  On the rest an isolation forest decides: its
 trees split the statistics of a bounded sample of well-labelled texts at random, a text that ends on
-short paths is an anomaly, and the threshold on the anomaly score is calibrated on labelled rows.
+short paths is an anomaly, and the threshold on the anomaly score is calibrated on all labelled rows.
 
 Null and empty texts have zero words and fail the base rules; a null id stays null; repeated rows give
 repeated results; other columns are ignored.  Without labels the forest rejects nothing.
@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from facetry.llm.common import blocks, nullable_ids, texts
 from facetry.llm.textscan import SPACE, Scan, mix, windows
-from facetry.session import cut
+from facetry.session import cut, forget
 
-#: Bounds of what is collected to fit the forest and to calibrate it.
-FIT_ROWS = 8192
-CALIBRATION_ROWS = 20_000
+#: About so many rows are collected to fit the forest; all labelled rows calibrate it, as counts per level of the score.
+FIT_ROWS, LEVELS = 8192, 10_000
 TREES, SUBSAMPLE = 100, 256
 #: Share of well-labelled rows that calibration must keep.
 KEEP_GOOD = 0.995
@@ -176,38 +175,69 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(self.usual, 1e-9))
 
     def calibrate(self, x: np.ndarray, good: np.ndarray, keep_good: float = KEEP_GOOD) -> Forest:
-        """Set the threshold of best balanced accuracy among those that keep ``keep_good`` of the good rows."""
-        if not len(x) or good.all() or not good.any():
+        """Set the threshold from labelled rows at hand."""
+        level, of_row = np.unique(score_levels(self.score(x)), return_inverse=True)
+        kept, gone = (np.bincount(of_row[pick], minlength=len(level)) for pick in (good, ~good))
+        return self.calibrate_counts(level, kept, gone, keep_good)
+
+    def calibrate_counts(self, level: np.ndarray, good: np.ndarray, bad: np.ndarray, keep_good: float = KEEP_GOOD) -> Forest:
+        """Set the threshold of best balanced accuracy among those that keep ``keep_good`` of the good rows.
+
+        ``good`` and ``bad`` count the rows at each level of the score, in ascending order.
+        """
+        if not good.sum() or not bad.sum():
             self.threshold = 1.0
             return self
-        s = self.score(x)
-        least = np.quantile(s[good], keep_good, method="higher")
-        levels = np.unique(np.append(s[s >= least], least))
-        missed = np.searchsorted(np.sort(s[~good]), levels, "right") / (~good).sum()
-        kept = np.searchsorted(np.sort(s[good]), levels, "right") / good.sum()
-        self.threshold = float(levels[np.argmax(kept - missed)])
+        kept, missed = np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
+        gain = np.where(kept >= keep_good, kept - missed, -np.inf)
+        self.threshold = float(level[np.argmax(gain)]) / LEVELS
         return self
 
 
+def score_levels(score: np.ndarray) -> np.ndarray:
+    """Scores rounded up to whole parts of ``1 / LEVELS``."""
+    return np.ceil(score * LEVELS).astype(np.int64)
+
+
 def base_failed(stats: pd.DataFrame) -> pd.Series:
     return (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > MAX_REPEAT_PERCENT * stats["n_words"])
 
 
+def _sample(stats: DataFrame, rows: int) -> pd.DataFrame:
+    """About ``rows`` of the distinct rows, by a share of the hash range that follows from their number."""
+    columns = ["doc_id", *COUNTS, *SHAPE]
+    total = stats.count()
+    place = F.xxhash64(*columns) / F.lit(2.0**64) + 0.5
+    some = stats.select(columns).filter(place <= min(1.0, rows / max(total, 1))).distinct().toPandas()
+    return some.sort_values(columns, ignore_index=True)
+
+
 def fit_forest(stats: DataFrame, labels: DataFrame | None, key: str = "doc_id") -> Forest:
-    """Fit on well-labelled rows (on any rows if there are none) and calibrate on labelled rows."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    """Fit on a bounded sample of well-labelled rows (of any rows if there are none), calibrate on all labelled rows."""
     marked = None
     if labels is not None:
         mark = labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull())
         mark = mark.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-        marked = stats.join(mark, "doc_id").orderBy(*order).limit(CALIBRATION_ROWS).toPandas()
-        marked = marked[~base_failed(marked)]  # the forest decides on the rest only
-        good = (marked["quality"] == 1).to_numpy(bool)
-    if marked is None or not good.any():
-        rows = stats.orderBy(*order).limit(FIT_ROWS).toPandas()
+        failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+        # the forest decides on the rest only
+        marked = cut(stats.join(mark, "doc_id").filter(~failed).withColumn("good", F.col("quality") == 1).drop("quality"))
+    rows = None if marked is None else _sample(marked.filter("good"), FIT_ROWS)
+    if rows is None or not len(rows):
+        rows = _sample(stats, FIT_ROWS)
         return Forest.fit(features(rows)) if len(rows) else Forest.fit(np.zeros((2, 8)))
-    x = features(marked)
-    return Forest.fit(x[good][:FIT_ROWS]).calibrate(x, good)
+    forest = Forest.fit(features(rows))
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"level": score_levels(forest.score(features(pdf))), "good": pdf["good"]})
+
+    # at most LEVELS rows of each label reach the driver
+    counts = marked.mapInPandas(run, "level long, good boolean").groupBy("level").agg(
+        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+    ).orderBy("level").toPandas()
+    forget(marked)
+    return forest.calibrate_counts(counts["level"].to_numpy(), counts["good"].to_numpy(), counts["bad"].to_numpy())
 
 
 def judge(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text") -> DataFrame:

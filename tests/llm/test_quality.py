@@ -58,6 +58,18 @@ def test_forest_sets_outliers_apart():
     assert kept[good].mean() >= rule_forest.KEEP_GOOD and not kept[~good].any()
 
 
+def test_calibration_by_counts_is_the_best_allowed_threshold():
+    rng = np.random.default_rng(5)
+    forest = rule_forest.Forest.fit(rng.standard_normal((500, 3)))
+    good, bad = rng.integers(3000, 6000, 400), rng.integers(4500, 9000, 60)
+    levels = np.unique(np.r_[good, bad])
+    counts = [np.array([(x == level).sum() for level in levels]) for x in (good, bad)]
+    forest.calibrate_counts(levels, *counts, keep_good=0.9)
+    gain = {t: (good <= t).mean() - (bad <= t).mean() for t in levels if (good <= t).mean() >= 0.9}
+    assert gain[round(forest.threshold * rule_forest.LEVELS)] == max(gain.values())
+    assert rule_forest.Forest.fit(np.zeros((2, 3))).calibrate_counts(levels, counts[0], 0 * counts[1]).threshold == 1.0
+
+
 @tables
 def test_rule_forest_keeps_good_documents(spark):
     got = queries.op7_rule_forest(spark, FOLDER).join(table(spark, FOLDER, "labels"), "doc_id")
