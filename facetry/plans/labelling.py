@@ -153,28 +153,33 @@ def problem(t):
         F.lit(0).alias("g"), col("vec_id").alias("site"), col("class").alias("label"), (-col("score")).alias("cost")
     )
     labeling = t.embeddings.select(F.lit(0).alias("g"), col("vec_id").alias("site"), "label")
-    edges = energy.single_edges(sym3(t).withColumn("g", F.lit(0)), ["g"])
     sets = labeling.select("label").distinct().select(
         (col("label") % 3).alias("set_id"), "label", (1.0 + col("label") % 3).alias("cost")
     )
-    return data, labeling, edges, sets
+    return data, labeling, sets
+
+
+def problem_edges(t):
+    """Neighbour graph of the problem; searched only by the energies that it enters."""
+    return energy.single_edges(sym3(t).withColumn("g", F.lit(0)), ["g"])
 
 
 @query("data_energy", f"WITH {ENERGY} SELECT round(e, 4) AS data FROM de")
 def data_energy(t):
-    data, labeling, _, _ = problem(t)
+    data, labeling, _ = problem(t)
     return energy.data_energy(labeling, data, ["g"]).select(R("data", 4).alias("data"))
 
 
 @query("smooth_energy", f"WITH {ENERGY} SELECT round(e, 4) AS smooth FROM se")
 def smooth_energy(t):
-    _, labeling, edges, _ = problem(t)
+    _, labeling, _ = problem(t)
+    edges = problem_edges(t)
     return energy.smooth_energy(labeling, edges, energy.potts(0.5), ["g"]).select(R("smooth", 4).alias("smooth"))
 
 
 @query("label_energy", f"WITH {ENERGY} SELECT e::DOUBLE AS label_cost FROM le")
 def label_energy(t):
-    _, labeling, _, sets = problem(t)
+    _, labeling, sets = problem(t)
     return energy.label_energy(labeling, sets, ["g"]).select("label_cost")
 
 
@@ -184,8 +189,8 @@ def label_energy(t):
         round(de.e + se.e + le.e, 4) AS energy FROM de, se, le""",
 )
 def total_energy(t):
-    data, labeling, edges, sets = problem(t)
-    out = energy.total_energy(labeling, data, edges, energy.potts(0.5), ["g"], sets)
+    data, labeling, sets = problem(t)
+    out = energy.total_energy(labeling, data, problem_edges(t), energy.potts(0.5), ["g"], sets)
     return out.select(*[R(c, 4).alias(c) for c in ("data_energy", "smooth_energy", "label_energy", "energy")])
 
 
@@ -205,14 +210,14 @@ def argmin_label(t):
         SELECT label FROM s QUALIFY row_number() OVER (ORDER BY c, label) = 1""",
 )
 def cheapest_single_label(t):
-    data, _, _, _ = problem(t)
+    data, _, _ = problem(t)
     return energy.cheapest_single_label(data, ["g"]).select("label")
 
 
 @query("greedy_labels")
 def greedy_labels(t):
     """Labels worth their fixed cost, and every site's cheapest one among them."""
-    data, _, _, sets = problem(t)
+    data, _, sets = problem(t)
     data = cut(data)
     single = sets.select(col("label").alias("set_id"), "label", F.lit(3.0).alias("cost"))
     chosen, _ = energy.greedy_labels(data.drop("g"), single)
