@@ -119,14 +119,14 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, group: list[str], per_cell:
         met = asked.join(listed, [*group, *_CELL]).filter(F.coalesce(F.col("_t.face") != F.col("_r.skip"), F.lit(True)))
         if compatible is not None:
             met = met.filter(compatible(F.col("_r"), F.col("_t")))
-        # o + d * line = a + u * (b - a) + v * (c - a), solved by Cramer's rule
+        # o + d * line = a + u * (b - a) + v * (c - a), solved by Cramer's rule.  On a shared edge the last bit decides which
+        # triangle is met, so products are formed as the SQL forms them: from line x (c - a) and (o - a) x (b - a).
         e1, e2, s = sub3(b, a), sub3(c, a), sub3(o, a)
-        back = tuple(-x for x in line)
-        det = dot3(back, cross3(e1, e2))
-        met = met.withColumn("_det", det).filter(F.abs("_det") >= EPSILON)
-        u, v = dot3(back, cross3(s, e2)) / F.col("_det"), dot3(back, cross3(e1, s)) / F.col("_det")
-        met = met.filter((u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1))
-        met = met.select(*ids, (dot3(s, cross3(e1, e2)) / F.col("_det")).alias("d"), F.col("_t.face").alias("face"))
+        p, q = cross3(line, e2), cross3(s, e1)
+        met = met.withColumn("_det", dot3(p, e1)).filter(F.abs("_det") >= EPSILON)
+        det, u, v = F.col("_det"), dot3(s, p), dot3(line, q)
+        met = met.filter((u / det).between(0, 1) & (v / det >= 0) & ((u + v) / det <= 1))
+        met = met.select(*ids, (dot3(e2, q) / det).alias("d"), F.col("_t.face").alias("face"))
         hits = met.filter(F.col("d") > 0).groupBy(*ids).agg(best)
         state = cut(waiting.withColumn("t1", reach).join(hits, ids, "left"))
         # a triangle may be met in a cell and hit beyond it, where others were not met yet
