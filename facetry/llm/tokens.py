@@ -3,7 +3,8 @@
 A text whose only white space is single spaces and newlines is cut before every space and around every
 newline, and a final comma or full stop is cut off a letter (if the tokenizer cuts there after that letter).  Both vocabularies used here split texts at such
 places anyway, so the ids of the units, joined, are the ids of the whole text; a unit that was met before is
-looked up.  Any other text is encoded whole.
+looked up.  Units are numbered once for all texts of a call, so only different ones are looked up, and ids are put
+together by taking from one array.  Any other text is encoded whole.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Units a Python worker keeps in each of two generations; when the younger one is full, the older one goes.
 CACHE_UNITS = 250_000
@@ -44,15 +46,35 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-_BYTE_LETTERS = _byte_letters()
+# words hold no newline, so many of them are spelled at once, a newline between them
+_SPELLED = np.array([ord(_byte_letters().get(b, chr(b))) if b != 10 else 10 for b in range(256)], "<u2")
 
 
-def _as_written(unit: str) -> str:
-    return unit.encode().decode("latin-1").translate(_BYTE_LETTERS)
+def _spelled(words: str) -> list[str]:
+    return _SPELLED[np.frombuffer(words.encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n")
 
 
-def _folded(unit: str) -> str:
-    return unit.strip(" ").lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+def _as_written(words: list[str]) -> list[str]:
+    return _spelled("\n".join(words))
+
+
+def _folded(words: list[str]) -> list[str]:
+    return _spelled("\n".join(words).replace(" ", "").lower())
+
+
+def _units(texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Number of every unit, the different units by number, and how many units lie before each text and at the end."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    newline = data == 10
+    first = newline | (data == 32)
+    first[1:] |= newline[:-1]
+    first[ends[:-1][ends[:-1] < len(data)]] = True
+    first[:1] = True
+    begin = np.flatnonzero(first)
+    offsets = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
+    units = pa.LargeStringArray.from_buffers(len(begin), offsets, pa.py_buffer(data)).dictionary_encode()
+    return units.indices.to_numpy(), units.dictionary.to_numpy(zero_copy_only=False).tolist(), np.searchsorted(begin, np.append(0, ends))
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,7 +99,7 @@ class Encoder:
         self.marks = {m: self._alone([m])[0] for m in ",."}
         # single words can go to the merge rules directly, in the spelling this vocabulary uses for them
         self.model, probes = self.tokenizer.model, [" Hello", "\u00dcber", " stra\u00dfe", " x", "Q"]
-        fits = lambda f: all(self._word(f(u)) == self._alone([u])[0] for u in probes)
+        fits = lambda f: [self._word(u) for u in f(probes)] == self._alone(probes)
         self.spelling = next((f for f in (_as_written, _folded) if fits(f)), None)
 
     def _word(self, letters: str) -> bytes:
@@ -108,55 +130,51 @@ class Encoder:
             out += [ids[a:b] for a, b in zip(begin.tolist(), end.tolist())]
         return out
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of units that the younger generation lacks."""
-        again, fresh, tailed = {}, set(), []
-        for u in missing:
-            known = self.old.get(u)
-            if known is not None:
-                again[u] = known
-            elif u[-1:] in (",", ".") and self._ends_word(u[-2:-1]):
-                tailed.append(u)
-                base = u[:-1]
-                known = self.young.get(base) or self.old.get(base)
-                if known is None:
-                    fresh.add(base)
-                elif base not in self.young:
-                    again[base] = known
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of different units that the younger generation lacks."""
+        known = list(map(self.old.get, missing))
+        again = {u: k for u, k in zip(missing, known) if k is not None}
+        rest = [u for u, k in zip(missing, known) if k is None]
+        tailed = [u for u in rest if u[-1] in ",." and self._ends_word(u[-2:-1])]
+        fresh = set(rest).difference(tailed)
+        for base in {u[:-1] for u in tailed}.difference(self.young):
+            if base in self.old:
+                again[base] = self.old[base]
             else:
-                fresh.add(u)
-        fresh -= again.keys()
-        plain = [u for u in fresh if u and u != "\n"]
-        if self.spelling is not None:
-            words = [u for u in plain if _LATIN.fullmatch(u)]
-            plain = [u for u in plain if not _LATIN.fullmatch(u)]
-            again.update((u, self._word(self.spelling(u))) for u in words)
+                fresh.add(base)
+        words, plain = [], []
+        for u in fresh:
+            (words if self.spelling is not None and _LATIN.fullmatch(u) else plain).append(u)
+        if words:
+            again.update(zip(words, map(self._word, self.spelling(words))))
+        if "\n" in fresh:
+            plain.remove("\n")
+            again["\n"] = self._alone(["\n"])[0]
         again.update(zip(plain, self._together(plain)))
-        again.update((u, self._alone([u])[0]) for u in fresh if not u or u == "\n")
         for u in tailed:
-            base = again.get(u[:-1])
-            again[u] = (self.young[u[:-1]] if base is None else base) + self.marks[u[-1]]
+            base = u[:-1]
+            again[u] = (again[base] if base in again else self.young[base]) + self.marks[u[-1]]
         return again
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         whole = [_whole(t) for t in texts]
         alone = iter(self._alone([t for t, w in zip(texts, whole) if w]))
-        cut = [
-            [] if w else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, w in zip(texts, whole)
-        ]
-        flat = [u for units in cut for u in units]
-        found = list(map(self.young.get, flat))
+        number, units, before = _units([b"" if w else t.encode() for t, w in zip(texts, whole)])
+        found = list(map(self.young.get, units))
         if None in found:
-            again = self._learn({u for u, v in zip(flat, found) if v is None})
-            found = [again[u] if v is None else v for u, v in zip(flat, found)]
+            again = self._learn([u for u, v in zip(units, found) if v is None])
+            found = [again[u] if v is None else v for u, v in zip(units, found)]
             if len(self.young) + len(again) > CACHE_UNITS:
                 self.old, self.young = self.young, {}
             self.young.update(again)
-        out, at = [], 0
-        for units, w in zip(cut, whole):
-            out.append(next(alone) if w else b"".join(found[at : at + len(units)]))
-            at += len(units)
-        return out
+        # the ids of a unit lie at ``at`` in ``ids``, ``n`` of them; every unit of every text takes its own
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, n = (np.cumsum(n) - n)[number], n[number]
+        ends = np.cumsum(np.append(0, n))
+        taken = ids[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[before]).tolist()
+        return [next(alone) if w else taken[a:b] for w, a, b in zip(whole, bounds[:-1], bounds[1:])]
 
 
 @lru_cache(maxsize=2)

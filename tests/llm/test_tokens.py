@@ -117,3 +117,19 @@ def test_packing(docs, rows, room, monkeypatch):
     used = check_packing(got, room)
     total = sum(g.length for g in got)
     assert used <= -(-total // room) * 1.25 + 1
+
+
+def test_repeated_units_are_looked_up_once_a_call():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    e = tokens.Encoder(tokens.tokenizer_path(VOCABULARIES[0]))
+    e.young, e.old = Counted(), Counted()
+    texts = ["the sea the sky\nthe end, the sky. Über größe!" * 50, "", "the sky", "\n", " the\n"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == [x.tolist() for x in whole(VOCABULARIES[0], texts)]
+    assert Counted.asked < 50
+    assert e.encode_all([]) == [] and e.encode_all(["", ""]) == [b"", b""]
