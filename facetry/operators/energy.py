@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.operators.mincut import REGION_NODES, min_cut
-from facetry.session import cut
+from facetry.session import cut, dealt
 
 Pairwise = Callable[[Column, Column], Column]
 
@@ -55,14 +55,14 @@ def argmin_labels(data_cost: DataFrame, group: list[str]) -> DataFrame:
 
 def data_energy(labeling: DataFrame, data_cost: DataFrame, group: list[str]) -> DataFrame:
     """A site whose label has no cost row costs the infeasible amount."""
-    rows = labeling.join(data_cost, [*group, "site", "label"], "left")
+    rows = labeling.join(dealt(data_cost), [*group, "site", "label"], "left")
     return rows.groupBy(*group).agg(F.sum(F.coalesce("cost", F.lit(INFEASIBLE))).alias("data"))
 
 
 def _pair_labels(labeling: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
     a = labeling.select(*group, F.col("site").alias("i"), F.col("label").alias("li"))
     b = labeling.select(*group, F.col("site").alias("j"), F.col("label").alias("lj"))
-    return edges.join(a, [*group, "i"]).join(b, [*group, "j"])
+    return edges.join(dealt(a), [*group, "i"]).join(dealt(b), [*group, "j"])
 
 
 def smooth_energy(labeling: DataFrame, edges: DataFrame, pairwise: Pairwise, group: list[str]) -> DataFrame:
@@ -121,7 +121,7 @@ def check_terms(data_cost: DataFrame, edges: DataFrame, pairwise: Pairwise, labe
 
 def _cost_of(sites: DataFrame, data_cost: DataFrame, label: Column, out: str, group: list[str]) -> DataFrame:
     cost = data_cost.select(*group, "site", F.col("label").alias("_l"), F.col("cost").alias(out))
-    rows = sites.withColumn("_l", label).join(cost, [*group, "site", "_l"], "left").drop("_l")
+    rows = sites.withColumn("_l", label).join(dealt(cost), [*group, "site", "_l"], "left").drop("_l")
     return rows.withColumn(out, F.coalesce(F.col(out), F.lit(INFEASIBLE)))
 
 
@@ -158,7 +158,7 @@ def swap_move(labeling, data_cost, edges, pairwise, group, alpha, beta, region_n
         (w * pairwise(b, a)).alias("e10"), (w * pairwise(b, b)).alias("e11"),
     )
     side = _solve(sites, pairs, group, region_nodes)
-    new = labeling.join(side, [*group, "site"], "left")
+    new = labeling.join(dealt(side), [*group, "site"], "left")
     chosen = F.when(F.col("one"), b).when(~F.col("one"), a).otherwise(F.col("label"))
     return new.select(*group, "site", chosen.cast("int").alias("label"))
 
@@ -175,7 +175,7 @@ def expansion_move(labeling, data_cost, edges, pairwise, group, alpha, region_no
     if label_cost is not None:
         sites, pairs = _with_label_costs(labeling, label_cost, sites, pairs, group, alpha)
     side = _solve(sites, pairs, group, region_nodes)
-    new = labeling.join(side, [*group, "site"])
+    new = labeling.join(dealt(side), [*group, "site"])
     return new.select(*group, "site", F.when(F.col("one"), F.col("label")).otherwise(a).cast("int").alias("label"))
 
 
@@ -206,7 +206,7 @@ def _keep_better(old, old_e, new, data_cost, edges, pairwise, group, label_cost)
     """Per problem, take the new labelling only where the energy dropped."""
     new_e = _energy(new, data_cost, edges, pairwise, group, label_cost).withColumnRenamed("energy", "_new")
     verdict = cut(old_e.join(new_e, group).withColumn("_better", F.col("_new") < F.col("energy") - 1e-9))
-    both = old.join(new.withColumnRenamed("label", "_l"), [*group, "site"]).join(verdict.select(*group, "_better"), group)
+    both = old.join(dealt(new.withColumnRenamed("label", "_l")), [*group, "site"]).join(verdict.select(*group, "_better"), group)
     picked = cut(both.select(*group, "site", F.when(F.col("_better"), F.col("_l")).otherwise(F.col("label")).alias("label")))
     energy = verdict.select(*group, F.when(F.col("_better"), F.col("_new")).otherwise(F.col("energy")).alias("energy"))
     return picked, energy, not verdict.filter("_better").isEmpty()
@@ -292,7 +292,7 @@ def greedy_labels(data_cost: DataFrame, label_cost: DataFrame, labels: Iterable[
         if chosen:
             now = F.min(F.when(F.col("label").isin(sorted(chosen)), F.col("cost")))
             base = data_cost.groupBy("site").agg(F.coalesce(now, F.lit(INFEASIBLE)).alias("_now"))
-            rows = data_cost.join(base, "site").withColumn("_gain", F.least(F.col("cost") - F.col("_now"), F.lit(0.0)))
+            rows = data_cost.join(dealt(base), "site").withColumn("_gain", F.least(F.col("cost") - F.col("_now"), F.lit(0.0)))
             kept = base.agg(F.sum("_now")).first()[0]
             change = {r.label: r.g for r in rows.groupBy("label").agg(F.sum("_gain").alias("g")).collect()}
             options = {c: kept + change.get(c, 0.0) for c in labels if c not in chosen}
@@ -321,7 +321,7 @@ def smooth_votes(shares: DataFrame, areas: DataFrame, edges: DataFrame, labels:
     """
     from facetry.functions.scalar import neg_log_cost
 
-    cost = shares.join(areas, [*group, "site"]).withColumn("cost", neg_log_cost(F.col("share"), F.col("area")))
+    cost = shares.join(dealt(areas), [*group, "site"]).withColumn("cost", neg_log_cost(F.col("share"), F.col("area")))
     # a site of zero area is infinitely expensive under every label, so it takes no side
     cost = cost.withColumn("cost", F.when(F.col("area") > 0, F.col("cost")).otherwise(0.0))
     cost = cut(cost.select(*group, "site", "label", "cost"))

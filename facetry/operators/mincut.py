@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.operators.ordered import running
-from facetry.session import cut
+from facetry.session import cut, dealt
 
 REGION_NODES = 20_000
 LOAD_PER_NODE = 8
+#: Nodes that a call is given on average, in as many regions as that takes.
+BUNDLE_NODES = 5_000
 UNCUTTABLE = 1e15
 FAR = 1 << 40
 EPS = 1e-9
@@ -30,16 +32,16 @@ EPS = 1e-9
 class _Region:
     """Residual network of one region; border arcs are exits with the far side's distance."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        nodes, arcs = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        self.ids = nodes["a"].to_numpy()
-        index = {n: k for k, n in enumerate(self.ids)}
-        self.excess, self.sink = nodes["u"].to_numpy().copy(), nodes["v"].to_numpy().copy()
+    def __init__(self, kind, a, b, u, v, d):
+        nodes, arcs = kind == 0, kind == 1
+        self.ids = a[nodes]
+        index = {n: k for k, n in enumerate(self.ids.tolist())}
+        self.excess, self.sink = u[nodes].tolist(), v[nodes].tolist()
         self.head, self.room = [], []
         self.out = [[] for _ in self.ids]
         self.inner, self.exits = [], [[] for _ in self.ids]
         self.border = []
-        for a, b, u, v, far in arcs[["a", "b", "u", "v", "d"]].itertuples(index=False):
+        for a, b, u, v, far in zip(*(x[arcs].tolist() for x in (a, b, u, v, d))):
             if b in index:
                 i, j = index[a], index[b]
                 self.inner.append((a, b, len(self.head)))
@@ -89,7 +91,7 @@ class _Region:
         """Maximum flow from all excess to the exits usable at ``stage`` (blocking flows by level)."""
         while True:
             level = self.levels(stage)
-            sources = [k for k in np.nonzero(self.excess > EPS)[0] if level[k] >= 0]
+            sources = [k for k, more in enumerate(self.excess) if more > EPS and level[k] >= 0]
             if not sources:
                 return
             cursor = [0] * len(self.ids)
@@ -135,68 +137,77 @@ class _Region:
 
     def discharge(self):
         for stage in sorted({0, *[b[3] + 1 for b in self.border if b[3] < FAR]}):
-            if (self.excess > EPS).any():
+            if max(self.excess, default=0.0) > EPS:
                 self.push(stage)
 
 
 _COLS = ["kind", "a", "b", "u", "v", "d"]
 
 
-def _node_frame(r: _Region, d) -> pd.DataFrame:
-    return pd.DataFrame({"kind": 0, "a": r.ids, "b": -1, "u": r.excess, "v": r.sink, "d": d})
+def _node_rows(r: _Region, d) -> list[np.ndarray]:
+    n = len(r.ids)
+    return [np.zeros(n, np.int64), r.ids, np.full(n, -1), np.array(r.excess, float), np.array(r.sink, float), d]
 
 
-def _run(nodes: DataFrame, arcs: DataFrame, group: list[str], work) -> DataFrame:
-    """Hand every region its nodes and incident arcs and collect what ``work`` returns."""
+def _run(nodes: DataFrame, arcs: DataFrame, group: list[str], work, tasks: int) -> DataFrame:
+    """Hand every region its nodes and incident arcs and collect what ``work`` returns.
+
+    Many small regions share a call, one after the other; ``bundle`` tells which.
+    """
     n = nodes.select(
-        *group, "region", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(-1).cast("long").alias("b"),
+        *group, "region", "bundle", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(-1).cast("long").alias("b"),
         F.col("excess").alias("u"), F.col("sink").alias("v"), "d",
     )
-    ends = nodes.select(*group, "node", "d")
-    here = arcs.join(ends.withColumnsRenamed({"node": "i", "d": "di"}), [*group, "i"])
-    here = here.join(ends.withColumnsRenamed({"node": "j", "d": "dj"}), [*group, "j"])
+    ends = nodes.select(*group, "node", "d", "bundle")
+    here = arcs.join(dealt(ends.withColumnsRenamed({"node": "i", "d": "di", "bundle": "bi"})), [*group, "i"])
+    here = here.join(dealt(ends.withColumnsRenamed({"node": "j", "d": "dj", "bundle": "bj"})), [*group, "j"])
     one = F.lit(1).alias("kind")
     side_i = here.select(
-        *group, F.col("regi").alias("region"), one, F.col("i").alias("a"), F.col("j").alias("b"), F.col("rij").alias("u"),
-        F.col("rji").alias("v"), F.col("dj").alias("d"),
+        *group, F.col("regi").alias("region"), F.col("bi").alias("bundle"), one, F.col("i").alias("a"), F.col("j").alias("b"),
+        F.col("rij").alias("u"), F.col("rji").alias("v"), F.col("dj").alias("d"),
     )
     crossing = here.filter(F.col("regi") != F.col("regj"))
     side_j = crossing.select(
-        *group, F.col("regj").alias("region"), one, F.col("j").alias("a"), F.col("i").alias("b"), F.col("rji").alias("u"),
-        F.col("rij").alias("v"), F.col("di").alias("d"),
+        *group, F.col("regj").alias("region"), F.col("bj").alias("bundle"), one, F.col("j").alias("a"), F.col("i").alias("b"),
+        F.col("rji").alias("u"), F.col("rij").alias("v"), F.col("di").alias("d"),
     )
     rows = n.unionByName(side_i).unionByName(side_j)
-    keys = [*group, "region"]
+    keys = [*group, "region", "bundle"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, *_COLS])
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = work(_Region(pdf))
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out[[*keys, *_COLS]]
+        number = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(number, kind="stable")
+        first = np.flatnonzero(np.diff(number[order], prepend=-1))
+        columns = [pdf[c].to_numpy()[order] for c in _COLS]
+        done = [work(_Region(*(x[i:j] for x in columns))) for i, j in zip(first, [*first[1:], len(order)])]
+        out = pdf[keys].iloc[np.repeat(order[first], [len(rows[0]) for rows in done])].reset_index(drop=True)
+        return out.assign(**{c: np.concatenate([rows[k] for rows in done]) for k, c in enumerate(_COLS)})
 
-    return cut(rows.groupBy(*keys).applyInPandas(task, schema))
+    # rows are few and their work is long: partitions by number, which are not merged for their small size
+    return cut(rows.repartition(tasks, "bundle").groupBy("bundle").applyInPandas(task, schema))
 
 
-def _work_distance(r: _Region) -> pd.DataFrame:
-    return _node_frame(r, r.distances())
+def _work_distance(r: _Region) -> list[np.ndarray]:
+    return _node_rows(r, r.distances())
 
 
-def _work_discharge(r: _Region) -> pd.DataFrame:
+def _work_discharge(r: _Region) -> list[np.ndarray]:
     r.discharge()
     inner = [(1, a, b, r.room[k], r.room[k + 1], 0) for a, b, k in r.inner]
     border = [(2, a, b, flow, 0.0, 0) for a, b, _, _, flow in r.border]
-    arcs = pd.DataFrame(inner + border, columns=_COLS)
-    return pd.concat([_node_frame(r, r.distances()), arcs], ignore_index=True)
+    nodes = _node_rows(r, r.distances())
+    arcs = zip(*inner, *border) if inner or border else [()] * len(_COLS)
+    return [np.append(x, np.array(y, x.dtype)) for x, y in zip(nodes, arcs)]
 
 
-def _relabel(nodes: DataFrame, arcs: DataFrame, group: list[str], crossing: bool) -> DataFrame:
+def _relabel(nodes: DataFrame, arcs: DataFrame, group: list[str], crossing: bool, tasks: int) -> DataFrame:
     """Exact crossing distances, from far to near; one round when no arc crosses a border."""
     nodes = nodes.withColumn("d", F.lit(FAR).cast("long"))
     while True:
-        new = _run(nodes, arcs, group, _work_distance).select(*group, F.col("a").alias("node"), F.col("d").alias("d2"))
-        nodes = nodes.join(new, [*group, "node"])
+        new = _run(nodes, arcs, group, _work_distance, tasks).select(*group, F.col("a").alias("node"), F.col("d").alias("d2"))
+        nodes = nodes.join(dealt(new), [*group, "node"])
         stable = not crossing or nodes.filter(F.col("d") != F.col("d2")).isEmpty()
         nodes = nodes.drop("d").withColumnRenamed("d2", "d")
         if stable:
@@ -215,19 +226,22 @@ def min_cut(terminals: DataFrame, arcs: DataFrame, group: list[str], region_node
     arcs = arcs.select(*group, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "cij", "cji")
     asked, arcs = _split_hubs(cut(asked), cut(arcs), group, region_nodes)
     where = cut(_regions(asked, arcs, group, LOAD_PER_NODE * region_nodes))
-    nodes = asked.join(where, [*group, "node"]).select(
+    bundles = max(1, -(-where.count() // BUNDLE_NODES))
+    nodes = asked.join(dealt(where), [*group, "node"]).select(
         *group,
         "node",
         "region",
+        F.pmod(F.xxhash64(*group, "region"), F.lit(bundles)).alias("bundle"),
         F.greatest(F.col("theta"), F.lit(0.0)).alias("excess"),
         F.greatest(-F.col("theta"), F.lit(0.0)).alias("sink"),
     )
     nodes = cut(nodes)
-    arcs = arcs.join(where.withColumnsRenamed({"node": "i", "region": "regi"}), [*group, "i"])
-    arcs = arcs.join(where.withColumnsRenamed({"node": "j", "region": "regj"}), [*group, "j"])
+    arcs = arcs.join(dealt(where.withColumnsRenamed({"node": "i", "region": "regi"})), [*group, "i"])
+    arcs = arcs.join(dealt(where.withColumnsRenamed({"node": "j", "region": "regj"})), [*group, "j"])
     arcs = cut(arcs.select(*group, "i", "j", "regi", "regj", F.col("cij").alias("rij"), F.col("cji").alias("rji")))
-    sides = _discharge_all(nodes, arcs, group)
-    return sides.join(terminals.select(*group, F.col("node").cast("long").alias("node")), [*group, "node"], "left_semi")
+    tasks = min(bundles, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sides = _discharge_all(nodes, arcs, group, tasks)
+    return sides.join(dealt(terminals.select(*group, F.col("node").cast("long").alias("node"))), [*group, "node"], "left_semi")
 
 
 def _degrees(arcs: DataFrame, group: list[str]) -> DataFrame:
@@ -270,27 +284,27 @@ def _regions(nodes: DataFrame, arcs: DataFrame, group: list[str], load: int) ->
 
     Neighbours tend to have close ids, so few arcs cross a border.
     """
-    weight = nodes.select(*group, "node").join(_degrees(arcs, group), [*group, "node"], "left")
+    weight = nodes.select(*group, "node").join(dealt(_degrees(arcs, group)), [*group, "node"], "left")
     weight = weight.withColumn("_w", 1 + F.coalesce("deg", F.lit(0).cast("long")))
     ranked = running(weight, group, "node", "node", {"_cum": F.col("_w")}, pos="_p")
     return ranked.select(*group, "node", F.floor((F.col("_cum") - F.col("_w")) / load).alias("region"))
 
 
-def _discharge_all(nodes: DataFrame, arcs: DataFrame, group: list[str]) -> DataFrame:
+def _discharge_all(nodes: DataFrame, arcs: DataFrame, group: list[str], tasks: int) -> DataFrame:
     """Sweeps until no excess can reach the sink; ``(group, node, sink_side)``."""
     crossing = not arcs.filter(F.col("regi") != F.col("regj")).isEmpty()
     if not crossing:
         # no border anywhere: one discharge per region is a complete maximum flow
-        done = _run(nodes.withColumn("d", F.lit(FAR).cast("long")), arcs, group, _work_discharge)
+        done = _run(nodes.withColumn("d", F.lit(FAR).cast("long")), arcs, group, _work_discharge, tasks)
         flat = done.filter("kind = 0")
         return flat.select(*group, F.col("a").alias("node"), (F.col("d") < FAR).alias("sink_side"))
     while True:
-        nodes = _relabel(nodes, arcs, group, crossing)
+        nodes = _relabel(nodes, arcs, group, crossing, tasks)
         if nodes.filter((F.col("excess") > EPS) & (F.col("d") < FAR)).isEmpty():
             return nodes.select(*group, "node", (F.col("d") < FAR).alias("sink_side"))
-        done = _run(nodes, arcs, group, _work_discharge)
+        done = _run(nodes, arcs, group, _work_discharge, tasks)
         fresh = done.filter("kind = 0").select(
-            *group, F.col("a").alias("node"), "region", F.col("u").alias("excess"), F.col("v").alias("sink"), "d"
+            *group, F.col("a").alias("node"), "region", "bundle", F.col("u").alias("excess"), F.col("v").alias("sink"), "d"
         )
         inner = done.filter("kind = 1").select(
             *group, F.col("a").alias("i"), F.col("b").alias("j"), F.col("region").alias("regi"),
@@ -301,9 +315,9 @@ def _discharge_all(nodes: DataFrame, arcs: DataFrame, group: list[str]) -> DataF
         rim = arcs.filter(F.col("regi") != F.col("regj"))
         forth = sent.withColumnsRenamed({"_a": "i", "_b": "j", "_f": "fij"})
         back = sent.withColumnsRenamed({"_a": "j", "_b": "i", "_f": "fji"})
-        rim = rim.join(forth, [*group, "i", "j"]).join(back, [*group, "i", "j"])
-        rim = rim.join(label.withColumnsRenamed({"node": "i", "d": "di"}), [*group, "i"])
-        rim = rim.join(label.withColumnsRenamed({"node": "j", "d": "dj"}), [*group, "j"])
+        rim = rim.join(dealt(forth), [*group, "i", "j"]).join(dealt(back), [*group, "i", "j"])
+        rim = rim.join(dealt(label.withColumnsRenamed({"node": "i", "d": "di"})), [*group, "i"])
+        rim = rim.join(dealt(label.withColumnsRenamed({"node": "j", "d": "dj"})), [*group, "j"])
         # a crossing flow is kept only if the arc it opens backwards respects the distance order
         keep_ij, keep_ji = F.col("dj") <= F.col("di") + 1, F.col("di") <= F.col("dj") + 1
         rim = cut(
@@ -324,7 +338,7 @@ def _discharge_all(nodes: DataFrame, arcs: DataFrame, group: list[str]) -> DataF
             ),
         )
         moved = moved.groupBy(*group, "node").agg(F.sum("more").alias("more"))
-        nodes = fresh.join(moved, [*group, "node"], "left")
+        nodes = fresh.join(dealt(moved), [*group, "node"], "left")
         nodes = cut(nodes.withColumn("excess", F.col("excess") + F.coalesce("more", F.lit(0.0))).drop("more"))
         rim = rim.select(
             *group, "i", "j", "regi", "regj",
