@@ -24,7 +24,7 @@ from facetry.operators.stats import (
     weighted_mean,
     winsorise_signed,
 )
-from facetry.session import cut, forget
+from facetry.session import cut, dealt, forget
 
 M = "mesh_id"
 
@@ -143,7 +143,7 @@ def _ray_statistics(hits: DataFrame, keys: list[str], **kw) -> DataFrame:
     cum = cumulate(hits, keys, "d", {"n": F.lit(1)}, **kw)
     total = F.col("total_n")
     mid = at_position(cum, keys, "d", "n", {"_lo": F.floor((total - 1) / 2), "_hi": F.floor(total / 2)})
-    return means.join(mid, keys).withColumn("median", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
+    return means.join(dealt(mid), keys).withColumn("median", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
 
 
 STATS = ["mean", "mean2", "mean4", "meansqrt", "meansqrtsqrt", "median"]
@@ -164,7 +164,7 @@ def _frames(geometry: DataFrame, normals: DataFrame, directions: DataFrame | Non
     With ``directions`` (vertex curvatures) the side follows the corners' main curvature directions,
     each turned to agree with those before it; otherwise it follows the face's first edge.
     """
-    g = geometry.join(normals, [M, "face"])
+    g = geometry.join(dealt(normals), [M, "face"])
     axis = tuple(-c for c in vec3("n"))
     if directions is None:
         e = sub3(vec3("b"), vec3("a"))
@@ -174,7 +174,7 @@ def _frames(geometry: DataFrame, normals: DataFrame, directions: DataFrame | Non
         names = [f"d1{k}" for k in "xyz"]
         for i in range(3):
             at = directions.select(M, F.col("v").alias(f"v{i}"), *[F.col(n).alias(f"_p{i}{k}") for n, k in zip(names, "xyz")])
-            g = g.join(at, [M, f"v{i}"])
+            g = g.join(dealt(at), [M, f"v{i}"])
         main = vec3("_p0")
         for i, against in ((1, vec3("_p0")), (2, None)):
             p = vec3(f"_p{i}")
@@ -195,7 +195,7 @@ def _cast(rays: DataFrame, geometry: DataFrame, vertices: DataFrame, skip: Colum
     gap2 = sum(((F.col(f"max_{k}") - F.col(f"min_{k}")) ** 2 for k in "xyz"), F.lit(0.0))
     diagonal = box.select(M, F.sqrt(gap2).alias("_diag"))
     hits = ray_distances(rays.withColumn("skip", skip), geometry)
-    out = rays.select(M, "ray", "face", "cone").join(hits, [M, "ray"], "left").join(diagonal, M)
+    out = rays.select(M, "ray", "face", "cone").join(dealt(hits), [M, "ray"], "left").join(diagonal, M)
     return out.select(M, "face", "cone", F.least(F.coalesce("d", "_diag"), F.col("_diag")).alias("d"))
 
 
@@ -220,7 +220,7 @@ def visible_shape(geometry, normals, vertices, directions: DataFrame | None = No
     inside = cut(cone_rays(frames, [i * CONE_STEP for i in range(step_count)], TURN_STEP))
     half = _cast(inside, geometry, vertices, F.col("face")).groupBy(M, "face").agg((F.min("d") / 2).alias("_half"))
     half = cut(half)
-    moved = frames.join(half, [M, "face"]).select(
+    moved = frames.join(dealt(half), [M, "face"]).select(
         M, "face", *[(F.col(f"o{k}") + F.col("_half") * F.col(f"v{k}")).alias(f"o{k}") for k in "xyz"],
         "vx", "vy", "vz", "ux", "uy", "uz",
     )
@@ -270,7 +270,7 @@ def part_axes(points: DataFrame, group: list[str], weight: str = "w", whole: lis
     extent = everything.join(axes, whole).groupBy(*group, "_k").agg((F.max(p) - F.min(p)).alias("extent"))
     cum = cumulate(rows, [*group, "_k"], "_mag", {"w": w}, **kw)
     spread = cum.filter(F.col("cum_w") / F.col("total_w") >= 0.5).groupBy(*group, "_k").agg(F.min("_mag").alias("spread"))
-    ranked = axes.join(spread, [*group, "_k"]).join(extent, [*group, "_k"])
+    ranked = axes.join(dealt(spread), [*group, "_k"]).join(dealt(extent), [*group, "_k"])
     # three axes per part
     order = F.array_sort(F.collect_list(F.struct("spread", "_k", "ax", "ay", "az", "extent")))
     flat = ranked.groupBy(*group).agg(order.alias("_o")).select(*group, F.posexplode("_o").alias("axis", "_a"))
@@ -282,13 +282,13 @@ def _gated_walk(start: DataFrame, steps: DataFrame, left: DataFrame, right: Data
 
     ``left(mesh_id, src, ..)`` and ``right(mesh_id, node, ..)`` give the columns that the gate reads.
     """
-    passes = lambda df: df.join(right, [M, "node"]).join(left, [M, "src"]).filter(gate).select(M, "src", "node")
+    passes = lambda df: df.join(dealt(right), [M, "node"]).join(dealt(left), [M, "src"]).filter(gate).select(M, "src", "node")
     known = passes(start).withColumn("fresh", F.lit(True))
     last = None
     while True:
         front = known.filter("fresh").select(M, "src", F.col("node").alias("i"))
-        step = front.join(steps, [M, "i"]).select(M, "src", F.col("j").alias("node")).distinct()
-        step = passes(step.join(known, [M, "src", "node"], "left_anti")).withColumn("fresh", F.lit(True))
+        step = front.join(dealt(steps), [M, "i"]).select(M, "src", F.col("j").alias("node")).distinct()
+        step = passes(step.join(dealt(known), [M, "src", "node"], "left_anti")).withColumn("fresh", F.lit(True))
         newer = cut(known.withColumn("fresh", F.lit(False)).unionByName(step))
         if last is not None:
             forget(last)
@@ -306,7 +306,7 @@ def diffusion_weights(vertices, normals, areas, neighbours, sigma: float) -> Dat
     ``neighbours(mesh_id, i, j)`` are the mesh edges.  A vertex takes part if its normal agrees with the
     centre's, it is within three ``sigma``, and a path of such vertices leads to it.
     """
-    facts = cut(vertices.join(normals, [M, "v"]).join(areas.withColumnRenamed("area", "_area"), [M, "v"]))
+    facts = cut(vertices.join(dealt(normals), [M, "v"]).join(dealt(areas.withColumnRenamed("area", "_area")), [M, "v"]))
     src = facts.select(M, F.col("v").alias("src"), *[F.col(c).alias(f"c{c}") for c in _PLACE])
     node = facts.select(M, F.col("v").alias("node"), *_PLACE)
     gap = sub3(vec3(""), vec3("c"))
@@ -314,7 +314,7 @@ def diffusion_weights(vertices, normals, areas, neighbours, sigma: float) -> Dat
     own = facts.select(M, F.col("v").alias("src"), F.col("v").alias("node"))
     gate = (F.col("src") == F.col("node")) | ((facing > 0) & (d2 < 9.0 * sigma * sigma))
     known = _gated_walk(own, neighbours, src, node, gate)
-    rows = known.join(node.join(facts.select(M, F.col("v").alias("node"), "_area"), [M, "node"]), [M, "node"]).join(src, [M, "src"])
+    rows = known.join(dealt(node.join(dealt(facts.select(M, F.col("v").alias("node"), "_area")), [M, "node"])), [M, "node"]).join(dealt(src), [M, "src"])
     kernel = F.exp(-0.5 * d2 / (sigma * sigma)) * facing * F.col("_area")
     return rows.select(M, "src", "node", F.when(F.col("src") == F.col("node"), F.col("_area")).otherwise(kernel).alias("w"))
 
@@ -322,7 +322,7 @@ def diffusion_weights(vertices, normals, areas, neighbours, sigma: float) -> Dat
 def _averaged(weights: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
     """Weighted means of vertex columns, ``(mesh_id, v, names)``."""
     values = fields.select(M, F.col("v").alias("node"), *[F.col(f).alias(f"_f_{f}") for f in names])
-    rows = weights.join(values, [M, "node"])
+    rows = weights.join(dealt(values), [M, "node"])
     return rows.groupBy(M, F.col("src").alias("v")).agg(*[weighted_mean(F.col(f"_f_{f}"), F.col("w")).alias(f) for f in names])
 
 
@@ -330,7 +330,7 @@ def diffuse(vertices, normals, areas, neighbours, field: list[str], sigma: float
     """Smooth vertex values over the surface; a vertex without neighbours or area keeps its own."""
     new = _averaged(diffusion_weights(vertices, normals, areas, neighbours, sigma), vertices, field)
     new = new.select(M, "v", *[F.col(f).alias(f"_n_{f}") for f in field])
-    return vertices.join(new, [M, "v"], "left").select(M, "v", *[F.coalesce(f"_n_{f}", f).alias(f) for f in field])
+    return vertices.join(dealt(new), [M, "v"], "left").select(M, "v", *[F.coalesce(f"_n_{f}", f).alias(f) for f in field])
 
 
 def diffuse_normals(vertices, normals, areas, neighbours, sigma: float) -> DataFrame:
@@ -339,7 +339,7 @@ def diffuse_normals(vertices, normals, areas, neighbours, sigma: float) -> DataF
     new = _averaged(diffusion_weights(vertices, normals, areas, neighbours, sigma), normals, names)
     new = new.select(M, "v", *[F.col(n).alias(f"_{n}") for n in names])
     size = F.sqrt(dot3(vec3("_n"), vec3("_n")))
-    rows = normals.join(new, [M, "v"], "left")
+    rows = normals.join(dealt(new), [M, "v"], "left")
     return rows.select(M, "v", *[F.when(size > 0, F.try_divide(f"_{n}", size)).otherwise(F.col(n)).alias(n) for n in names])
 
 
@@ -350,16 +350,16 @@ def diffuse_curvatures(vertices, normals, areas, neighbours, curvatures, sigma:
     along that vertex's own directions there.
     """
     weights = diffusion_weights(vertices, normals, areas, neighbours, sigma)
-    frame = normals.join(curvatures, [M, "v"])
+    frame = normals.join(dealt(curvatures), [M, "v"])
     columns = [f"{n}{k}" for n in ("n", "d1", "d2") for k in "xyz"]
     given = frame.select(M, F.col("v").alias("node"), "k1", "k2", *columns)
     taken = cut(frame.select(M, F.col("v").alias("src"), *[F.col(c).alias(f"c{c}") for c in columns]))
-    rows = weights.join(given, [M, "node"]).join(taken, [M, "src"])
+    rows = weights.join(dealt(given), [M, "node"]).join(dealt(taken), [M, "src"])
     turned = [carried(vec3(f"d{j}"), vec3("n"), vec3("cn")) for j in (1, 2)]
     rows = rows.withColumns({f"_p{i}{j}": dot3(turned[i], vec3(f"cd{j + 1}")) for i in range(2) for j in range(2)})
     part = lambda i, j: sum((F.col(f"k{m + 1}") * F.col(f"_p{m}{i}") * F.col(f"_p{m}{j}") for m in range(2)), F.lit(0.0))
     mean = {n: weighted_mean(part(i, j), F.col("w")).alias(n) for n, (i, j) in (("_a", (0, 0)), ("_b", (0, 1)), ("_c", (1, 1)))}
-    s = rows.groupBy(M, "src").agg(*mean.values()).join(taken, [M, "src"])
+    s = rows.groupBy(M, "src").agg(*mean.values()).join(dealt(taken), [M, "src"])
     a, off, c = F.col("_a"), F.col("_b"), F.col("_c")
     middle, spread, angle = (a + c) / 2, F.sqrt((a - c) * (a - c) / 4 + off * off), F.atan2(2 * off, a - c) / 2
     s = s.withColumn("_angle", angle)
@@ -376,19 +376,19 @@ def _face_pass(places: DataFrame, faces: DataFrame, corners: DataFrame, across:
     at = {n: corners.select(M, F.col("v").alias(f"v{i}"), *[F.col(k).alias(f"{n}{k}") for k in "xyz"]) for i, n in enumerate("abc")}
     g = faces
     for i, n in enumerate("abc"):
-        g = g.join(at[n], [M, f"v{i}"])
+        g = g.join(dealt(at[n]), [M, f"v{i}"])
     normal = cross3(sub3(vec3("b"), vec3("a")), sub3(vec3("c"), vec3("a")))
     centre = [((F.col(f"a{k}") + F.col(f"b{k}") + F.col(f"c{k}")) / 3).alias(f"g{k}") for k in "xyz"]
     g = g.select(M, F.col("face").alias("node"), *centre, (F.sqrt(dot3(normal, normal)) / 2).alias("area"))
     if planes is not None:
-        g = g.join(planes, [M, "node"])
+        g = g.join(dealt(planes), [M, "node"])
     g = cut(g)
     src = places.select(M, F.col("v").alias("src"), *[F.col(k).alias(f"o{k}") for k in "xyz"])
     gap = sub3(vec3("o"), vec3("g"))
     d2 = dot3(gap, gap)
     start = faces.select(M, F.explode(F.array("v0", "v1", "v2")).alias("src"), F.col("face").alias("node")).distinct()
     steps = across.select(M, F.col("face").alias("i"), F.col("nbr").alias("j")).filter(F.col("j").isNotNull())
-    rows = _gated_walk(start, steps, src, g, d2 < 9.0 * sigma * sigma).join(g, [M, "node"]).join(src, [M, "src"])
+    rows = _gated_walk(start, steps, src, g, d2 < 9.0 * sigma * sigma).join(dealt(g), [M, "node"]).join(dealt(src), [M, "src"])
     w = F.exp(-0.5 * d2 / (sigma * sigma)) * F.col("area")
     target = list(vec3("g"))
     if planes is not None:
@@ -396,7 +396,7 @@ def _face_pass(places: DataFrame, faces: DataFrame, corners: DataFrame, across:
         w = w * F.when(height * height < 9.0 * width * width, F.exp(-0.5 * height * height / (width * width))).otherwise(0.0)
         target = [o - height * n for o, n in zip(vec3("o"), vec3("f"))]
     new = rows.groupBy(M, "src").agg(*[weighted_mean(t, w).alias(f"_{k}") for t, k in zip(target, "xyz")])
-    kept = places.join(new.withColumnRenamed("src", "v"), [M, "v"], "left")
+    kept = places.join(dealt(new.withColumnRenamed("src", "v")), [M, "v"], "left")
     return kept.select(M, "v", *[F.coalesce(f"_{k}", k).alias(k) for k in "xyz"])
 
 
@@ -412,7 +412,7 @@ def bilateral_smooth(vertices: DataFrame, faces: DataFrame, across: DataFrame, s
     steady = cut(_face_pass(base, faces, base, across, sigma / 2, None, width))
     g = faces
     for i, n in enumerate("abc"):
-        g = g.join(steady.select(M, F.col("v").alias(f"v{i}"), *[F.col(k).alias(f"{n}{k}") for k in "xyz"]), [M, f"v{i}"])
+        g = g.join(dealt(steady.select(M, F.col("v").alias(f"v{i}"), *[F.col(k).alias(f"{n}{k}") for k in "xyz"])), [M, f"v{i}"])
     normal = cross3(sub3(vec3("b"), vec3("a")), sub3(vec3("c"), vec3("a")))
     size = F.sqrt(dot3(normal, normal))
     planes = g.select(M, F.col("face").alias("node"), *[F.coalesce(F.try_divide(c, size), F.lit(0.0)).alias(f"f{k}") for c, k in zip(normal, "xyz")])
