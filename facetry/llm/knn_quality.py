@@ -11,6 +11,7 @@ is never held out; repeated rows give repeated results; other columns are ignore
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,8 @@ RANK = 64
 NEIGHBOURS = 25
 #: Similarities are raised to this power before they weight a label.
 SHARPNESS = 8
+#: Rows of the sample that are weighted at once.
+_FIT_ROWS = 256
 
 _MARKS = ".,!?|#$%&*<>:;\"'-()/=+@_"
 
@@ -63,6 +66,20 @@ def counts(raw: list[bytes]) -> np.ndarray:
     return flat.reshape(len(raw), TERMS).astype(np.float32)
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row as the places of its terms, then their counts: most terms are absent from a text."""
+    at = [np.flatnonzero(row) for row in x]
+    return [a.astype("<u2").tobytes() + row[a].astype("<f4").tobytes() for a, row in zip(at, x, strict=True)]
+
+
+def unpacked(rows: Sequence[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), TERMS), np.float32)
+    for row, raw in zip(out, rows, strict=True):
+        n = len(raw) // 6
+        row[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
@@ -78,11 +95,17 @@ class Model:
     prior: float
 
     @staticmethod
-    def fit(x: np.ndarray, label: np.ndarray, rank: int = RANK, seed: int = 0) -> Model:
-        """Term weights, basis by randomised subspace iteration, and the labelled vectors."""
+    def fit(x: np.ndarray, label: np.ndarray, rank: int = RANK, seed: int = 0, overwrite: bool = False) -> Model:
+        """Term weights, basis by randomised subspace iteration, and the labelled vectors.
+
+        With ``overwrite`` the weighted unit rows take the place of ``x``, so that the sample is held once.
+        """
         n = len(x)
         weight = np.log((1.0 + n) / (1.0 + (x > 0).sum(0))).astype(np.float32) + 1.0 if n else np.ones(TERMS, np.float32)
-        terms = _unit(np.log1p(x) * weight)
+        terms = x if overwrite else np.empty_like(x)
+        for i in range(0, n, _FIT_ROWS):
+            part = slice(i, i + _FIT_ROWS)
+            terms[part] = _unit(np.log1p(x[part]) * weight)
         rank = max(1, min(rank, n))
         start = np.random.default_rng(seed).standard_normal((TERMS, rank + 10)).astype(np.float32)
         q = np.linalg.qr(terms.T @ (terms @ start))[0]
@@ -125,14 +148,13 @@ def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     def run(batches):
         for pdf in blocks(batches):
             x = counts(list(pdf["text"]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [row.tobytes() for row in x]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": packed(x)})
 
     # at most 2 * per_class ids: a bounded side
     picked = texts(docs, key, text, binary=True).join(F.broadcast(sample), "doc_id")
     rows = picked.mapInPandas(run, "doc_id long, quality int, x binary").dropDuplicates(["doc_id"]).toPandas()
     rows = rows.sort_values("doc_id")
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), TERMS)
-    return Model.fit(x, rows["quality"].to_numpy(float))
+    return Model.fit(unpacked(rows.pop("x")), rows["quality"].to_numpy(float), overwrite=True)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> DataFrame:

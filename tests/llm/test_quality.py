@@ -1,6 +1,7 @@
 """Classifier, rule forest, mixture and pipeline."""
 
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -210,3 +211,19 @@ def test_pipeline_stages_take_effect(spark):
     last = corpus_pipeline.run(spark, folder)
     assert last.count() == packing.pack(docs).count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_fit_holds_the_sample_once():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in rng.integers(0, 400, 1000)]
+    x = knn_quality.counts([b"", *texts])
+    rows = knn_quality.packed(x)
+    assert sum(map(len, rows)) < x.nbytes / 5 and np.array_equal(knn_quality.unpacked(rows), x)
+    terms = np.log1p(x) * (np.log((1.0 + len(x)) / (1.0 + (x > 0).sum(0))).astype(np.float32) + 1.0)
+    terms = knn_quality._unit(terms)
+    tracemalloc.start()
+    model = knn_quality.Model.fit(x, np.arange(len(x)) % 2, rank=8, overwrite=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes
+    assert np.array_equal(model.vectors, knn_quality._unit(terms @ model.basis))
