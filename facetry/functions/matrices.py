@@ -157,12 +157,11 @@ def orthogonalise(a: Column) -> Column:
     corner = F.when(a[3][3] == 0, 1.0).otherwise(a[3][3])
     raw = [a[0][0] + a[1][1] + a[2][2] + corner, a[2][1] - a[1][2], a[0][2] - a[2][0], a[1][0] - a[0][1]]
 
-    def rotated(q: Column) -> Column:
-        size = F.sqrt(_dot(q, q))
+    def rotated(q: Column, size: Column) -> Column:
         unit = [F.when(size > 0, F.try_divide(q[i], size)).otherwise(1.0 if i == 0 else 0.0) for i in range(4)]
         return _from_quaternion(unit, [a[i][3] / corner for i in range(3)])
 
-    return _let(F.array(*raw), rotated)
+    return _let(F.array(*raw), lambda q: _let(F.sqrt(_dot(q, q)), lambda size: rotated(q, size)))
 
 
 def transform_point(a: Column, x: Column, y: Column, z: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions import matrices as X
 from facetry.plans.registry import query
+from facetry.session import spread
 
 R, col = F.round, F.col
 
@@ -37,7 +38,7 @@ def solve_systems(t):
     e = col("embedding").cast("array<double>")
     a = X.from_flat(F.slice(e, 1, N * N), N)
     a = F.zip_with(a, X.identity(N), lambda row, unit: F.zip_with(row, unit, lambda x, u: x + 2 * u))
-    rows = t.embeddings.select("vec_id", a.alias("a"), F.slice(e, N * N + 1, N).alias("b"))
+    rows = spread(t.embeddings.select("vec_id", "embedding")).select("vec_id", a.alias("a"), F.slice(e, N * N + 1, N).alias("b"))
     rows = rows.select("vec_id", R(X.determinant(col("a")), 6).alias("det"), X.solve(col("a"), col("b")).alias("x"))
     return rows.select("vec_id", "det", *[R(col("x")[k], 6).alias(f"x{k}") for k in range(N)])
 
@@ -65,7 +66,8 @@ def transform_algebra(t):
     turn = X.rotation(key / 10, d(nation + 1), d(key % 7), F.lit(2.0))
     move = X.translation(d(col("c_acctbal")) / 1000, d(key % 5), 1.5)
     size = X.scaling(d(1 + key % 3), 0.5, d(2 + nation % 2))
-    rows = t.customer.select(key.alias("id"), X.multiply(X.multiply(move, turn), size).alias("m"))
+    customers = spread(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"))
+    rows = customers.select(key.alias("id"), X.multiply(X.multiply(move, turn), size).alias("m"))
     m, one = col("m"), F.lit(1.0)
     rows = rows.select(
         "id", X.transform_point(m, one, F.lit(2.0), F.lit(3.0)).alias("p"), X.transform_point(X.inverse(m), one, one, one).alias("b"),
