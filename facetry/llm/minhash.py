@@ -46,6 +46,8 @@ TILE = 1536
 COLUMNS = 2048
 #: Rows of that matrix that are compared at once.
 ROWS = 256
+#: Words of 64 bits of the map that tells rows without a partner apart before a shuffle.
+MAP_WORDS = 1 << 18
 
 
 def collections_needed(percent: int, miss: float = MISS) -> int:
@@ -140,10 +142,27 @@ def _slots(reps: DataFrame, m: int) -> DataFrame:
     return reps.select("rep", "sig").mapInPandas(run, "rep long, values array<long>")
 
 
+def _met(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with ``_met``: false only where no row of ``keys`` has the same ``on``.
+
+    The keys set bits of a broadcast map of at most ``MAP_WORDS`` rows, however many they are, so that most texts without a partner
+    need not travel.  Rows that share a bit by chance pass as well: an exact join has to follow.
+    """
+    bit = F.pmod(F.xxhash64(*on), F.lit(64 * MAP_WORDS).cast("long"))
+    word = keys.select(bit.alias("_met_bit")).select(
+        F.shiftright("_met_bit", 6).alias("_met_word"), F.expr("shiftleft(1L, cast(_met_bit % 64 as int))").alias("_met_set")
+    )
+    word = word.groupBy("_met_word").agg(F.bit_or("_met_set").alias("_met_set"))
+    rows = rows.withColumn("_met_bit", bit).withColumn("_met_word", F.shiftright("_met_bit", 6)).join(F.broadcast(word), "_met_word", "left")
+    met = F.expr("coalesce(_met_set & shiftleft(1L, cast(_met_bit % 64 as int)), 0L) <> 0")
+    return rows.withColumn("_met", met).drop("_met_bit", "_met_word", "_met_set")
+
+
 def _bodies(wanted: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(doc_id, text)`` of the ids ``(rep)``; the text an id stands for is the one its class was made of."""
-    wanted = wanted.join(reps.select("rep", "tid"), "rep").withColumnRenamed("rep", "doc_id")
+    wanted = cut(wanted.join(reps.select("rep", "tid"), "rep").withColumnRenamed("rep", "doc_id").select("doc_id", "tid"))
     body = texts(docs, key, text, binary=True).withColumn("tid", F.xxhash64("text"))
+    body = _met(body, wanted, ["doc_id", "tid"]).filter("_met").drop("_met")
     # one row of repeated ones; the columns are those of the join, so nothing is shuffled again
     return cut(body.join(wanted, ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"]).select("doc_id", "text"))
 
@@ -383,9 +402,13 @@ def one_of_each_group(
 ) -> DataFrame:
     """The rows of ``docs`` that stay of their groups, with all columns; rows without an id stay.
 
-    A row goes by its id and the hash of its text: of several texts under one id only those that have to go do.
+    A row goes by its id and the hash of its text: of several texts under one id only those that have to go do.  Only rows that
+    may have to go are shuffled.
     """
     groups = _grouped_texts(docs, key, text, size, percent, miss)
-    gone = cut(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("tid").alias("_tid")).distinct())
+    gone = cut(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("tid").alias("_gone_tid")).distinct())
     body = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary"))
-    return docs.join(gone, (docs[key].cast("long") == gone["_gone"]) & (body == gone["_tid"]), "left_anti")
+    marked = _met(docs.withColumns({"_gone_id": docs[key].cast("long"), "_gone_tid": body}), gone, ["_gone_id", "_gone_tid"])
+    stay = marked.filter(~F.col("_met"))
+    doubtful = marked.filter("_met").join(gone, ["_gone_id", "_gone_tid"], "left_anti")
+    return stay.drop("_gone_id", "_gone_tid", "_met").unionByName(doubtful.drop("_gone_id", "_gone_tid", "_met"))
