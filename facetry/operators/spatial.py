@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -277,24 +278,39 @@ def part_axes(points: DataFrame, group: list[str], weight: str = "w", whole: lis
     return flat.select(*group, "axis", *[F.col(f"_a.{c}").alias(c) for c in ("ax", "ay", "az", "spread", "extent")])
 
 
-def _gated_walk(start: DataFrame, steps: DataFrame, left: DataFrame, right: DataFrame, gate: Column) -> DataFrame:
+def _gated_walk(
+    start: DataFrame, steps: DataFrame, left: DataFrame, right: DataFrame, gate: Column,
+    carry: dict[str, Column] | None = None, sums: dict[str, Column] | None = None,
+) -> DataFrame:
     """``(mesh_id, src, node)``: nodes met from each source along ``steps(mesh_id, i, j)`` through nodes that pass ``gate``.
 
-    ``left(mesh_id, src, ..)`` and ``right(mesh_id, node, ..)`` give the columns that the gate reads.
-    """
-    passes = lambda df: df.join(dealt(right), [M, "node"]).join(dealt(left), [M, "src"]).filter(gate).select(M, "src", "node")
-    known = passes(start).withColumn("fresh", F.lit(True))
-    last = None
-    while True:
-        front = known.filter("fresh").select(M, "src", F.col("node").alias("i"))
-        step = front.join(dealt(steps), [M, "i"]).select(M, "src", F.col("j").alias("node")).distinct()
-        step = passes(step.join(dealt(known), [M, "src", "node"], "left_anti")).withColumn("fresh", F.lit(True))
-        newer = cut(known.withColumn("fresh", F.lit(False)).unionByName(step))
-        if last is not None:
-            forget(last)
-        last = known = newer
-        if known.filter("fresh").isEmpty():
-            return known.drop("fresh")
+    ``left(mesh_id, src, ..)`` and ``right(mesh_id, node, ..)`` give the columns that the gate reads, and ``carry`` further columns of
+    the result.  With ``sums`` the result is ``(mesh_id, src, nodes, ..)``, one row per source and round with those sums over its nodes.
+    Rounds are tables of their own.  If every step has its way back, a node next to those of a round belongs to that round, the
+    one before or the next, and no others are looked up; else all are.
+    """
+    pair = [M, "src", "node"]
+    steps = steps.select(M, "i", "j")
+
+    def met(df):
+        df = df.join(dealt(right), [M, "node"]).join(dealt(left), [M, "src"]).filter(gate)
+        if sums is None:
+            return cut(df.select(*pair, *[c.alias(n) for n, c in (carry or {}).items()]))
+        # dealt by source already: nothing moves
+        return cut(df.groupBy(M, "src").agg(F.collect_list("node").alias("nodes"), *[F.sum(c).alias(n) for n, c in sums.items()]))
+
+    def pairs(df):
+        return df.select(pair) if sums is None else df.select(M, "src", F.explode("nodes").alias("node"))
+
+    back = steps.select(M, F.col("j").alias("i"), F.col("i").alias("j"))
+    reach = 2 if steps.join(dealt(back), [M, "i", "j"], "left_anti").isEmpty() else 0
+    rounds = [met(start)]
+    while not rounds[-1].isEmpty():
+        step = pairs(rounds[-1]).withColumnRenamed("node", "i").join(dealt(steps), [M, "i"])
+        step = step.select(M, "src", F.col("j").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, [pairs(r) for r in rounds[-reach:]])
+        rounds.append(met(step.join(dealt(seen), pair, "left_anti")))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 _PLACE = ["x", "y", "z", "nx", "ny", "nz"]
@@ -308,15 +324,14 @@ def diffusion_weights(vertices, normals, areas, neighbours, sigma: float) -> Dat
     """
     facts = cut(vertices.join(dealt(normals), [M, "v"]).join(dealt(areas.withColumnRenamed("area", "_area")), [M, "v"]))
     src = facts.select(M, F.col("v").alias("src"), *[F.col(c).alias(f"c{c}") for c in _PLACE])
-    node = facts.select(M, F.col("v").alias("node"), *_PLACE)
+    node = facts.select(M, F.col("v").alias("node"), *_PLACE, "_area")
     gap = sub3(vec3(""), vec3("c"))
     d2, facing = dot3(gap, gap), dot3(vec3("n"), vec3("cn"))
     own = facts.select(M, F.col("v").alias("src"), F.col("v").alias("node"))
     gate = (F.col("src") == F.col("node")) | ((facing > 0) & (d2 < 9.0 * sigma * sigma))
-    known = _gated_walk(own, neighbours, src, node, gate)
-    rows = known.join(dealt(node.join(dealt(facts.select(M, F.col("v").alias("node"), "_area")), [M, "node"])), [M, "node"]).join(dealt(src), [M, "src"])
     kernel = F.exp(-0.5 * d2 / (sigma * sigma)) * facing * F.col("_area")
-    return rows.select(M, "src", "node", F.when(F.col("src") == F.col("node"), F.col("_area")).otherwise(kernel).alias("w"))
+    w = F.when(F.col("src") == F.col("node"), F.col("_area")).otherwise(kernel)
+    return _gated_walk(own, neighbours, src, node, gate, {"w": w})
 
 
 def _averaged(weights: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
@@ -388,14 +403,15 @@ def _face_pass(places: DataFrame, faces: DataFrame, corners: DataFrame, across:
     d2 = dot3(gap, gap)
     start = faces.select(M, F.explode(F.array("v0", "v1", "v2")).alias("src"), F.col("face").alias("node")).distinct()
     steps = across.select(M, F.col("face").alias("i"), F.col("nbr").alias("j")).filter(F.col("j").isNotNull())
-    rows = _gated_walk(start, steps, src, g, d2 < 9.0 * sigma * sigma).join(dealt(g), [M, "node"]).join(dealt(src), [M, "src"])
     w = F.exp(-0.5 * d2 / (sigma * sigma)) * F.col("area")
     target = list(vec3("g"))
     if planes is not None:
         height = dot3(gap, vec3("f"))
         w = w * F.when(height * height < 9.0 * width * width, F.exp(-0.5 * height * height / (width * width))).otherwise(0.0)
         target = [o - height * n for o, n in zip(vec3("o"), vec3("f"))]
-    new = rows.groupBy(M, "src").agg(*[weighted_mean(t, w).alias(f"_{k}") for t, k in zip(target, "xyz")])
+    sums = {"_w": w} | {f"_t{k}": w * t for t, k in zip(target, "xyz")}
+    rows = _gated_walk(start, steps, src, g, d2 < 9.0 * sigma * sigma, sums=sums)
+    new = rows.groupBy(M, "src").agg(*[F.try_divide(F.sum(f"_t{k}"), F.sum("_w")).alias(f"_{k}") for k in "xyz"])
     kept = places.join(dealt(new.withColumnRenamed("src", "v")), [M, "v"], "left")
     return kept.select(M, "v", *[F.coalesce(f"_{k}", k).alias(k) for k in "xyz"])
 
