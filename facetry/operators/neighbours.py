@@ -22,32 +22,84 @@ MAX_PIVOTS = 2048
 #: Most rows of a shelf and of the queries that meet it in a task, and queries compared at once.
 SHELF_ROWS = 16384
 BLOCK_ROWS = 256
+#: Candidates that a block of queries meets at once, and how many times ``k`` may pass before the k-th is looked for among all.
+PIECE_ROWS = 4096
+MANY = 32
 #: Rows whose distances to all pivots are held at once, and rows of a routed batch.
 _GAP_ROWS = 512
 _SENT_ROWS = 4096
 _SUB = 1 << 32
 
 
-def _nearest(q_id, q_vec, c_id, c_vec, k, limit):
-    """k nearest candidates of each query by (distance, id), never the query itself."""
-    scale = (q_vec**2).sum(1)[:, None] + (c_vec**2).sum(1)[None, :]
-    rough = scale - 2.0 * (q_vec @ c_vec.T)
-    rough[q_id[:, None] == c_id[None, :]] = np.inf
-    keep = min(k, rough.shape[1]) - 1
-    # the product form is only a filter: its rounding slack is added, then survivors are recomputed
-    slack = 1e-9 * (scale.max() + 1.0)
-    bar = np.minimum(np.partition(rough, keep, axis=1)[:, keep], limit**2) + slack
-    qi, ci = np.nonzero((rough <= bar[:, None]) & np.isfinite(rough))
-    d = np.empty(len(qi))
-    for i in range(0, len(qi), 1 << 16):
-        part = slice(i, i + (1 << 16))
-        d[part] = np.sqrt(((q_vec[qi[part]] - c_vec[ci[part]]) ** 2).sum(1))
-    order = np.lexsort((c_id[ci], d, qi))
-    qi, ci, d = qi[order], ci[order], d[order]
-    start = np.r_[True, qi[1:] != qi[:-1]] if len(qi) else np.zeros(0, bool)
-    rank = np.arange(len(qi)) - np.maximum.accumulate(np.where(start, np.arange(len(qi)), 0))
-    best = rank < k
-    return pd.DataFrame({"src": q_id[qi[best]], "dst": c_id[ci[best]], "d": d[best]})
+class _Candidates:
+    """Rows to search among, with their vectors around a common middle in the precisions that products are formed in.
+
+    Products are only a filter: a bound of their rounding is added, and what passes is measured again.
+    """
+
+    def __init__(self, ids: np.ndarray, vec: np.ndarray):
+        self.ids, self.vec = ids, vec
+        real = np.isfinite(vec).all(1)
+        self.middle = vec[real].mean(0) if real.any() else np.zeros(vec.shape[1])
+        self.moved = vec - self.middle
+        self.size2 = (self.moved**2).sum(1)
+        self.most = self.size2[real].max(initial=0.0)
+        self.short = self.moved.astype("float32") if self.most < 1e30 else None
+        self.short2 = self.size2.astype("float32") if self.short is not None else None
+
+    def products(self, q: np.ndarray, q2: np.ndarray, bar2: np.ndarray, rows, short: bool):
+        """``|c|^2 - 2 q c`` of the rows and what it may be at most for a distance of ``sqrt(bar2)``, rounding included."""
+        eps = 1.2e-7 if short else 2.3e-16
+        slack = eps * (q.shape[1] + 8) * (q2 + self.most) + 1e-30
+        c, c2 = (self.short, self.short2) if short else (self.moved, self.size2)
+        rough = (-2.0 * q).astype(c.dtype) @ c[rows].T
+        rough += c2[rows]
+        return rough, bar2 - q2 + slack, slack
+
+
+def _nearest(q_id, q_vec, held: _Candidates, use, k, limit):
+    """k nearest of the candidates ``use`` for each query by (distance, id), never the query itself.
+
+    Candidates are met in pieces; the k-th distance so far bounds what is looked at in the next.
+    """
+    q = q_vec - held.middle
+    q2 = (q**2).sum(1)
+    bar2 = limit.astype(float) ** 2
+    best = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    short = False
+    for begin in range(0, len(use), PIECE_ROWS):
+        rows = use[begin : begin + PIECE_ROWS]
+        whole = len(use) == len(held.ids)
+        rough, most, slack = held.products(q, q2, bar2, slice(begin, begin + PIECE_ROWS) if whole else rows, short)
+        passed = np.flatnonzero((rough <= most.astype(rough.dtype)[:, None]).ravel())
+        if len(passed) > MANY * k * len(q):
+            own = rough.astype("float64")
+            own[q_id[:, None] == held.ids[rows][None, :]] = np.inf
+            keep = min(k, own.shape[1]) - 1
+            most = np.minimum(most, np.partition(own, keep, axis=1)[:, keep] + 2 * slack)
+            passed = np.flatnonzero((own <= most[:, None]).ravel())
+        qi, ci = np.divmod(passed, rough.shape[1])
+        ci = rows[ci]
+        other = q_id[qi] != held.ids[ci]
+        qi, ci = qi[other], ci[other]
+        d = np.empty(len(qi))
+        for i in range(0, len(qi), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            d[part] = np.sqrt(((q_vec[qi[part]] - held.vec[ci[part]]) ** 2).sum(1))
+        near = d <= limit[qi] * (1 + 1e-9) + 1e-12
+        qi, ci, d = (np.concatenate(pair) for pair in zip(best, (qi[near], ci[near], d[near])))
+        order = np.lexsort((held.ids[ci], d, qi))
+        qi, ci, d = qi[order], ci[order], d[order]
+        start = np.r_[True, qi[1:] != qi[:-1]] if len(qi) else np.zeros(0, bool)
+        rank = np.arange(len(qi)) - np.maximum.accumulate(np.where(start, np.arange(len(qi)), 0))
+        first = rank < k
+        best = (qi[first], ci[first], d[first])
+        last = rank == k - 1
+        bar2[qi[last]] = np.minimum(bar2[qi[last]], d[last] ** 2)
+        # single precision where its rounding is small against the distances that count
+        short = held.short is not None and q2.max(initial=0.0) < 1e30 and np.mean(1.2e-7 * (q.shape[1] + 8) * (q2 + held.most) > 0.05 * bar2) < 0.1
+    qi, ci, d = best
+    return pd.DataFrame({"src": q_id[qi], "dst": held.ids[ci], "d": d})
 
 
 def _matrix(column) -> np.ndarray:
@@ -55,8 +107,9 @@ def _matrix(column) -> np.ndarray:
 
 
 def _blocks(q_id, q_vec, c_id, c_vec, k, limit, rows=BLOCK_ROWS):
+    held, use = _Candidates(c_id, c_vec), np.arange(len(c_id))
     parts = [
-        _nearest(q_id[i : i + rows], q_vec[i : i + rows], c_id, c_vec, k, limit[i : i + rows])
+        _nearest(q_id[i : i + rows], q_vec[i : i + rows], held, use, k, limit[i : i + rows])
         for i in range(0, len(q_id), rows)
     ]
     return pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "d": []})
@@ -152,16 +205,17 @@ class _Layout:
         self.shelf = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
         self.parts = np.array([max(1, -(-int(rows[g].sum()) // self.shelf_rows)) for g in groups], int)
 
-    def gaps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gaps(self, x: np.ndarray, cells=slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """Safe lower and upper bounds of the distance from every row to every pivot."""
-        scale = (x**2).sum(1)[:, None] + (self.pivots**2).sum(1)[None, :]
-        d2 = scale - 2.0 * (x @ self.pivots.T)
+        pivots = self.pivots[cells]
+        scale = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :]
+        d2 = scale - 2.0 * (x @ pivots.T)
         slack = 1e-9 * (scale + 1.0)
         return np.sqrt(np.maximum(d2 - slack, 0.0)), np.sqrt(np.maximum(d2, 0.0) + slack)
 
-    def needed(self, x: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    def needed(self, x: np.ndarray, limit: np.ndarray, cells=slice(None)) -> np.ndarray:
         """Whether a row's reach meets a cell, for every row and cell."""
-        return self.gaps(x)[0] - self.radius[None, :] <= limit[:, None] + 1e-9
+        return self.gaps(x, cells)[0] - self.radius[cells][None, :] <= limit[:, None] + 1e-9
 
 
 def _halves(x: np.ndarray, rows: np.ndarray, which: np.ndarray, most: int) -> list[np.ndarray]:
@@ -252,14 +306,14 @@ def _routed(queries: DataFrame, placed: DataFrame, layout: _Layout, k: int) -> D
             return pd.DataFrame({"src": [], "dst": [], "d": []})
         q = q.sort_values("at")
         q_id, q_vec, limit = q["id"].to_numpy(), _matrix(q["v"]), q["limit"].to_numpy()
-        c_id, c_vec, cell = c["id"].to_numpy(), _matrix(c["v"]), c["at"].to_numpy()
+        held = _Candidates(c["id"].to_numpy(), _matrix(c["v"]))
+        here, cell = np.unique(c["at"].to_numpy(), return_inverse=True)
         parts = []
         for i in range(0, len(q_id), BLOCK_ROWS):
             block = slice(i, i + BLOCK_ROWS)
-            use = layout.needed(q_vec[block], limit[block]).any(0)[cell]
-            if use.any():
-                ids, vec = (c_id, c_vec) if use.all() else (c_id[use], c_vec[use])
-                parts.append(_nearest(q_id[block], q_vec[block], ids, vec, k, limit[block]))
+            use = np.flatnonzero(layout.needed(q_vec[block], limit[block], here).any(0)[cell])
+            if len(use):
+                parts.append(_nearest(q_id[block], q_vec[block], held, use, k, limit[block]))
         return pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "d": []})
 
     return asked.groupBy("part", "chunk").cogroup(held.groupBy("part", "chunk")).applyInPandas(across, _EDGE)
