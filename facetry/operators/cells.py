@@ -131,7 +131,8 @@ def _hits_within(rays: DataFrame, triangles: DataFrame, group: list[str], small:
         F.coalesce("skip", F.lit(0)).alias("skip"), *[F.col(f"{e}{c}").cast("double").alias(f"{e}{c}") for e in "ol" for c in "xyz"],
     )
     held = triangles.join(blocks, group).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    held = held.select(*group, "_block", "face", *[F.col(f"{p}{c}").cast("double").alias(f"{p}{c}") for p in "abc" for c in "xyz"])
+    # fresh column identities, so that rays may come from the triangles
+    held = held.select(*[F.col(c).alias(c) for c in (*group, "_block", "face")], *[F.col(f"{p}{c}").cast("double").alias(f"{p}{c}") for p in "abc" for c in "xyz"])
     kinds = {f.name: f.dataType.simpleString() for f in [*triangles.schema.fields, *rays.schema.fields]}
     ids = [*group, "ray"]
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in ids], f"face {kinds['face']}", "d double"])
